@@ -144,16 +144,16 @@ query("k9_backfill_daily", BACKFILL_SQL)(backfilled)
 
 @query("k9_backfill_daily_table", BACKFILL_SQL)
 def _(m: Model) -> DataFrame:
-    """The same backfill into a table partitioned by month, touching the affected months only."""
+    """The same backfill into a table partitioned by year, touching the affected years only."""
     out = shared_dir(m.spark, "backfill")
 
-    def monthly(df: DataFrame) -> DataFrame:
-        return df.withColumn("summary_month", F.date_format("summary_date", "yyyy-MM"))
+    def yearly(df: DataFrame) -> DataFrame:
+        return df.withColumn("summary_year", F.year("summary_date"))
 
-    load(monthly(_stale_daily(m)), out, "replace", ["summary_month"])
+    load(yearly(_stale_daily(m)), out, "replace", ["summary_year"])
     fresh = sales.daily_sales_summary(sales.recent_days(m.orders, AS_OF, R.backfill_days), m.customers, AS_OF)
-    upsert_table(m.spark, out, monthly(fresh), ["summary_date"], partition_by=["summary_month"])
-    return m.spark.read.parquet(out).drop("summary_month")
+    upsert_table(m.spark, out, yearly(fresh), ["summary_date"], partition_by=["summary_year"])
+    return m.spark.read.parquet(out).drop("summary_year")
 
 
 @query(

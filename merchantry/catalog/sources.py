@@ -164,7 +164,7 @@ def _(m: Model) -> DataFrame:
     out, checkpoint = shared_dir(m.spark, "activity"), shared_dir(m.spark, "activity-state")
     stream = m.streaming("events").audit_log
     _finished(jobs.activity_counts(stream, "changed_at", "operation", out, checkpoint))
-    return m.spark.read.parquet(out).drop("window_day")
+    return m.spark.read.parquet(out).drop("window_month")
 
 
 CTES["v_quality"] = f"""
@@ -179,7 +179,7 @@ CTES["v_quality"] = f"""
 def _(m: Model) -> DataFrame:
     out, checkpoint = shared_dir(m.spark, "quality"), shared_dir(m.spark, "quality-state")
     _finished(jobs.running_quality(m.streaming("events").log, "logged_at", SLOW, out, checkpoint))
-    return m.spark.read.parquet(out).drop("window_day")
+    return m.spark.read.parquet(out).drop("window_month")
 
 
 @query("t3_incremental_daily_upsert", "SELECT * FROM j_daily")
@@ -187,7 +187,7 @@ def _(m: Model) -> DataFrame:
     out, checkpoint = shared_dir(m.spark, "daily"), shared_dir(m.spark, "daily-state")
     stream = m.streaming("orders").orders
     _finished(jobs.daily_refresh(stream, lambda: m.orders, lambda: m.customers, out, checkpoint, AS_OF))
-    return m.spark.read.parquet(out).drop("summary_month")
+    return m.spark.read.parquet(out).drop("summary_year")
 
 
 @query(

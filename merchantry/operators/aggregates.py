@@ -60,7 +60,7 @@ def exact_median(
         middle = F.round(F.percentile((F.col(value) * 100).cast("bigint"), F.lit(0.5)), 0)
         return present.groupBy(*groups).agg(money(middle.cast("decimal(20,0)") / 100).alias(name))
     counts = present.groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    placed = running_before(counts, value, "_n", "_before", groups)
+    placed = running_before(counts, value, "_n", "_before", groups, cuts_from=present)
     sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))
     both = placed.join(sizes, [*groups])
     end = F.col("_before") + F.col("_n")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from merchantry.sources.shared import written
+
 BROADCAST_ROWS = 100_000
 
 
@@ -51,7 +53,8 @@ def hierarchy_paths(
 
     Each round joins every row's open ancestor to that ancestor's own path, so the covered
     depth doubles: sixteen rounds cover 65,536 levels. A row still open after them is part
-    of a cycle, which raises. A parent that does not exist ends the path.
+    of a cycle, which raises. A parent that does not exist ends the path. Rounds are written
+    down, as each one would otherwise repeat all earlier ones twice.
     """
     known = df.select(F.col(key).alias("_known"))
     nodes = df.join(known, F.col(parent) == F.col("_known"), "left")
@@ -61,20 +64,19 @@ def hierarchy_paths(
         F.col(label).alias("_path"),
         F.lit(1).cast("bigint").alias("_depth"),
     )
-    for _ in range(max_rounds):
-        if paths.where(F.col("_up").isNotNull()).isEmpty():
+    for _ in range(max_rounds + 1):
+        still = Observation()
+        paths = written(paths.observe(still, F.count("_up").alias("open")), "paths")
+        if still.get["open"] == 0:
             break
-        above = paths.select(
-            F.col("_id").alias("_a"),
-            F.col("_up").alias("_a_up"),
-            F.col("_path").alias("_a_path"),
-            F.col("_depth").alias("_a_depth"),
-        )
-        paths = paths.join(above, F.col("_up") == F.col("_a"), "left").select(
+        above = paths.select(*[F.col(c).alias(f"_above{c}") for c in paths.columns])
+        paths = paths.join(above, F.col("_up") == F.col("_above_id"), "left").select(
             "_id",
-            F.col("_a_up").alias("_up"),
-            F.concat(F.coalesce(F.concat(F.col("_a_path"), F.lit(separator)), F.lit("")), "_path").alias("_path"),
-            (F.col("_depth") + F.coalesce(F.col("_a_depth"), F.lit(0))).alias("_depth"),
+            F.col("_above_up").alias("_up"),
+            F.when(F.col("_above_path").isNull(), F.col("_path"))
+            .otherwise(F.concat("_above_path", F.lit(separator), "_path"))
+            .alias("_path"),
+            (F.col("_depth") + F.coalesce(F.col("_above_depth"), F.lit(0))).alias("_depth"),
         )
     else:
         raise ValueError(f"{parent} forms a cycle")

@@ -38,6 +38,7 @@ def running_before(
     groups: Sequence[str] = (),
     descending: bool = False,
     buckets: int = BUCKETS,
+    cuts_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add the weight of all rows that come before this row's value in its group.
 
@@ -45,11 +46,16 @@ def running_before(
     totals (at most `buckets` rows per group) give each bucket its offset, and the running
     sum is taken inside a bucket. The driver sees the cut points only, and a group of any
     size spreads over all buckets. NULL values sort lowest.
+
+    `cuts_from` is a frame with the same value column to take the quantiles from, such as
+    the rows before they were counted, which saves computing `df` twice. The cut points
+    decide how even the buckets are and never the result.
     """
     lowest = F.lit(float("-inf"))
     keyed = df.withColumn("_at", F.coalesce(F.col(value).cast("double"), lowest))
     probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = keyed.where(F.col("_at") > lowest).approxQuantile("_at", probabilities, 1 / (4 * buckets))
+    values = (df if cuts_from is None else cuts_from).select(F.col(value).cast("double").alias("_at"))
+    cuts = values.approxQuantile("_at", probabilities, 1 / (4 * buckets))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     keyed = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket").transform(keyed)
 
@@ -88,7 +94,8 @@ def global_rank(
         order = F.col(by).desc() if descending else F.col(by).asc()
         return df.withColumn(name, F.rank().over(Window.orderBy(order)).cast("bigint"))
     ties = df.groupBy(F.col(by).alias("_value")).agg(F.count("*").alias("_n"))
-    placed = running_before(ties, "_value", "_n", "_before", descending=descending)
+    raw = df.select(F.col(by).alias("_value"))
+    placed = running_before(ties, "_value", "_n", "_before", descending=descending, cuts_from=raw)
     ranks = placed.select("_value", (F.col("_before") + 1).cast("bigint").alias(name))
     return df.join(ranks, F.col(by).eqNullSafe(F.col("_value")), "left").drop("_value")
 

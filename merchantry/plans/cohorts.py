@@ -45,17 +45,20 @@ def customer_cohorts(orders: DataFrame, as_of: Moment) -> DataFrame:
         F.sum("revenue").alias("revenue"),
         F.count_if("is_last").alias("leaving"),
     )
-    # from here on there is one row per pair of months
-    sizes = by_period.where(F.col("period") == 0).select("cohort", F.col("active").alias("size"))
-    grid = sizes.select(
-        "cohort", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), edge - F.col("cohort"))).alias("period")
+    # from here on there is one row per pair of months, so a cohort's months fit in one map
+    facts = F.struct("active", "orders", "revenue", "leaving")
+    per_cohort = by_period.groupBy("cohort").agg(
+        F.max(F.when(F.col("period") == 0, F.col("active"))).alias("size"),
+        F.map_from_entries(F.collect_list(F.struct(F.col("period"), facts.alias("facts")))).alias("by_period"),
     )
-    filled = grid.join(by_period, ["cohort", "period"], "left").select(
+    periods = F.explode(F.sequence(F.lit(0).cast("bigint"), edge - F.col("cohort"))).alias("period")
+    grid = per_cohort.select("cohort", "size", "by_period", periods)
+    filled = grid.withColumn("facts", F.try_element_at("by_period", F.col("period"))).select(
         "cohort",
         "period",
         "size",
-        *[zero_if_null(c).alias(c) for c in ("active", "orders", "leaving")],
-        money(zero_if_null("revenue")).alias("revenue"),
+        *[zero_if_null(f"facts.{c}").alias(c) for c in ("active", "orders", "leaving")],
+        money(zero_if_null("facts.revenue")).alias("revenue"),
     )
     ordered = Window.partitionBy("cohort").orderBy("period")
     filled = filled.withColumn("churned", F.lag("leaving", 1, 0).over(ordered))

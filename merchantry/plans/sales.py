@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchantry.functions.scalar import (
@@ -76,17 +76,6 @@ def daily_median(orders: DataFrame, largest_day: int | None = None) -> DataFrame
     return exact_median(live, [DAY], "total_amount", "median_order_value", largest_day)
 
 
-def daily_products(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Units and distinct products per day, by way of (day, product)."""
-    days = _by_day(not_cancelled(orders)).select("order_id", DAY)
-    sold = order_product_units(items).join(days, "order_id")
-    per_product = sold.groupBy(DAY, "product_id").agg(F.sum("units").alias("units"))
-    return per_product.groupBy(DAY).agg(
-        F.sum("units").cast("bigint").alias("total_products_sold"),
-        F.count("product_id").alias("unique_products_sold"),
-    )
-
-
 def daily_top_places(orders: DataFrame, addresses: DataFrame) -> DataFrame:
     """City and state with most orders per day; addresses join the counted pairs."""
     used = _by_day(not_cancelled(orders)).groupBy(DAY, "shipping_address_id").agg(F.count("*").alias("n"))
@@ -103,30 +92,52 @@ def daily_top_places(orders: DataFrame, addresses: DataFrame) -> DataFrame:
     )
 
 
-def daily_top_category(
+def daily_product_mix(
     orders: DataFrame, items: DataFrame, products: DataFrame, categories: DataFrame
 ) -> DataFrame:
-    """Category with most revenue per day and the orders that contain it."""
+    """Units, distinct products and the category with most revenue per day, in one pass over the items.
+
+    An order counts for a category once: its first product of the category carries the
+    count. The window for that runs over the products of one order, which the join has
+    already brought together.
+    """
     days = _by_day(not_cancelled(orders)).select("order_id", DAY)
     named = products.select("product_id", "category_id").join(
-        categories.select("category_id", "category_name"), "category_id"
+        categories.select("category_id", "category_name"), "category_id", "left"
     )
     sold = order_product_units(items).join(days, "order_id").join(
-        named.select("product_id", "category_name"), "product_id"
+        named.select("product_id", "category_name"), "product_id", "left"
+    )
+    within_order = Window.partitionBy("order_id", "category_name").orderBy("product_id")
+    marked = sold.withColumn("first", (F.row_number().over(within_order) == 1).cast("int"))
+    per_product = marked.groupBy(DAY, "category_name", "product_id").agg(
+        F.sum("units").alias("units"), F.sum("revenue").alias("revenue"), F.sum("first").alias("orders")
     )
-    per_order = sold.groupBy(DAY, "category_name", "order_id").agg(F.sum("revenue").alias("revenue"))
-    per_category = per_order.groupBy(DAY, "category_name").agg(
-        F.sum("revenue").alias("revenue"), F.count("*").alias("orders")
+    per_category = per_product.groupBy(DAY, "category_name").agg(
+        F.sum("units").alias("units"),
+        F.count("product_id").alias("products"),
+        F.sum("revenue").alias("revenue"),
+        F.sum("orders").alias("orders"),
     )
     best = F.min_by(
         F.struct("category_name", "revenue", "orders"),
-        F.struct((-F.col("revenue")).alias("m"), F.col("category_name")),
+        # products without a category can not be the best one
+        F.when(
+            F.col("category_name").isNotNull(),
+            F.struct((-F.col("revenue")).alias("m"), F.col("category_name").alias("c")),
+        ),
     )
-    return per_category.groupBy(DAY).agg(best.alias("b")).select(
+    return per_category.groupBy(DAY).agg(
+        F.sum("units").cast("bigint").alias("total_products_sold"),
+        F.sum("products").cast("bigint").alias("unique_products_sold"),
+        best.alias("b"),
+    ).select(
         DAY,
+        "total_products_sold",
+        "unique_products_sold",
         F.col("b.category_name").alias("top_category"),
         money("b.revenue").alias("top_category_revenue"),
-        F.col("b.orders").alias("top_category_orders"),
+        F.col("b.orders").cast("bigint").alias("top_category_orders"),
     )
 
 
@@ -189,9 +200,8 @@ def daily_sales_report(
     """The full daily row. Each feature is one row per day by then, so the joins are small."""
     parts = [
         daily_median(orders, largest_day),
-        daily_products(orders, items),
+        daily_product_mix(orders, items, products, categories),
         daily_top_places(orders, addresses),
-        daily_top_category(orders, items, products, categories),
         daily_status_counts(orders),
         daily_processing(orders, shipments),
     ]

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -28,3 +28,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError(f"set {SETTING} to a folder that all executors share")
         base = _local_base()
     return f"{base.rstrip('/')}/merchantry/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, and its lineage ends there."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

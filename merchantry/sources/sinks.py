@@ -12,11 +12,16 @@ from merchantry.sources.shared import shared_dir
 
 
 def load(df: DataFrame, path: str, method: str, partition_by: Sequence[str] = ()) -> None:
-    """`replace` empties the table first, `append` adds all rows."""
+    """`replace` empties the table first, `append` adds all rows.
+
+    Rows of a partitioned table are gathered by partition before the write, which keeps the
+    files few; adaptive execution splits a partition that is too large for one task.
+    """
     modes = {"replace": "overwrite", "append": "append"}
     if method not in modes:
         raise ValueError(f"load method must be one of {sorted(modes)}, or use upsert_table")
-    df.write.mode(modes[method]).partitionBy(*partition_by).parquet(path)
+    gathered = df.hint("rebalance", *partition_by) if partition_by else df
+    gathered.write.mode(modes[method]).partitionBy(*partition_by).parquet(path)
 
 
 def merge_upsert(
@@ -119,7 +124,6 @@ def upsert_table(
     merge_upsert(target, source, keys, order_by).write.parquet(staged)
     merged = spark.read.schema(target.schema).parquet(staged)
     (
-        # one file set per partition, with a large partition split over several tasks
         merged.hint("rebalance", *partition_by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

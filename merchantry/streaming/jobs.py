@@ -41,10 +41,13 @@ def _upsert_windows(out: str, keys: Sequence[str]) -> Callable[[DataFrame, int],
     def write(batch: DataFrame, _: int) -> None:
         rows = batch.select(
             F.col("window.start").cast("timestamp_ntz").alias("window_start"), *[c for c in batch.columns if c != "window"]
-        ).withColumn("window_day", F.to_date("window_start"))
+        ).withColumn("window_month", F.date_format("window_start", "yyyy-MM"))
         rows.persist()
         try:
-            upsert_table(batch.sparkSession, out, rows, ["window_start", *keys], partition_by=["window_day"])
+            # a batch that only moves the watermark carries no rows
+            if rows.isEmpty():
+                return
+            upsert_table(batch.sparkSession, out, rows, ["window_start", *keys], partition_by=["window_month"])
         finally:
             rows.unpersist()
 
@@ -60,7 +63,7 @@ def activity_counts(
     width: str = "1 hour",
     lateness: str = "7 days",
 ) -> StreamingQuery:
-    """Rows per tumbling window and kind, kept up to date in a table partitioned by day."""
+    """Rows per tumbling window and kind, kept up to date in a table partitioned by month."""
     counts = (
         _event_time(stream, time_column, lateness)
         .groupBy(F.window("_at", width).alias("window"), kind)
@@ -118,8 +121,8 @@ def daily_refresh(
         )
         affected = ranged.join(days, F.to_date("created_at") == F.col("_day"), "left_semi")
         fresh = daily_sales_summary(affected, customers(), as_of)
-        fresh = fresh.withColumn("summary_month", F.date_format(DAY, "yyyy-MM"))
-        upsert_table(batch.sparkSession, out, fresh, [DAY], partition_by=["summary_month"])
+        fresh = fresh.withColumn("summary_year", F.year(DAY))
+        upsert_table(batch.sparkSession, out, fresh, [DAY], partition_by=["summary_year"])
 
     return _run(changed_orders, write, checkpoint, "append")
 
