@@ -14,7 +14,7 @@ from merchantry.operators.joins import cascade_delete, never_used, set_null_on_d
 from merchantry.plans import audit, monitoring, quality
 from merchantry.schemas import DOMAINS
 from merchantry.sources.adapter import Model
-from merchantry.sources.tables import TABLES
+from merchantry.sources.tables import TABLES, load_tables
 
 THEN = f"TIMESTAMP '{EVENTS_AS_OF}'"
 
@@ -165,7 +165,7 @@ ROW_COUNT_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rec
 
 @query("q8_row_count_report", ROW_COUNT_SQL)
 def _(m: Model) -> DataFrame:
-    return quality.row_counts(m.raw)
+    return quality.row_counts(load_tables(m.spark, m.directory))
 
 
 @query(
@@ -391,7 +391,7 @@ def _(m: Model) -> DataFrame:
 @query("n7_table_sizes", ROW_COUNT_SQL.replace("record_count", "table_rows"))
 def _(m: Model) -> DataFrame:
     """Rows per table; the byte figures depend on the files and are tested separately."""
-    return monitoring.table_sizes(m.raw).select("table_name", "table_rows")
+    return monitoring.table_sizes(load_tables(m.spark, m.directory)).select("table_name", "table_rows")
 
 
 @query(

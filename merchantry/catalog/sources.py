@@ -14,6 +14,7 @@ from merchantry.sources.adapter import Model
 from merchantry.sources.shared import shared_dir
 from merchantry.sources.sinks import load, merge_upsert
 from merchantry.sources.snapshot import changes_since, export_snapshot
+from merchantry.sources.tables import load_tables
 from merchantry.streaming import jobs
 
 RECENT_DAYS = 2200
@@ -54,7 +55,7 @@ CTES["j_recent"] = f"""
 
 @query("s1_load_tables", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def _(m: Model) -> DataFrame:
-    return m.raw["supplier"]
+    return load_tables(m.spark, m.directory, ["supplier"])["supplier"]
 
 
 @query("s2_replace_load", "SELECT * FROM j_daily")

@@ -17,7 +17,7 @@ from merchantry.functions.scalar import (
     year_month,
     zero_if_null,
 )
-from merchantry.operators.aggregates import exact_median, most_frequent
+from merchantry.operators.aggregates import exact_median
 from merchantry.plans.customers import not_cancelled, order_product_units
 from merchantry.rules import Rules
 from merchantry.sources.sinks import merge_upsert
@@ -77,18 +77,28 @@ def daily_median(orders: DataFrame, largest_day: int | None = None) -> DataFrame
 
 
 def daily_top_places(orders: DataFrame, addresses: DataFrame) -> DataFrame:
-    """City and state with most orders per day; addresses join the counted pairs."""
+    """City and state with most orders per day; the first name wins a tie.
+
+    Orders are counted per (day, address) before the addresses join, and cities and states
+    are ranked in the same two grouped steps.
+    """
     used = _by_day(not_cancelled(orders)).groupBy(DAY, "shipping_address_id").agg(F.count("*").alias("n"))
     places = addresses.select(F.col("address_id").alias("shipping_address_id"), "city", "state")
-    per_place = used.join(places, "shipping_address_id").groupBy(DAY, "city", "state").agg(F.sum("n").alias("n"))
-    city = most_frequent(per_place, [DAY], "city", F.sum("n"), "top_city", "top_city_orders")
-    state = most_frequent(per_place, [DAY], "state", F.sum("n"), "top_state", "top_state_orders")
-    return city.join(state, DAY).select(
+    named = used.join(places, "shipping_address_id").selectExpr(
+        DAY, "n", "stack(2, 'city', city, 'state', state) AS (kind, place)"
+    )
+    counted = named.groupBy(DAY, "kind", "place").agg(F.sum("n").alias("n"))
+
+    def top(kind: str) -> Column:
+        order = F.struct((-F.col("n")).alias("m"), F.col("place"))
+        return F.min_by(F.struct("place", "n"), F.when(F.col("kind") == kind, order)).alias(kind)
+
+    return counted.groupBy(DAY).agg(top("city"), top("state")).select(
         DAY,
-        "top_city",
-        F.col("top_city_orders").cast("bigint").alias("top_city_orders"),
-        "top_state",
-        F.col("top_state_orders").cast("bigint").alias("top_state_orders"),
+        F.col("city.place").alias("top_city"),
+        F.col("city.n").alias("top_city_orders"),
+        F.col("state.place").alias("top_state"),
+        F.col("state.n").alias("top_state_orders"),
     )
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantry.functions.documents import row_image
 from merchantry.functions.scalar import MONEY, money
-from merchantry.sources.tables import TABLES, load_tables, stream_table, table_path
+from merchantry.sources.tables import TABLES, load_table, stream_table, table_path
 
 
 def _order_status() -> Column:
@@ -31,13 +31,25 @@ def _payment_status() -> Column:
     )
 
 
+class _Raw(dict):
+    """Test tables by name, opened when first asked for."""
+
+    def __init__(self, spark: SparkSession, directory: str):
+        super().__init__()
+        self._open = partial(load_table, spark, directory)
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self._open(name)
+        return self[name]
+
+
 class Model:
     """Model frames over one table directory. A frame is built when it is first asked for."""
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.directory = directory
-        self.raw = load_tables(spark, directory)
+        self.raw = _Raw(spark, directory)
 
     def streaming(self, table: str) -> Model:
         """The same model with one table read as a stream of files."""

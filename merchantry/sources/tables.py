@@ -32,19 +32,21 @@ def table_path(directory: str, name: str) -> str:
     return f"{directory.rstrip('/')}/{name}.parquet"
 
 
+def load_table(spark: SparkSession, directory: str, name: str, schemas: Mapping[str, str] = TABLES) -> DataFrame:
+    """One lazy frame. A name without a declared schema is inferred from the files."""
+    reader = spark.read.schema(schemas[name]) if name in schemas else spark.read
+    return reader.parquet(table_path(directory, name))
+
+
 def load_tables(
     spark: SparkSession,
     directory: str,
     names: Iterable[str] | None = None,
     schemas: Mapping[str, str] = TABLES,
 ) -> dict[str, DataFrame]:
-    """Lazy frames by table name. Names without a declared schema are inferred from the files."""
+    """Frames by table name; all declared tables when no names are given."""
     wanted = list(schemas) if names is None else list(names)
-    loaded = {}
-    for name in wanted:
-        reader = spark.read.schema(schemas[name]) if name in schemas else spark.read
-        loaded[name] = reader.parquet(table_path(directory, name))
-    return loaded
+    return {name: load_table(spark, directory, name, schemas) for name in wanted}
 
 
 def jdbc_options(
