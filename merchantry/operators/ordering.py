@@ -56,7 +56,7 @@ def running_before(
     probabilities = [i / buckets for i in range(1, buckets)]
     values = (df if cuts_from is None else cuts_from).select(F.col(value).cast("double").alias("_at"))
     cuts = values.approxQuantile("_at", probabilities, 1 / (4 * buckets))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *sorted({0.0, *cuts}), float("inf")]  # 0.0: at least one cut is required
     keyed = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket").transform(keyed)
 
     def sort(c: str) -> Column:
