@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchantry.functions.scalar import money, percent
-from merchantry.operators.ordering import ONE_TASK_ROWS, running_before
+from merchantry.operators.joins import same_keys
+from merchantry.operators.ordering import running_before
+
+# `percentile` holds the values of a group in memory, so it is left to groups up to this size
+MEDIAN_GROUP_ROWS = 250_000
 
 
 def share_of_total(df: DataFrame, group: str, count_name: str, share_name: str) -> DataFrame:
@@ -55,14 +59,15 @@ def exact_median(
     if largest_group is None:
         sizes = present.groupBy(*groups).agg(F.count("*").alias("_n"))
         largest_group = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest_group <= ONE_TASK_ROWS:
+    if largest_group <= MEDIAN_GROUP_ROWS:
         # whole cents: the middle of two is then exact, and so is rounding it
         middle = F.round(F.percentile((F.col(value) * 100).cast("bigint"), F.lit(0.5)), 0)
         return present.groupBy(*groups).agg(money(middle.cast("decimal(20,0)") / 100).alias(name))
     counts = present.groupBy(*groups, value).agg(F.count("*").alias("_n"))
     placed = running_before(counts, value, "_n", "_before", groups, cuts_from=present)
     sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))
-    both = placed.join(sizes, [*groups])
+    names = [f"_of_{g}" for g in groups]
+    both = placed.join(sizes.withColumnsRenamed(dict(zip(groups, names, strict=True))), same_keys(groups, names))
     end = F.col("_before") + F.col("_n")
 
     def covers(position: Column) -> Column:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from merchantry.sources.shared import written
@@ -10,13 +14,23 @@ from merchantry.sources.shared import written
 BROADCAST_ROWS = 100_000
 
 
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the frame has at most `rows` rows. The count stops at the bound."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark narrow lookup rows for broadcast after counting that there are few of them.
 
-    The count stops at the bound. A larger table is returned unmarked, and the planner
-    then joins by shuffle, with hot keys split by adaptive execution.
+    A larger table is returned unmarked, and the planner then joins by shuffle, with hot
+    keys split by adaptive execution.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if few(df, rows) else df
+
+
+def same_keys(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Equality of key columns in which NULL equals NULL; planned as an equi join."""
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)])
 
 
 def never_used(dim: DataFrame, fact: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from merchantry.operators.joins import same_keys
+
 # a window without partitioning runs in one task; beyond this many rows use buckets
 ONE_TASK_ROWS = 1_000_000
 BUCKETS = 1024
@@ -72,9 +74,7 @@ def running_before(
         F.col("_bucket").alias("_b"),
         F.sum("_total").over(earlier(groups, "_bucket")).alias("_offset"),
     )
-    same = F.col("_bucket") == F.col("_b")
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    same = same_keys([*groups, "_bucket"], [*[f"_{g}" for g in groups], "_b"])
     inside = F.sum(weight).over(earlier([*groups, "_bucket"], value))
     placed = keyed.join(offsets, same).withColumn(
         name, F.coalesce(F.col("_offset"), F.lit(0)) + F.coalesce(inside, F.lit(0))

@@ -22,6 +22,7 @@ from merchantry.functions.scalar import (
     zero_if_null,
 )
 from merchantry.operators.aggregates import most_frequent
+from merchantry.operators.joins import few
 from merchantry.rules import Rules
 
 
@@ -127,9 +128,11 @@ def recent_customer_summary(
     orders stay NULL.
     """
     recent = customers.where(within_last("created_at", as_of, f"{days} days"))
+    live, wanted = not_cancelled(orders), recent.select("customer_id")
+    if few(wanted):  # then the orders of all others never leave the scan
+        live = live.join(F.broadcast(wanted), "customer_id", "left_semi")
     per_customer = (
-        not_cancelled(orders)
-        .groupBy("customer_id")
+        live.groupBy("customer_id")
         .agg(
             F.count("order_id").alias("n"),
             F.sum("total_amount").alias("spent"),

@@ -115,9 +115,9 @@ def daily_product_mix(
     named = products.select("product_id", "category_id").join(
         categories.select("category_id", "category_name"), "category_id", "left"
     )
-    sold = order_product_units(items).join(days, "order_id").join(
-        named.select("product_id", "category_name"), "product_id", "left"
-    )
+    # products first: the join by order comes last and leaves the rows placed for the window
+    sold = order_product_units(items).join(named.select("product_id", "category_name"), "product_id", "left")
+    sold = sold.join(days, "order_id")
     within_order = Window.partitionBy("order_id", "category_name").orderBy("product_id")
     marked = sold.withColumn("first", (F.row_number().over(within_order) == 1).cast("int"))
     per_product = marked.groupBy(DAY, "category_name", "product_id").agg(

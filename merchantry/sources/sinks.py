@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from merchantry.operators.joins import few, small_side
 from merchantry.operators.ordering import latest_per_key
 from merchantry.sources.shared import shared_dir
 
+SMALL_SOURCE_ROWS = 10_000
+
 
 def load(df: DataFrame, path: str, method: str, partition_by: Sequence[str] = ()) -> None:
     """`replace` empties the table first, `append` adds all rows.
@@ -25,7 +30,11 @@ def load(df: DataFrame, path: str, method: str, partition_by: Sequence[str] = ()
 
 
 def merge_upsert(
-    target: DataFrame, source: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()
+    target: DataFrame,
+    source: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str] = (),
+    small_source: bool = False,
 ) -> DataFrame:
     """Target after the source rows are inserted or, on a key clash, overwrite their columns.
 
@@ -33,6 +42,9 @@ def merge_upsert(
     unknown to the target are dropped; target columns unknown to the source become NULL in
     new rows. `order_by` names the columns whose last row counts when the source repeats a
     key; without it the source must hold each key once.
+
+    Both sides meet in a full outer join by key. With `small_source`, for a source whose row
+    count was checked, it is broadcast instead and the target is not shuffled at all.
     """
     if not keys:
         raise ValueError("an upsert needs its key columns")
@@ -46,16 +58,18 @@ def merge_upsert(
         *[F.col(c).cast(target.schema[c].dataType).alias(f"_new_{c}") for c in supplied],
         F.lit(True).alias("_given"),
     )
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_new_{k}"))
-    merged = target.join(fresh, same, "full_outer")
-    return merged.select(
-        *[
-            F.when(F.col("_given"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in supplied else F.col(c)
-            for c in target.columns
-        ]
-    )
+    same = reduce(and_, [F.col(k) == F.col(f"_new_{k}") for k in keys])
+    result = [
+        F.when(F.col("_given"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in supplied else F.col(c)
+        for c in target.columns
+    ]
+    if not small_source:
+        return target.join(fresh, same, "full_outer").select(*result)
+    known = target.select(*keys).join(F.broadcast(fresh.select(*[f"_new_{k}" for k in keys])), same, "left_semi")
+    added = fresh.join(F.broadcast(known.distinct()), same, "left_anti")
+    blanks = [F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns if c not in supplied]
+    inserted = added.select(*[F.col(f"_new_{c}").alias(c) for c in supplied], *blanks)
+    return target.join(F.broadcast(fresh), same, "left").select(*result).unionByName(inserted)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -114,12 +128,13 @@ def upsert_table(
     target = spark.read.parquet(path)
     if not partition_by:
         fresh = f"{path.rstrip('/')}__next"
-        merge_upsert(target, source, keys, order_by).write.mode("overwrite").parquet(fresh)
+        merged = merge_upsert(target, source, keys, order_by, small_source=few(source, SMALL_SOURCE_ROWS))
+        merged.write.mode("overwrite").parquet(fresh)
         _swap(spark, fresh, path)
         return
     # the merge is written down before its input is overwritten, and once for both uses
     touched = source.select(*partition_by).distinct()
-    target = target.join(F.broadcast(touched) if _few(touched) else touched, [*partition_by], "left_semi")
+    target = target.join(small_side(touched, SMALL_SOURCE_ROWS), [*partition_by], "left_semi")
     staged = shared_dir(spark, "upsert")
     merge_upsert(target, source, keys, order_by).write.parquet(staged)
     merged = spark.read.schema(target.schema).parquet(staged)
@@ -130,7 +145,3 @@ def upsert_table(
         .partitionBy(*partition_by)
         .parquet(path)
     )
-
-
-def _few(df: DataFrame, rows: int = 10_000) -> bool:
-    return df.limit(rows + 1).count() <= rows

@@ -12,10 +12,11 @@ from merchantry.sources.tables import jdbc_options, load_tables
 SCHEMA = "k int, a string, b decimal(18,2)"
 
 
-def test_upsert_changes_supplied_columns_only(spark, rows):
+@pytest.mark.parametrize("small", [False, True])
+def test_upsert_changes_supplied_columns_only(spark, rows, small):
     target = spark.createDataFrame([(1, "x", D(1)), (2, "y", D(2)), (3, "z", D(3))], SCHEMA)
     source = spark.createDataFrame([(1, None, "new"), (4, "n", "new")], "k int, a string, unknown string")
-    merged = merge_upsert(target, source, ["k"])
+    merged = merge_upsert(target, source, ["k"], small_source=small)
     assert merged.columns == target.columns
     assert rows(merged) == [(1, None, D(1)), (2, "y", D(2)), (3, "z", D(3)), (4, "n", None)]
 
@@ -112,7 +113,7 @@ def test_tables_without_a_schema_are_inferred(spark):
 
 
 def test_jdbc_options():
-    options = jdbc_options("jdbc:mysql://h/db", "orders", "order_id", 1, 100, 8)
+    options = jdbc_options("jdbc:store://h/db", "orders", "order_id", 1, 100, 8)
     assert (options["partitionColumn"], options["numPartitions"], options["upperBound"]) == ("order_id", "8", "100")
     with pytest.raises(ValueError, match="partitions"):
         jdbc_options("u", "t", "c", 0, 1, 0)
