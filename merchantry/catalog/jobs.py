@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.catalog.model_sql import NOW, R, segment_sql
-from merchantry.catalog.registry import AS_OF, query, sql_mean, sql_percent
+from merchantry.catalog.registry import AS_OF, CTES, query, sql_mean, sql_percent
 from merchantry.catalog.sources import RECENT_DAYS
 from merchantry.functions.classify import customer_segment, lifetime_value_tier
 from merchantry.functions.scalar import age_years
@@ -59,33 +59,48 @@ def _(m: Model) -> DataFrame:
     return summary(m).select("customer_id", "total_spent", lifetime_value_tier(R).alias("lifetime_value_tier"))
 
 
-@query(
-    "k4_customer_geography",
-    """SELECT customer_id, city AS primary_shipping_city, state AS primary_shipping_state,
-      country AS primary_shipping_country, n AS orders_to_place
-    FROM (SELECT o.customer_id, a.city, a.state, a.country, count(*) AS n,
-        row_number() OVER (PARTITION BY o.customer_id ORDER BY count(*) DESC, a.city, a.state, a.country) AS r
-      FROM m_live o JOIN m_addresses a ON o.shipping_address_id = a.address_id
-      GROUP BY o.customer_id, a.city, a.state, a.country) WHERE r = 1""",
-)
-def _(m: Model) -> DataFrame:
+CTES["v_place"] = """
+  SELECT customer_id, city AS primary_shipping_city, state AS primary_shipping_state,
+    country AS primary_shipping_country, n AS orders_to_place
+  FROM (SELECT o.customer_id, a.city, a.state, a.country, count(*) AS n,
+      row_number() OVER (PARTITION BY o.customer_id ORDER BY count(*) DESC, a.city, a.state, a.country) AS r
+    FROM m_live o JOIN m_addresses a ON o.shipping_address_id = a.address_id
+    GROUP BY o.customer_id, a.city, a.state, a.country) WHERE r = 1"""
+CTES["v_category"] = """
+  SELECT s.customer_id, g.category_name AS favorite_category,
+    row_number() OVER (PARTITION BY s.customer_id ORDER BY sum(s.quantity) DESC, g.category_name) AS r
+  FROM j_sold s JOIN m_products p ON s.product_id = p.product_id
+    JOIN m_categories g ON p.category_id = g.category_id
+  GROUP BY s.customer_id, g.category_name"""
+CTES["v_behaviour"] = """
+  SELECT s.customer_id, c.favorite_category, CAST(sum(s.quantity) AS BIGINT) AS total_products_purchased,
+    count(DISTINCT s.product_id) AS unique_products_purchased
+  FROM j_sold s JOIN v_category c ON s.customer_id = c.customer_id AND c.r = 1
+  GROUP BY s.customer_id, c.favorite_category"""
+
+
+def geography(m: Model) -> DataFrame:
     return customers.customer_geography(m.orders, m.addresses)
 
 
+def behaviour(m: Model) -> DataFrame:
+    return customers.customer_behaviour(m.orders, m.order_items, m.products, m.categories)
+
+
+query("k4_customer_geography", "SELECT * FROM v_place")(geography)
+query("k5_customer_behaviour", "SELECT * FROM v_behaviour")(behaviour)
+
+
 @query(
-    "k5_customer_behaviour",
-    """WITH c AS (
-      SELECT s.customer_id, g.category_name, sum(s.quantity) AS units,
-        row_number() OVER (PARTITION BY s.customer_id ORDER BY sum(s.quantity) DESC, g.category_name) AS r
-      FROM j_sold s JOIN m_products p ON s.product_id = p.product_id
-        JOIN m_categories g ON p.category_id = g.category_id
-      GROUP BY s.customer_id, g.category_name),
-    u AS (SELECT customer_id, CAST(sum(quantity) AS BIGINT) AS total_products_purchased,
-        count(DISTINCT product_id) AS unique_products_purchased FROM j_sold GROUP BY 1)
-    SELECT u.*, c.category_name AS favorite_category FROM u JOIN c ON u.customer_id = c.customer_id AND c.r = 1""",
+    "k5_customer_report",
+    """SELECT s.*, p.primary_shipping_city, p.primary_shipping_state, p.primary_shipping_country, b.favorite_category,
+      coalesce(b.unique_products_purchased, 0) AS unique_products_purchased
+    FROM j_summary s LEFT JOIN v_place p ON s.customer_id = p.customer_id
+      LEFT JOIN v_behaviour b ON s.customer_id = b.customer_id""",
 )
 def _(m: Model) -> DataFrame:
-    return customers.customer_behaviour(m.orders, m.order_items, m.products, m.categories)
+    """The full summary row: order figures, segment and tier with place and behaviour."""
+    return customers.customer_report(summary(m), geography(m), behaviour(m))
 
 
 SEGMENT_SQL = f"""SELECT customer_segment, count(*) AS customer_count,

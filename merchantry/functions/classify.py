@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from merchantry.functions.scalar import band, col
 from merchantry.rules import Rules
 
+# The class names below are what stored summaries and reports contain.
+
 
 def customer_segment(
     rules: Rules,

@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 
 from merchantry.functions.classify import selectivity_level
 from merchantry.functions.scalar import Moment, mean, preview, rate_or_zero, within_last, zero_if_null
-from merchantry.operators.joins import never_used
 from merchantry.operators.ordering import top_k
 from merchantry.plans.quality import stacked
 
-__all__ = ["never_used"]
-
 SEVERITY = ["healthy", "warning", "critical"]
 
 
@@ -177,9 +174,16 @@ def size_status(megabytes: Column) -> Column:
 
 
 def health_checks(
-    quality: DataFrame, growth: DataFrame, fresh: DataFrame, total_rows: DataFrame
+    quality: DataFrame,
+    growth: DataFrame,
+    fresh: DataFrame,
+    total_rows: DataFrame,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per check with its status and the figure it was judged by."""
+    """One row per check with its status and the figure it was judged by.
+
+    `sizes` adds the check of the total size over the rows of `table_sizes`.
+    """
 
     def check(df: DataFrame, name: str, status: Column, figure: Column) -> DataFrame:
         return df.select(
@@ -189,8 +193,13 @@ def health_checks(
     quiet = F.when(F.col("last_hour_records") == 0, "warning").otherwise("healthy")
     stale = F.when(F.col("stale_summaries") > 0, "warning").otherwise("healthy")
     filled = F.when(F.col("record_count") > 0, "healthy").otherwise("critical")
+    checks = []
+    if sizes is not None:
+        total = sizes.agg(zero_if_null(F.sum("total_size_mb")).alias("megabytes"))
+        checks.append(check(total, "database_size", size_status(F.col("megabytes")), F.col("megabytes")))
     return stacked(
         [
+            *checks,
             check(quality, "query_performance", query_performance_status(), F.col("total_queries")),
             check(growth, "audit_log", quiet, F.col("last_hour_records")),
             check(fresh, "summary_freshness", stale, F.col("stale_summaries")),

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.functions.scalar import money, zero_if_null
+from merchantry.functions.scalar import money, same_text, zero_if_null
 from merchantry.plans.products import product_inventory
 
 
@@ -37,7 +37,7 @@ def duplicates(name: str, df: DataFrame, columns: Sequence[str], any_case: bool
 
     `any_case` compares text without regard to case and accents. NULL keys are allowed to repeat.
     """
-    keys = [F.collate(F.col(c), "UNICODE_CI_AI").alias(c) if any_case else F.col(c) for c in columns]
+    keys = [same_text(c).alias(c) if any_case else F.col(c) for c in columns]
     repeated = df.dropna(subset=list(columns)).groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
     return repeated.agg(
         F.lit(name).alias("check_name"),

@@ -30,8 +30,25 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/merchantry/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
     """The frame as a table in the shared folder: computed once, and its lineage ends there."""
-    path = shared_dir(df.sparkSession, purpose)
+    path = path or shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path and the path as its object."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, location = file_system(spark, path)
+    return fs.exists(location)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table once nothing reads it any more."""
+    fs, location = file_system(spark, path)
+    fs.delete(location, True)

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from merchantry.operators.joins import few, small_side
 from merchantry.operators.ordering import latest_per_key
-from merchantry.sources.shared import shared_dir
+from merchantry.sources.shared import discard, file_system, path_exists, shared_dir, written
 
 SMALL_SOURCE_ROWS = 10_000
+MODES = {"replace": "overwrite", "append": "append"}
 
 
 def load(df: DataFrame, path: str, method: str, partition_by: Sequence[str] = ()) -> None:
@@ -22,11 +23,23 @@ def load(df: DataFrame, path: str, method: str, partition_by: Sequence[str] = ()
     Rows of a partitioned table are gathered by partition before the write, which keeps the
     files few; adaptive execution splits a partition that is too large for one task.
     """
-    modes = {"replace": "overwrite", "append": "append"}
-    if method not in modes:
-        raise ValueError(f"load method must be one of {sorted(modes)}, or use upsert_table")
+    if method not in MODES:
+        raise ValueError(f"load method must be one of {sorted(MODES)}, or use upsert_table")
     gathered = df.hint("rebalance", *partition_by) if partition_by else df
-    gathered.write.mode(modes[method]).partitionBy(*partition_by).parquet(path)
+    gathered.write.mode(MODES[method]).partitionBy(*partition_by).parquet(path)
+
+
+def save_bucketed(
+    df: DataFrame, table: str, key: str, buckets: int, path: str | None = None, method: str = "replace"
+) -> None:
+    """A catalog table whose files are bucketed and sorted by one key.
+
+    Jobs that join or group such tables by the key, like orders and their items by order,
+    read them in place instead of shuffling them. Both sides need the same bucket count.
+    The rows are spread by the key first, so that a bucket is one file and not one per task.
+    """
+    writer = df.repartition(buckets, key).write.mode(MODES[method]).bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def merge_upsert(
@@ -72,20 +85,9 @@ def merge_upsert(
     return target.join(F.broadcast(fresh), same, "left").select(*result).unionByName(inserted)
 
 
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, location = _file_system(spark, path)
-    return fs.exists(location)
-
-
 def _recover(spark: SparkSession, path: str) -> None:
     """Bring the old table back when a swap was cut off between its two renames."""
-    fs, live = _file_system(spark, path)
+    fs, live = file_system(spark, path)
     old = live.suffix("__replaced")
     if not fs.exists(live) and fs.exists(old):
         fs.rename(old, live)
@@ -93,7 +95,7 @@ def _recover(spark: SparkSession, path: str) -> None:
 
 def _swap(spark: SparkSession, fresh: str, path: str) -> None:
     """Put the written table `fresh` in the place of `path`; a failure leaves one of them whole."""
-    fs, live = _file_system(spark, path)
+    fs, live = file_system(spark, path)
     old = live.suffix("__replaced")
     if fs.exists(old):
         fs.delete(old, True)
@@ -132,12 +134,12 @@ def upsert_table(
         merged.write.mode("overwrite").parquet(fresh)
         _swap(spark, fresh, path)
         return
-    # the merge is written down before its input is overwritten, and once for both uses
-    touched = source.select(*partition_by).distinct()
+    # both are written down: the source is read three times, and the merge reads what it replaces
+    staged = [shared_dir(spark, f"upsert-{part}") for part in ("source", "merge")]
+    given = written(source, "upsert", staged[0])
+    touched = given.select(*partition_by).distinct()
     target = target.join(small_side(touched, SMALL_SOURCE_ROWS), [*partition_by], "left_semi")
-    staged = shared_dir(spark, "upsert")
-    merge_upsert(target, source, keys, order_by).write.parquet(staged)
-    merged = spark.read.schema(target.schema).parquet(staged)
+    merged = written(merge_upsert(target, given, keys, order_by), "upsert", staged[1])
     (
         merged.hint("rebalance", *partition_by)
         .write.mode("overwrite")
@@ -145,3 +147,5 @@ def upsert_table(
         .partitionBy(*partition_by)
         .parquet(path)
     )
+    for folder in staged:
+        discard(spark, folder)

@@ -142,6 +142,11 @@ def test_health(spark, events, log, rows):
     checks = monitoring.health_checks(
         monitoring.log_quality(events, 5), audit.audit_growth(log, NOW), fresh, quality.row_counts({"t": summary})
     )
+    sizes = spark.createDataFrame([("a", 9_000.5), ("b", 1_001.0)], "table_name string, total_size_mb double")
+    sized = monitoring.health_checks(
+        monitoring.log_quality(events, 5), audit.audit_growth(log, NOW), fresh, quality.row_counts({"t": summary}), sizes
+    )
+    assert rows(sized.where("component = 'database_size'")) == [("database_size", "warning", 10_001)]
     assert rows(monitoring.health_rollup(checks)) == [
         ("audit_log", "healthy", 1),
         ("database", "healthy", 2),

@@ -3,9 +3,10 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from merchantry.plans.products import product_sales
 from merchantry.sources import shared
 from merchantry.sources.adapter import Model
-from merchantry.sources.sinks import load, merge_upsert, upsert_table
+from merchantry.sources.sinks import load, merge_upsert, save_bucketed, upsert_table
 from merchantry.sources.snapshot import changes_since, export_snapshot
 from merchantry.sources.tables import jdbc_options, load_tables
 
@@ -76,6 +77,19 @@ def test_load_modes(spark, rows, tmp_path):
         load(one, path, "merge")
 
 
+def test_bucketed_tables_join_in_place(spark, tmp_path):
+    model = Model(spark, "/root/testdata/sf0.001")
+    for name in ("orders", "order_items"):
+        save_bucketed(getattr(model, name), f"bucketed_{name}", "order_id", 4, str(tmp_path / name))
+    orders, items = spark.table("bucketed_orders"), spark.table("bucketed_order_items")
+    sold = product_sales(items, orders)
+    plan = sold._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(order_id" not in plan
+    assert sold.count() == product_sales(model.order_items, model.orders).count()
+    for name in ("orders", "order_items"):
+        spark.sql(f"DROP TABLE bucketed_{name}")
+
+
 def test_snapshot_is_verified(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k int, v string")
     manifest = export_snapshot(df, str(tmp_path / "s"))
