@@ -10,10 +10,10 @@ from merchantry.catalog.registry import AS_OF, CTES, query, sql_mean, sql_percen
 from merchantry.catalog.sources import RECENT_DAYS
 from merchantry.functions.classify import customer_segment, lifetime_value_tier
 from merchantry.functions.scalar import age_years
-from merchantry.plans import audit, cohorts, customers, products, sales
+from merchantry.plans import audit, cohorts, customers, products, refresh, sales
 from merchantry.sources.adapter import Model
 from merchantry.sources.shared import shared_dir
-from merchantry.sources.sinks import load, upsert_table
+from merchantry.sources.sinks import load
 
 
 def summary(m: Model) -> DataFrame:
@@ -161,14 +161,9 @@ query("k9_backfill_daily", BACKFILL_SQL)(backfilled)
 def _(m: Model) -> DataFrame:
     """The same backfill into a table partitioned by year, touching the affected years only."""
     out = shared_dir(m.spark, "backfill")
-
-    def yearly(df: DataFrame) -> DataFrame:
-        return df.withColumn("summary_year", F.year("summary_date"))
-
-    load(yearly(_stale_daily(m)), out, "replace", ["summary_year"])
-    fresh = sales.daily_sales_summary(sales.recent_days(m.orders, AS_OF, R.backfill_days), m.customers, AS_OF)
-    upsert_table(m.spark, out, yearly(fresh), ["summary_date"], partition_by=["summary_year"])
-    return m.spark.read.parquet(out).drop("summary_year")
+    load(refresh.by_year(_stale_daily(m)), out, "replace", [refresh.YEAR])
+    refresh.upsert_daily_sales(m.spark, out, m.customers, m.orders, AS_OF, R)
+    return m.spark.read.parquet(out).drop(refresh.YEAR)
 
 
 @query(
@@ -291,9 +286,8 @@ def _(m: Model) -> DataFrame:
 @query("x3_refresh_customer_order_summary", "SELECT * FROM j_summary")
 def _(m: Model) -> DataFrame:
     out = shared_dir(m.spark, "summary")
-    fresh = summary(m)
-    load(fresh, out, "replace")
-    return m.spark.read.schema(fresh.schema).parquet(out)
+    refresh.rebuild_customer_summary(out, m.customers, m.orders, m.order_items, AS_OF, R)
+    return m.spark.read.parquet(out)
 
 
 def activity_snapshot(m: Model, as_of: str, days: int = 120) -> DataFrame:

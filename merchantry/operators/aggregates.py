@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.functions.scalar import money, percent
@@ -18,12 +18,12 @@ MEDIAN_GROUP_ROWS = 250_000
 def share_of_total(df: DataFrame, group: str, count_name: str, share_name: str) -> DataFrame:
     """Rows per group and their share of all rows in percent.
 
-    The total is a window over the grouped result, one row per class, so the table is
-    scanned once. For groups with a small, fixed set of values.
+    The total is counted first, which for a stored table reads the file footers only. A
+    window over the groups would bring them all into one task.
     """
+    total = F.lit(df.count())
     counted = df.groupBy(group).agg(F.count("*").alias(count_name))
-    whole = F.sum(count_name).over(Window.partitionBy())
-    return counted.withColumn(share_name, percent(count_name, whole))
+    return counted.withColumn(share_name, percent(count_name, total))
 
 
 def most_frequent(

@@ -35,8 +35,8 @@ def save_bucketed(
     """A catalog table whose files are bucketed and sorted by one key.
 
     Jobs that join or group such tables by the key, like orders and their items by order,
-    read them in place instead of shuffling them. Both sides need the same bucket count.
-    The rows are spread by the key first, so that a bucket is one file and not one per task.
+    read them in place instead of shuffling them. Both sides need the same bucket count, and
+    the key should have no dominating value, as all rows of a value share a bucket. The rows are spread by the key first, so that a bucket is one file and not one per task.
     """
     writer = df.repartition(buckets, key).write.mode(MODES[method]).bucketBy(buckets, key).sortBy(key)
     (writer.option("path", path) if path else writer).saveAsTable(table)

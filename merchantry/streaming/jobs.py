@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from merchantry.functions.scalar import Moment, moment
 from merchantry.plans.monitoring import quality_counts, quality_rates
+from merchantry.plans.refresh import YEAR, by_year
 from merchantry.plans.sales import DAY, daily_sales_summary
 from merchantry.sources.sinks import upsert_table
 
@@ -121,8 +122,7 @@ def daily_refresh(
         )
         affected = ranged.join(days, F.to_date("created_at") == F.col("_day"), "left_semi")
         fresh = daily_sales_summary(affected, customers(), as_of)
-        fresh = fresh.withColumn("summary_year", F.year(DAY))
-        upsert_table(batch.sparkSession, out, fresh, [DAY], partition_by=["summary_year"])
+        upsert_table(batch.sparkSession, out, by_year(fresh), [DAY], partition_by=[YEAR])
 
     return _run(changed_orders, write, checkpoint, "append")
 

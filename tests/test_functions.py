@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import date, datetime
 from decimal import Decimal as D
 
@@ -98,6 +99,28 @@ def test_merge_patch_follows_the_rfc(spark):
     assert got == [python_merge(o, p) for o, p in CASES]
 
 
+def random_value(rng, depth):
+    kinds = ["int", "text", "bool", "null", "list"] + ["object"] * (2 if depth else 0)
+    kind = rng.choice(kinds)
+    if kind == "object":
+        return {rng.choice("abcd"): random_value(rng, depth - 1) for _ in range(rng.randrange(4))}
+    if kind == "list":
+        return [random_value(rng, 0) for _ in range(rng.randrange(3))]
+    return {"int": rng.randrange(-5, 10**12), "text": rng.choice(["", "é", 'q"', "x y"]), "bool": True, "null": None}[kind]
+
+
+def test_merge_patch_agrees_with_brute_force(spark):
+    rng = random.Random(3)
+    cases = []
+    while len(cases) < 400:
+        pair = [random_value(rng, 4), random_value(rng, 4)]
+        if all(isinstance(side, dict) for side in pair):
+            cases.append(pair)
+    df = spark.createDataFrame([tuple(json.dumps(side) for side in pair) for pair in cases], "o string, p string")
+    got = [json.loads(r[0]) for r in df.select(merge_patch("o", "p")).collect()]
+    assert got == [python_merge(o, p) for o, p in cases]
+
+
 def test_merge_patch_with_missing_sides(spark):
     df = spark.createDataFrame([(None, '{"a": 1, "b": null}'), ('{"a": 1}', None), (None, None)], "o string, p string")
     assert [r[0] for r in df.select(merge_patch("o", "p")).collect()] == ['{"a":1}', '{"a":1}', "{}"]
