@@ -249,3 +249,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         F.col("doc_id").eqNullSafe(component).alias("kept"),
         "set_key",
     )
+
+
+def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of `docs`, all columns, with one document of each group: that of the smallest doc_id.
+
+    Rows whose id stands once, all of them as a rule, are kept or dropped by id. Where an id
+    is repeated, rows are told apart by their shingle set as well, and of equal ones one is
+    kept. Texts without words have no duplicates and all stay.
+    """
+    verdict = written(near_duplicates(docs, percent), "verdict")
+    marks = verdict.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("any"))
+    marks = marks.where("n > 1 or not any").select(F.col("doc_id").alias("_id"), (F.col("n") > 1).alias("_again"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id").join(marks, same, "left")
+    once = rows.where("_again is null").select("_row.*")
+
+    key = F.pandas_udf(lambda texts: pd.Series([set_key(shingle_set(t)) for t in texts], dtype=object), "binary")
+    again = rows.where("_again").select("_row", "_id").withColumn("_key", key(F.col("_row.text")))
+    keep = verdict.where("kept and set_key is not null").groupBy("doc_id", "set_key").agg(F.lit(True).alias("keep"))
+    keep = keep.withColumnsRenamed({"doc_id": "_of", "set_key": "_set"})
+    chosen = again.join(keep, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_set")))
+    first = chosen.groupBy("_id", "_key").agg(F.first("_row").alias("_row")).select("_row.*")
+    empty = again.where("_key is null").select("_row.*")
+    return once.union(first).union(empty)

@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantry.llm import binary, fingerprints, language, neardup, packing, quality, shards
+from merchantry.llm import (
+    binary,
+    decontaminate,
+    fingerprints,
+    language,
+    licences,
+    neardup,
+    packing,
+    pii,
+    quality,
+    shards,
+)
 from merchantry.llm.ship import ship
 from merchantry.sources.shared import shared_dir
 
@@ -33,6 +44,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_token_files(spark, path, digest=True)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents")).drop("set_key")
 
@@ -49,6 +64,10 @@ def op6_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -57,8 +76,13 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licences.scan_licences(docs, licences.train(docs))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_language_id, op3_token_files, op5_near_duplicates, op6_uniform_shards,
-    op8_packed_sequences, op9_fingerprints,
+    op1_quality_classifier, op2_language_id, op3_token_files, op4_decontamination, op5_near_duplicates,
+    op6_uniform_shards, op7_personal_data, op8_packed_sequences, op9_fingerprints, op10_licences,
 )}
 ORACLES: dict[str, str] = {}
