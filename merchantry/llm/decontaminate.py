@@ -247,5 +247,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chunk_windows: int = CHU
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, whose id has no match. Rows with a null id are judged as one."""
-    leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_leaked")), "left_anti")
+    leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"))
+    return rows.join(leaks, F.col("id").eqNullSafe(F.col("leaked")), "left_anti").select("row.*")

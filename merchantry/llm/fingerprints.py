@@ -77,11 +77,9 @@ def _described(own: pd.DataFrame, following: list[str], fraction: int) -> pd.Dat
     texts = own["text"].tolist()
     prints = [sketch(t, fraction) for t in texts]
     # most successors are the next row, whose sketch is known already
-    after = [*prints[1:], None] if texts else []
-    after = [
-        p if p is not None and n is t else sketch(n, fraction)
-        for p, n, t in zip(after, following, [*texts[1:], None], strict=True)
-    ]
+    known = zip(prints[1:], texts[1:], strict=True)
+    after = [p if n is t else sketch(n, fraction) for (p, t), n in zip(known, following, strict=False)]
+    after += [sketch(n, fraction) for n in following[len(after) :]]
     edits = [_edited(t, n) for t, n in zip(texts, following, strict=True)]
     changed = [sketch(e, fraction) for e in edits]
     return pd.DataFrame(
@@ -122,7 +120,8 @@ def _compare(fraction: int):
                 at.append(i)
                 following.append(text[i + 1] if bucket[i + 1] == bucket[i] else first)
             held = None if guest[end] else rows.iloc[[end]]
-            yield _described(rows.iloc[at], following, fraction)
+            if at:
+                yield _described(rows.iloc[at], following, fraction)
         if held is not None:
             yield _described(held, [first], fraction)
 

@@ -14,9 +14,8 @@ def id_buckets(df: DataFrame, column: str, name: str, buckets: int) -> DataFrame
     their order. They are all the driver sees.
     """
     value = F.col(column).cast("double")
-    cuts = df.select(value.alias("at")).approxQuantile(
-        "at", [i / buckets for i in range(1, buckets)], 0.25 / buckets
-    )
+    steps = [i / buckets for i in range(1, buckets)] or [0.5]
+    cuts = df.select(value.alias("at")).approxQuantile("at", steps, 0.25 / buckets)
     splits = [float("-inf"), *sorted({0.0, *cuts}), float("inf")]  # one cut at least is required
     keyed = df.withColumn("_at", F.coalesce(value, F.lit(float("-inf"))))
     bucketed = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket").transform(keyed)

@@ -81,39 +81,39 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
        into shards: the local permutation.
     4. Inside a shard the second key orders the rows: the second permutation. Its hash ranges
        are buckets with counted offsets, so that a shard of any size is never sorted whole.
-    Keys hash the row and its number, so repeated rows scatter like others, and a lost task
-    writes the same keys again. An empty table gives no rows.
+    Keys hash the number of the row, so repeated rows scatter like others, and a lost task
+    writes the same keys again. Columns named shard or slot are replaced. An empty table gives
+    no rows.
     """
     spark = df.sparkSession
-    names = df.columns
-    keyed = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_from", F.spark_partition_id())
-    keyed = keyed.withColumn("_first", F.xxhash64(F.lit(seed), "_row")).withColumn(
-        "_second", F.xxhash64(F.lit(seed + 1), "_row", F.lit("slot"))
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    keyed = df.select(F.struct(*names).alias("row")).withColumn("number", F.monotonically_increasing_id())
+    keyed = keyed.withColumn("source", F.spark_partition_id())
+    keyed = keyed.withColumn("first", F.xxhash64(F.lit(seed), "number")).withColumn(
+        "second", F.xxhash64(F.lit(seed + 1), "number", F.lit("slot"))
     )
     rows = written(keyed, "shuffle")
-    counts = sorted((r["_from"], r["count"]) for r in rows.groupBy("_from").count().collect())
+    counts = sorted((r["source"], r["count"]) for r in rows.groupBy("source").count().collect())
     matrix = communication_matrix([n for _, n in counts], shards, seed)
-    cuts, at = [], {}
-    for (source, _), row in zip(counts, matrix, strict=True):
-        end = 0
-        for shard, n in enumerate(row):
-            if n:
-                cuts.append((source, shard, end, end + n))
-            end += n
-        at[source] = row
-    plan = spark.createDataFrame(cuts, "_from int, _shard int, _begin bigint, _end bigint")
-    ranges = plan.groupBy("_from").agg(F.array_sort(F.collect_list(F.struct("_end", "_shard"))).alias("_ends"))
-
-    local = Window.partitionBy("_from").orderBy("_first", "_row")
-    ranked = rows.withColumn("_rank", F.row_number().over(local) - 1).join(F.broadcast(ranges), "_from")
-    shard = F.filter("_ends", lambda e: e["_end"] > F.col("_rank"))[0]["_shard"]
-    dealt = ranked.select(*names, "_row", "_second", shard.alias("shard"))
+    cuts = [
+        (source, shard, sum(sent[: shard + 1]))
+        for (source, _), sent in zip(counts, matrix, strict=True)
+        for shard in range(shards)
+        if sent[shard]
+    ]
+    plan = spark.createDataFrame(cuts, "source int, shard int, end bigint")
+    ranges = plan.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"))
+
+    local = Window.partitionBy("source").orderBy("first", "number")
+    ranked = rows.withColumn("rank", F.row_number().over(local) - 1).join(F.broadcast(ranges), "source")
+    shard = F.filter("ends", lambda e: e["end"] > F.col("rank"))[0]["shard"]
+    dealt = ranked.select("row", "number", "second", shard.alias("shard"))
 
     buckets = max(1, 4 * shuffle_partitions(df) // shards)
-    slice_of = F.floor((F.col("_second").cast("double") / 2.0**64 + 0.5) * buckets).cast("int")
-    dealt = written(dealt.withColumn("_slice", F.least(slice_of, F.lit(buckets - 1))), "shuffle")
-    sizes = dealt.groupBy("shard", "_slice").agg(F.count("*").alias("_n"))
-    offsets = totals_before(sizes, "_slice", "_n", "_before", ("shard",)).drop("_n")
-    inside = Window.partitionBy("shard", "_slice").orderBy("_second", "_row")
-    placed = dealt.withColumn("_at", F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["shard", "_slice"])
-    return placed.select(*names, "shard", (F.col("_before") + F.col("_at")).alias("slot"))
+    bucket = F.floor((F.col("second").cast("double") / 2.0**64 + 0.5) * buckets).cast("int")
+    dealt = written(dealt.withColumn("bucket", F.least(bucket, F.lit(buckets - 1))), "shuffle")
+    sizes = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    offsets = totals_before(sizes, "bucket", "n", "before", ("shard",)).drop("n")
+    inside = Window.partitionBy("shard", "bucket").orderBy("second", "number")
+    placed = dealt.withColumn("at", F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["shard", "bucket"])
+    return placed.select("row.*", "shard", (F.col("before") + F.col("at")).alias("slot"))
