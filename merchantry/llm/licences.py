@@ -91,9 +91,11 @@ def _examples(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "number int, label int, paragraph string")
 
 
-def _templates(model: PipelineModel, spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(TEMPLATES, "family string, paragraph string")
-    return model.transform(rows).select(F.col("family").alias("_family"), F.array_distinct("grams").alias("_template"))
+def _shares(model: PipelineModel, spark: SparkSession) -> list[tuple[str, Column]]:
+    """Per template its family, and the share of its word pairs that the column grams holds."""
+    rows = model.transform(spark.createDataFrame(TEMPLATES, "family string, paragraph string")).collect()
+    found = [(r["family"], list(dict.fromkeys(r["grams"]))) for r in rows]
+    return [(family, F.size(F.array_intersect("grams", F.lit(grams))) / len(grams)) for family, grams in found]
 
 
 def _margin(probability: str) -> Column:
@@ -124,8 +126,7 @@ def train(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> LicenceModel:
     ).fit(examples)
     some = docs.where(sampled("doc_id", docs.count(), max_documents))
     pool = features.transform(paragraphs(some).select("paragraph").distinct())
-    grams = [r["_template"] for r in _templates(features, spark).collect()]
-    shares = [F.size(F.array_intersect("grams", F.lit(g))) / len(g) for g in grams]
+    shares = [share for _, share in _shares(features, spark)]
     clean = pool.where(F.greatest(*shares) < 0.5).select(
         F.xxhash64("paragraph").alias("number"), F.lit(len(FAMILIES)).alias("label"), "features"
     )
@@ -163,10 +164,11 @@ def notices(docs: DataFrame, model: LicenceModel) -> DataFrame:
     likely = scored.select(
         "doc_id", "text_hash", "part", "grams", F.element_at(names, best).alias("family"), sure.alias("probability")
     ).where(F.col("probability") >= CONFIDENT)
-    compared = likely.join(F.broadcast(_templates(model.features, docs.sparkSession)), F.col("family") == F.col("_family"))
-    similarity = F.size(F.array_intersect("_template", "grams")) / F.size("_template")
-    hits = compared.withColumn("similarity", similarity).where(F.col("similarity") >= CONFIRMED)
-    return hits.groupBy("doc_id", "text_hash", "part", "family").agg(
+    shares = _shares(model.features, docs.sparkSession)
+    similarity = F.greatest(*[F.when(F.col("family") == family, share) for family, share in shares])
+    hits = likely.withColumn("similarity", similarity).where(F.col("similarity") >= CONFIRMED).drop("grams")
+    # few rows; written down, so that the scan of all texts runs once and in one stage
+    return written(hits, "notices").groupBy("doc_id", "text_hash", "part", "family").agg(
         F.max("probability").alias("probability"), F.max("similarity").alias("similarity")
     )
 
