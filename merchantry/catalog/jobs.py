@@ -9,7 +9,7 @@ from merchantry.catalog.model_sql import NOW, R, segment_sql
 from merchantry.catalog.registry import AS_OF, CTES, query, sql_mean, sql_percent
 from merchantry.catalog.sources import RECENT_DAYS
 from merchantry.functions.classify import customer_segment, lifetime_value_tier
-from merchantry.functions.scalar import age_years
+from merchantry.functions.scalar import TOTAL, age_years
 from merchantry.plans import audit, cohorts, customers, products, refresh, sales
 from merchantry.sources.adapter import Model
 from merchantry.sources.shared import shared_dir
@@ -169,7 +169,7 @@ def _(m: Model) -> DataFrame:
 @query(
     "k10_monthly_sales_trend",
     f"""SELECT strftime(summary_date, '%Y-%m') AS month, CAST(sum(total_orders) AS BIGINT) AS monthly_orders,
-      CAST(sum(total_order_value) AS DECIMAL(18,2)) AS monthly_revenue,
+      CAST(sum(total_order_value) AS DECIMAL(38,2)) AS monthly_revenue,
       {sql_mean("sum(avg_order_value)", "count(avg_order_value)")} AS avg_monthly_order_value,
       CAST(sum(new_customers) AS BIGINT) AS new_customers_acquired,
       {sql_mean("sum(total_customers)", "count(total_customers)")} AS avg_daily_customers
@@ -201,8 +201,7 @@ def _(m: Model) -> DataFrame:
     FROM j_perf WHERE is_active""",
 )
 def _(m: Model) -> DataFrame:
-    # the number of products is read from the file footers
-    return products.top_performing_products(performance(m), rows=m.products.count())
+    return products.top_performing_products(performance(m))
 
 
 query("k15_customer_cohorts", "SELECT * FROM j_cohorts")(cohort_table)
@@ -238,7 +237,7 @@ def _(m: Model) -> DataFrame:
 @query(
     "k19_customer_spend_report",
     """SELECT c.first_name, c.last_name, c.email, count(o.order_id) AS total_orders,
-      CAST(coalesce(sum(o.total_amount), 0) AS DECIMAL(18,2)) AS total_spent
+      CAST(coalesce(sum(o.total_amount), 0) AS DECIMAL(38,2)) AS total_spent
     FROM m_customers c LEFT JOIN m_orders o ON c.customer_id = o.customer_id
     GROUP BY c.customer_id, c.first_name, c.last_name, c.email""",
 )
@@ -290,39 +289,41 @@ def _(m: Model) -> DataFrame:
     return m.spark.read.parquet(out)
 
 
-def activity_snapshot(m: Model, as_of: str, days: int = 120) -> DataFrame:
-    """Customers with orders in the days before a date, as a table that changes over time."""
-    return (
-        sales.recent_days(m.orders, as_of, days)
-        .groupBy("customer_id")
-        .agg(
-            F.count("*").alias("orders"),
-            F.sum("total_amount").cast("decimal(18,2)").alias("spent"),
-            F.max("created_at").alias("last_order"),
-        )
+def totals_before(m: Model, as_of: str) -> DataFrame:
+    """Customers with their orders so far, as a table that changes over time."""
+    seen = m.orders.where(F.col("created_at") < F.lit(as_of).cast("timestamp_ntz"))
+    return seen.groupBy("customer_id").agg(
+        F.count("*").alias("orders"),
+        F.sum("total_amount").cast(TOTAL).alias("spent"),
+        F.max("created_at").alias("last_order"),
     )
 
 
-SNAPSHOTS = ("2001-07-01 00:00:00", AS_OF)
+EARLIER_SNAPSHOT = "2001-07-01 00:00:00"
 
 
 def _snapshot_sql(as_of: str) -> str:
-    return f"""SELECT customer_id, count(*) AS orders, CAST(sum(total_amount) AS DECIMAL(18,2)) AS spent,
-      max(created_at) AS last_order FROM m_orders
-    WHERE created_at >= TIMESTAMP '{as_of}' - INTERVAL 120 DAY AND created_at < TIMESTAMP '{as_of}' GROUP BY 1"""
+    return f"""SELECT customer_id, count(*) AS orders, CAST(sum(total_amount) AS DECIMAL(38,2)) AS spent,
+      max(created_at) AS last_order FROM m_orders WHERE created_at < TIMESTAMP '{as_of}' GROUP BY 1"""
 
 
+# customers who are no longer active leave the table, and the later one has a column more
 CHANGES_SQL = f"""SELECT
       CASE WHEN o.customer_id IS NULL THEN 'INSERT' WHEN n.customer_id IS NULL THEN 'DELETE' ELSE 'UPDATE' END
         AS operation, CAST(coalesce(o.customer_id, n.customer_id) AS VARCHAR) AS record_id,
-      o.orders AS old_orders, n.orders AS new_orders, o.spent AS old_spent, n.spent AS new_spent
-    FROM ({_snapshot_sql(SNAPSHOTS[0])}) o FULL OUTER JOIN ({_snapshot_sql(SNAPSHOTS[1])}) n
+      o.orders AS old_orders, n.orders AS new_orders, o.spent AS old_spent, n.spent AS new_spent, n.frequent AS frequent
+    FROM ({_snapshot_sql(EARLIER_SNAPSHOT)}) o
+    FULL OUTER JOIN (SELECT s.*, CASE WHEN s.orders > 10 THEN 'yes' END AS frequent FROM ({_snapshot_sql(AS_OF)}) s
+      JOIN m_customers c ON s.customer_id = c.customer_id WHERE c.customer_status = 'active') n
       ON o.customer_id = n.customer_id
-    WHERE (o.orders, o.spent) IS DISTINCT FROM (n.orders, n.spent)"""
+    WHERE (o.orders, o.spent) IS DISTINCT FROM (n.orders, n.spent) OR n.frequent IS NOT NULL"""
 
 
 def captured(m: Model) -> DataFrame:
-    old, new = (activity_snapshot(m, day) for day in SNAPSHOTS)
+    active = m.customers.where(F.col("customer_status") == "active").select("customer_id")
+    old = totals_before(m, EARLIER_SNAPSHOT)
+    new = totals_before(m, AS_OF).join(active, "customer_id", "left_semi")
+    new = new.withColumn("frequent", F.when(F.col("orders") > 10, "yes"))
     context = {"user": "etl_system", "application": "ETL_Pipeline"}
     return audit.capture_changes(
         old, new, "customer_id", "customer_activity", AS_OF, context, exclude=["last_order"]

@@ -114,7 +114,7 @@ def _summary_sql(item_join: str, units: str) -> str:
     SELECT c.customer_id, c.email AS customer_email, c.first_name || ' ' || c.last_name AS customer_name,
       c.phone AS customer_phone, CAST(c.created_at AS DATE) AS customer_created_date,
       count(o.order_id) AS total_orders,
-      CAST(coalesce(sum(o.total_amount), 0) AS DECIMAL(18,2)) AS total_spent,
+      CAST(coalesce(sum(o.total_amount), 0) AS DECIMAL(38,2)) AS total_spent,
       coalesce({sql_mean_money("sum(o.total_amount)", "count(o.total_amount)")}, CAST(0 AS DECIMAL(18,2)))
         AS avg_order_value,
       CAST(coalesce(min(o.total_amount), 0) AS DECIMAL(18,2)) AS min_order_value,
@@ -140,7 +140,7 @@ CTES["j_daily"] = f"""
     dayofweek(summary_date) IN (0, 6) AS is_weekend, {NOW} AS last_calculated_at
   FROM (
     SELECT CAST(o.created_at AS DATE) AS summary_date, count(DISTINCT o.order_id) AS total_orders,
-      CAST(sum(o.total_amount) AS DECIMAL(18,2)) AS total_order_value,
+      CAST(sum(o.total_amount) AS DECIMAL(38,2)) AS total_order_value,
       {sql_mean_money("sum(o.total_amount)", "count(o.total_amount)")} AS avg_order_value,
       count(DISTINCT o.customer_id) AS total_customers,
       count(DISTINCT CASE WHEN c.created_at >= CAST(o.created_at AS DATE) - INTERVAL 1 DAY
@@ -168,7 +168,7 @@ _SPEED = (
 )
 
 CTES["j_perf"] = f"""
-  SELECT *, CAST(total_revenue - total_cost AS DECIMAL(18,2)) AS total_profit,
+  SELECT *, CAST(total_revenue - total_cost AS DECIMAL(38,2)) AS total_profit,
     {sql_percent("(total_revenue - total_cost)", "total_revenue")} AS profit_margin_percent,
     {sql_mean_money("total_quantity_sold", "total_orders")} AS avg_quantity_per_order,
     {sql_mean_money("total_revenue", "total_orders")} AS avg_revenue_per_order,
@@ -181,8 +181,8 @@ CTES["j_perf"] = f"""
   FROM (
     SELECT p.product_id, p.sku, p.product_name, c.category_name, c.category_hierarchy,
       CAST(coalesce(sum(s.quantity), 0) AS BIGINT) AS total_quantity_sold,
-      CAST(coalesce(sum(s.total_price), 0) AS DECIMAL(18,2)) AS total_revenue,
-      CAST(coalesce(sum(s.quantity), 0) * p.cost AS DECIMAL(18,2)) AS total_cost,
+      CAST(coalesce(sum(s.total_price), 0) AS DECIMAL(38,2)) AS total_revenue,
+      CAST(coalesce(sum(s.quantity), 0) * p.cost AS DECIMAL(38,2)) AS total_cost,
       count(DISTINCT s.order_id) AS total_orders, count(DISTINCT s.customer_id) AS unique_customers,
       min(s.created_at) AS first_sale_date, max(s.created_at) AS last_sale_date,
       CAST(date_diff('day', max(s.created_at), {NOW}) AS BIGINT) AS days_since_last_sale,
@@ -209,7 +209,7 @@ CTES["c_grid"] = f"""
   SELECT cohort, count(*) AS size, unnest(range(0, {_EDGE} - cohort + 1)) AS period FROM c_first GROUP BY cohort"""
 CTES["c_facts"] = f"""
   SELECT f.cohort, {sql_month("o.created_at")} - f.cohort AS period, count(DISTINCT o.customer_id) AS active,
-    count(*) AS orders, CAST(sum(o.total_amount) AS DECIMAL(18,2)) AS revenue
+    count(*) AS orders, CAST(sum(o.total_amount) AS DECIMAL(38,2)) AS revenue
   FROM m_live o JOIN c_first f ON o.customer_id = f.customer_id GROUP BY 1, 2"""
 CTES["c_left"] = "SELECT cohort, final - cohort + 1 AS period, count(*) AS churned FROM c_first GROUP BY 1, 2"
 CTES["j_cohorts"] = f"""
@@ -217,9 +217,9 @@ CTES["j_cohorts"] = f"""
     CAST(g.period AS BIGINT) AS period_number, g.size AS customers_in_cohort,
     coalesce(a.active, 0) AS active_customers,
     {sql_percent("coalesce(a.active, 0)", "g.size")} AS retention_rate,
-    CAST(coalesce(a.revenue, 0) AS DECIMAL(18,2)) AS total_revenue,
+    CAST(coalesce(a.revenue, 0) AS DECIMAL(38,2)) AS total_revenue,
     {sql_mean_money("coalesce(a.revenue, 0)", "g.size")} AS avg_revenue_per_customer,
-    CAST(sum(coalesce(a.revenue, 0)) OVER (PARTITION BY g.cohort ORDER BY g.period) AS DECIMAL(18,2))
+    CAST(sum(coalesce(a.revenue, 0)) OVER (PARTITION BY g.cohort ORDER BY g.period) AS DECIMAL(38,2))
       AS cumulative_revenue,
     CAST(coalesce(a.orders, 0) AS BIGINT) AS total_orders,
     coalesce({sql_mean_money("coalesce(a.orders, 0)", "coalesce(a.active, 0)")}, CAST(0 AS DECIMAL(18,2)))
@@ -254,7 +254,7 @@ def _top_place(column: str) -> str:
 CTES["d_city"] = _top_place("city")
 CTES["d_state"] = _top_place("state")
 CTES["d_category"] = """
-  SELECT summary_date, category_name AS top_category, CAST(revenue AS DECIMAL(18,2)) AS top_category_revenue,
+  SELECT summary_date, category_name AS top_category, CAST(revenue AS DECIMAL(38,2)) AS top_category_revenue,
     orders AS top_category_orders
   FROM (
     SELECT CAST(s.created_at AS DATE) AS summary_date, c.category_name, sum(s.total_price) AS revenue,

@@ -19,7 +19,7 @@ from merchantry.catalog.registry import (
 from merchantry.functions import scalar
 from merchantry.functions.classify import class_rank, customer_segment
 from merchantry.functions.documents import merge_patch, row_image, string_list
-from merchantry.functions.scalar import MONEY, before, moment, money, within_last, zero_if_null
+from merchantry.functions.scalar import MONEY, before, moment, money, total, within_last, zero_if_null
 from merchantry.operators.aggregates import distinct_counts, exact_median, most_frequent, share_of_total
 from merchantry.operators.joins import hierarchy_paths, never_used, resolve_key
 from merchantry.operators.ordering import global_rank, latest_per_key, running_total, top_k
@@ -196,7 +196,7 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "j4_left_with_on_predicate",
-    """SELECT c.customer_id, count(o.order_id) AS refunds, CAST(coalesce(sum(o.total_amount), 0) AS DECIMAL(18,2))
+    """SELECT c.customer_id, count(o.order_id) AS refunds, CAST(coalesce(sum(o.total_amount), 0) AS DECIMAL(38,2))
       AS refunded FROM m_customers c LEFT JOIN m_orders o ON c.customer_id = o.customer_id
       AND o.order_status = 'refunded' GROUP BY c.customer_id""",
 )
@@ -208,7 +208,7 @@ def _(m: Model) -> DataFrame:
     )
     joined = m.customers.select("customer_id").join(refunds, "customer_id", "left")
     return joined.select(
-        "customer_id", zero_if_null("n").cast("bigint").alias("refunds"), money(zero_if_null("t")).alias("refunded")
+        "customer_id", zero_if_null("n").cast("bigint").alias("refunds"), total(zero_if_null("t")).alias("refunded")
     )
 
 
@@ -262,14 +262,14 @@ def _(m: Model) -> DataFrame:
 
 @query(
     "g1_grouped_aggregates",
-    f"""SELECT order_status, count(*) AS n, CAST(sum(total_amount) AS DECIMAL(18,2)) AS total,
+    f"""SELECT order_status, count(*) AS n, CAST(sum(total_amount) AS DECIMAL(38,2)) AS total,
       {sql_mean_money("sum(total_amount)", "count(*)")} AS average, min(total_amount) AS low, max(total_amount) AS high
     FROM m_orders GROUP BY order_status""",
 )
 def _(m: Model) -> DataFrame:
     grouped = m.orders.groupBy("order_status").agg(
         F.count("*").alias("n"),
-        money(F.sum("total_amount")).alias("total"),
+        total(F.sum("total_amount")).alias("total"),
         F.min("total_amount").alias("low"),
         F.max("total_amount").alias("high"),
     )
@@ -311,7 +311,7 @@ def _(m: Model) -> DataFrame:
     "g5_conditional_aggregates",
     """SELECT customer_id, count(*) FILTER (order_status = 'delivered') AS delivered,
       count(*) FILTER (order_status = 'cancelled') AS cancelled,
-      CAST(coalesce(sum(CASE WHEN payment_status = 'paid' THEN total_amount END), 0) AS DECIMAL(18,2)) AS paid
+      CAST(coalesce(sum(CASE WHEN payment_status = 'paid' THEN total_amount END), 0) AS DECIMAL(38,2)) AS paid
     FROM m_orders GROUP BY customer_id""",
 )
 def _(m: Model) -> DataFrame:
@@ -319,13 +319,13 @@ def _(m: Model) -> DataFrame:
     return m.orders.groupBy("customer_id").agg(
         F.count_if(F.col("order_status") == "delivered").alias("delivered"),
         F.count_if(F.col("order_status") == "cancelled").alias("cancelled"),
-        money(zero_if_null(paid)).alias("paid"),
+        total(zero_if_null(paid)).alias("paid"),
     )
 
 
 @query(
     "g6_null_to_zero",
-    """SELECT o.order_id, CAST(coalesce(sum(i.total_price), 0) AS DECIMAL(18,2)) AS line_total,
+    """SELECT o.order_id, CAST(coalesce(sum(i.total_price), 0) AS DECIMAL(38,2)) AS line_total,
       coalesce(max(i.quantity), 0) AS largest FROM m_orders o LEFT JOIN m_items i ON o.order_id = i.order_id
     GROUP BY o.order_id""",
 )
@@ -333,20 +333,20 @@ def _(m: Model) -> DataFrame:
     lines = m.order_items.groupBy("order_id").agg(F.sum("total_price").alias("t"), F.max("quantity").alias("q"))
     joined = m.orders.select("order_id").join(lines, "order_id", "left")
     return joined.select(
-        "order_id", money(zero_if_null("t")).alias("line_total"), zero_if_null("q").cast("bigint").alias("largest")
+        "order_id", total(zero_if_null("t")).alias("line_total"), zero_if_null("q").cast("bigint").alias("largest")
     )
 
 
 @query(
     "g7_global_aggregate",
-    """SELECT count(*) AS n, CAST(sum(quantity) AS BIGINT) AS units, CAST(sum(total_price) AS DECIMAL(18,2)) AS total,
+    """SELECT count(*) AS n, CAST(sum(quantity) AS BIGINT) AS units, CAST(sum(total_price) AS DECIMAL(38,2)) AS total,
       min(unit_price) AS cheapest, max(unit_price) AS dearest FROM m_items""",
 )
 def _(m: Model) -> DataFrame:
     return m.order_items.agg(
         F.count("*").alias("n"),
         F.sum("quantity").alias("units"),
-        money(F.sum("total_price")).alias("total"),
+        total(F.sum("total_price")).alias("total"),
         F.min("unit_price").alias("cheapest"),
         F.max("unit_price").alias("dearest"),
     )
@@ -381,11 +381,11 @@ def _(m: Model) -> DataFrame:
 @query(
     "g10_group_by_expression",
     """SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS orders,
-      CAST(sum(total_amount) AS DECIMAL(18,2)) AS revenue FROM m_orders GROUP BY 1""",
+      CAST(sum(total_amount) AS DECIMAL(38,2)) AS revenue FROM m_orders GROUP BY 1""",
 )
 def _(m: Model) -> DataFrame:
     return m.orders.groupBy(scalar.year_month("created_at").alias("month")).agg(
-        F.count("*").alias("orders"), money(F.sum("total_amount")).alias("revenue")
+        F.count("*").alias("orders"), total(F.sum("total_amount")).alias("revenue")
     )
 
 
@@ -399,9 +399,9 @@ def _(m: Model) -> DataFrame:
 
 @query("g11_median_bucketed", MEDIAN_SQL)
 def _(m: Model) -> DataFrame:
-    """The form that days of any size use, whatever the size here."""
+    """With more buckets than days have distinct values in some of them."""
     days = not_cancelled(m.orders).withColumn("summary_date", F.to_date("created_at"))
-    return exact_median(days, ["summary_date"], "total_amount", "median_order_value", largest_group=1 << 40)
+    return exact_median(days, ["summary_date"], "total_amount", "median_order_value", buckets=256)
 
 
 @query(
@@ -439,7 +439,7 @@ def _(m: Model) -> DataFrame:
 def _(m: Model) -> DataFrame:
     revenue = cohort_table(m).select("cohort_month", "period_number", "total_revenue")
     summed = running_total(revenue, ["cohort_month"], "period_number", "total_revenue", "cumulative_revenue")
-    return summed.select("cohort_month", "period_number", money("cumulative_revenue").alias("cumulative_revenue"))
+    return summed.select("cohort_month", "period_number", total("cumulative_revenue").alias("cumulative_revenue"))
 
 
 @query(

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from merchantry.sources.adapter import Model
+from merchantry.sources.ship import ship
 
 AS_OF = "2001-08-02 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -17,13 +18,18 @@ ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
 
 
+def _model(spark: SparkSession, directory: str) -> Model:
+    ship(spark)  # some queries merge JSON in Python workers
+    return Model(spark, directory)
+
+
 def query(name: str, sql: str | None = None) -> Callable:
     """Register a function of the model under `name`, with the SQL for the same rows."""
 
     def register(fn: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = lambda spark, directory: fn(Model(spark, directory))
+        QUERIES[name] = lambda spark, directory: fn(_model(spark, directory))
         if sql is not None:
             ORACLES[name] = with_ctes(sql)
         return fn
@@ -60,7 +66,7 @@ def _half_up(numerator: str, denominator: str) -> str:
 
 
 def cents(money: str) -> str:
-    return f"CAST(CAST({money} AS DECIMAL(18,2)) * 100 AS HUGEINT)"
+    return f"CAST(CAST({money} AS DECIMAL(38,2)) * 100 AS HUGEINT)"
 
 
 def sql_mean_money(total: str, n: str) -> str:

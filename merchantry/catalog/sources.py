@@ -42,7 +42,7 @@ CTES["j_recent"] = f"""
   SELECT *, {segment_sql("total_orders", "days_since_last_order", "total_spent")} AS customer_segment FROM (
     SELECT c.customer_id, c.email AS customer_email, c.first_name || ' ' || c.last_name AS customer_name,
       count(o.order_id) AS total_orders,
-      CAST(coalesce(sum(o.total_amount), 0) AS DECIMAL(18,2)) AS total_spent,
+      CAST(coalesce(sum(o.total_amount), 0) AS DECIMAL(38,2)) AS total_spent,
       {sql_mean_money("sum(o.total_amount)", "count(o.total_amount)")} AS avg_order_value,
       min(o.total_amount) AS min_order_value, max(o.total_amount) AS max_order_value,
       min(o.created_at) AS first_order_date, max(o.created_at) AS last_order_date,

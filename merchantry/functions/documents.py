@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from merchantry.functions.scalar import col
 
-MEMBERS = "map<string,variant>"
-
 
 def row_image(columns: Sequence[str | Column]) -> Column:
     """A JSON object of the columns; NULL columns stay as null members."""
@@ -21,57 +21,97 @@ def string_list(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def without_members(document: str | Column, names: str | Column) -> Column:
-    """The JSON object without the members named in an array column; a NULL list drops none."""
-    members = F.from_json(col(document), MEMBERS)
-    kept = F.map_filter(members, lambda k, v: ~F.coalesce(F.array_contains(col(names), k), F.lit(False)))
-    return F.when(col(names).isNull(), col(document)).otherwise(F.to_json(kept))
+class _Number(str):
+    """A JSON number as it was written."""
+
+
+def _parsed(text: str):
+    """The value of a JSON text; of repeated members the last counts. ValueError if it is none."""
+    return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_rejected)
+
 
+def _rejected(name: str):
+    raise ValueError(name)
 
-def _is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
+def _rendered(value) -> str:
+    if isinstance(value, _Number):
+        return str(value)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_rendered(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_rendered, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
 
-def _is_set(v: Column) -> Column:
-    return v.isNotNull() & ~F.coalesce(F.is_variant_null(v), F.lit(True))
 
+def _patched(document, patch):
+    """The merge of RFC 7396."""
+    if not isinstance(patch, dict):
+        return patch
+    merged = dict(document) if isinstance(document, dict) else {}
+    for name, value in patch.items():
+        if value is None:
+            merged.pop(name, None)
+        else:
+            merged[name] = _patched(merged.get(name), value)
+    return merged
 
-def _merged(old: Column, new: Column, levels: int) -> Column:
-    """Members of `old` overridden by `new`; members that are null in `new` go."""
 
-    def member(pair_old: Column):
-        def pick(name: Column, value: Column) -> Column:
-            if levels == 0:
-                return F.when(
-                    _is_object(value),
-                    F.raise_error(F.lit("JSON patch is nested deeper than the given levels")).cast("variant"),
-                ).otherwise(value)
-            before = F.try_element_at(pair_old, name)
-            inner_old = F.when(_is_object(before), before).cast(MEMBERS)
-            inner_old = F.coalesce(inner_old, F.create_map().cast(MEMBERS))
-            inner = _merged(inner_old, value.cast(MEMBERS), levels - 1)
-            return F.when(_is_object(value), F.to_variant_object(inner)).otherwise(value)
+def merged_text(document: str | None, patch: str | None) -> str | None:
+    """A patch merged into a document, both as JSON text.
+
+    Without a patch the document stays, without a document the patch applies to an empty one.
+    A patch that is no object replaces the document, as does one that is no JSON at all; a
+    document that is no object, or no JSON, counts as empty.
+    """
+    if patch is None:
+        return "{}" if document is None else document
+    try:
+        change = _parsed(patch)
+    except (ValueError, RecursionError):
+        return patch
+    try:
+        old = _parsed(document) if document is not None else {}
+    except (ValueError, RecursionError):
+        old = {}
+    return _rendered(_patched(old, change))
+
+
+def stripped_text(document: str | None, names: Sequence[str] | None) -> str | None:
+    """A JSON object without some members; any other text comes back as it is."""
+    if document is None or names is None:
+        return document
+    try:
+        members = _parsed(document)
+    except (ValueError, RecursionError):
+        return document
+    if not isinstance(members, dict):
+        return document
+    return _rendered({k: v for k, v in members.items() if k not in set(names)})
+
+
+def is_malformed(document: str | Column) -> Column:
+    """Whether a text is present and no JSON, for counting what a merge could only keep as it is."""
+    return col(document).isNotNull() & F.try_parse_json(col(document)).isNull()
 
-        return pick
 
-    # bind both maps once: the expression would double in size at every level otherwise
-    pair = F.array(F.struct(old.alias("o"), new.alias("n")))
+def without_members(document: str | Column, names: str | Column) -> Column:
+    """The JSON object without the members named in an array column; a NULL list drops none."""
 
-    def combine(p: Column) -> Column:
-        kept = F.map_filter(p["o"], lambda k, v: ~F.map_contains_key(p["n"], k))
-        given = F.map_filter(p["n"], lambda k, v: _is_set(v))
-        return F.map_concat(kept, F.transform_values(given, member(p["o"])))
+    def strip(documents: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([stripped_text(d, n) for d, n in zip(documents, lists, strict=True)], dtype=object)
 
-    return F.element_at(F.transform(pair, combine), 1)
+    return F.pandas_udf(strip, "string")(col(document), col(names))
 
 
-def merge_patch(document: str | Column, patch: str | Column, levels: int = 4) -> Column:
-    """RFC 7396 merge of two JSON objects, both NULL-safe.
+def merge_patch(document: str | Column, patch: str | Column) -> Column:
+    """RFC 7396 merge of JSON texts of any depth; see `merged_text` for texts that are no objects.
 
-    Nested objects merge recursively through `levels` levels; a patch nested deeper raises
-    an error, so that no member is lost unseen.
+    The merge recurses as deep as its input, which no built-in expression can, so it runs on
+    Arrow batches in Python. Numbers keep the digits they were written with.
     """
-    empty = F.lit("{}")
-    old = F.from_json(F.coalesce(col(document), empty), MEMBERS)
-    new = F.from_json(F.coalesce(col(patch), empty), MEMBERS)
-    return F.to_json(_merged(old, new, levels))
+
+    def merge(documents: pd.Series, patches: pd.Series) -> pd.Series:
+        return pd.Series([merged_text(d, p) for d, p in zip(documents, patches, strict=True)], dtype=object)
+
+    return F.pandas_udf(merge, "string")(col(document), col(patch))

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+TOTAL = "decimal(38,2)"
 Moment = str | date | datetime
 
 
@@ -93,6 +94,29 @@ def money(c: str | Column) -> Column:
     return col(c).cast(MONEY)
 
 
+def total(c: str | Column) -> Column:
+    """A sum of money, as wide as a decimal can be."""
+    return col(c).cast(TOTAL)
+
+
+def _half_up(numerator: Column, denominator: Column) -> Column:
+    """Quotient of whole numbers in hundredths, halves away from zero; NULL for a zero denominator.
+
+    Whole-number division keeps sums of any size exact, where a decimal quotient would be cut
+    to its leading digits before it is rounded.
+    """
+    wide = "decimal(38,0)"
+    n, d = numerator.cast(wide), F.nullif(denominator, F.lit(0)).cast(wide)
+    n, d = F.when(d < 0, -n).otherwise(n), F.abs(d)
+    magnitude = F.call_function("div", (F.abs(n) * 2 + d).cast(wide), (d * 2).cast(wide))
+    signed = F.when(n < 0, -magnitude).otherwise(magnitude)
+    return (signed.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(MONEY)
+
+
+def cents(c: str | Column) -> Column:
+    return (total(c) * 100).cast("decimal(38,0)")
+
+
 def zero_if_null(c: str | Column) -> Column:
     return F.coalesce(col(c), F.lit(0))
 
@@ -102,15 +126,14 @@ def mean(total: str | Column, n: str | Column) -> Column:
     return F.try_divide(col(total).cast("double"), col(n).cast("double"))
 
 
-def mean_money(total: str | Column, n: str | Column) -> Column:
+def mean_money(total_amount: str | Column, n: str | Column) -> Column:
     """Average in cents, rounded half up; NULL for an empty group."""
-    return F.round(F.try_divide(money(total), col(n).cast("decimal(20,0)")), 2).cast(MONEY)
+    return _half_up(cents(total_amount), col(n))
 
 
 def percent(part: str | Column, whole: str | Column) -> Column:
     """part of whole in percent with two decimals, rounded half up; NULL for a zero whole."""
-    ratio = F.try_divide(col(part).cast("decimal(20,2)") * 100, col(whole).cast("decimal(20,2)"))
-    return F.round(ratio, 2).cast(MONEY)
+    return _half_up(cents(part) * 10_000, cents(whole))
 
 
 def rate_or_zero(part: str | Column, whole: str | Column) -> Column:

@@ -4,26 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from merchantry.functions.scalar import money, percent
+from merchantry.functions.scalar import percent
 from merchantry.operators.joins import same_keys
 from merchantry.operators.ordering import running_before
 
-# `percentile` holds the values of a group in memory, so it is left to groups up to this size
-MEDIAN_GROUP_ROWS = 250_000
-
 
 def share_of_total(df: DataFrame, group: str, count_name: str, share_name: str) -> DataFrame:
     """Rows per group and their share of all rows in percent.
 
-    The total is counted first, which for a stored table reads the file footers only. A
-    window over the groups would bring them all into one task.
+    Groups are counted in partial aggregates, and the total is taken over their few rows; the
+    frame is computed once.
     """
-    total = F.lit(df.count())
     counted = df.groupBy(group).agg(F.count("*").alias(count_name))
-    return counted.withColumn(share_name, percent(count_name, total))
+    whole = F.sum(count_name).over(Window.partitionBy())
+    return counted.withColumn(share_name, percent(count_name, whole))
 
 
 def most_frequent(
@@ -47,24 +44,17 @@ def distinct_counts(df: DataFrame, keys: Sequence[str], column: str, name: str)
 
 
 def exact_median(
-    df: DataFrame, groups: Sequence[str], value: str, name: str, largest_group: int | None = None
+    df: DataFrame, groups: Sequence[str], value: str, name: str, buckets: int | None = None
 ) -> DataFrame:
-    """Exact median of a money column per group, in cents, rounded half up.
+    """Exact median of a decimal column per group; the mean of two middle values is rounded
+    half up to cents, once and at the end.
 
-    `percentile` keeps a group's distinct values in one task, so it is used only while the
-    largest group (given, or measured by one aggregate) is small. Otherwise equal values
-    are counted first and the middle positions are found by bucketed running counts.
+    Equal values are counted first, and the middle positions are found by bucketed running
+    counts, so a group of any size spreads over many tasks.
     """
     present = df.where(F.col(value).isNotNull()).select(*groups, value)
-    if largest_group is None:
-        sizes = present.groupBy(*groups).agg(F.count("*").alias("_n"))
-        largest_group = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest_group <= MEDIAN_GROUP_ROWS:
-        # whole cents: the middle of two is then exact, and so is rounding it
-        middle = F.round(F.percentile((F.col(value) * 100).cast("bigint"), F.lit(0.5)), 0)
-        return present.groupBy(*groups).agg(money(middle.cast("decimal(20,0)") / 100).alias(name))
     counts = present.groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    placed = running_before(counts, value, "_n", "_before", groups, cuts_from=present)
+    placed = running_before(counts, value, "_n", "_before", groups, buckets=buckets, cuts_from=present)
     sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))
     names = [f"_of_{g}" for g in groups]
     both = placed.join(sizes.withColumnsRenamed(dict(zip(groups, names, strict=True))), same_keys(groups, names))
@@ -76,4 +66,6 @@ def exact_median(
     low, high = F.expr("(_size - 1) div 2"), F.expr("_size div 2")
     hits = (covers(low) + covers(high)).alias("_hits")
     middle = F.round(F.sum(F.col(value) * F.col("_hits")) / 2, 2)
-    return both.select("*", hits).where("_hits > 0").groupBy(*groups).agg(money(middle).alias(name))
+    whole = present.schema[value].dataType.precision - present.schema[value].dataType.scale
+    kind = f"decimal({min(38, max(whole + 2, 18))},2)"
+    return both.select("*", hits).where("_hits > 0").groupBy(*groups).agg(middle.cast(kind).alias(name))

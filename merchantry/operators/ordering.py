@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from merchantry.operators.joins import same_keys
 
-# a window without partitioning runs in one task; beyond this many rows use buckets
-ONE_TASK_ROWS = 1_000_000
-BUCKETS = 1024
+BUCKETS_PER_PARTITION = 4
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -39,23 +37,26 @@ def running_before(
     name: str,
     groups: Sequence[str] = (),
     descending: bool = False,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     cuts_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add the weight of all rows that come before this row's value in its group.
 
-    `df` holds each (groups, value) once. Values are cut into quantile buckets, bucket
-    totals (at most `buckets` rows per group) give each bucket its offset, and the running
-    sum is taken inside a bucket. The driver sees the cut points only, and a group of any
+    `df` holds each (groups, value) once. Values are cut into quantile buckets, by default a
+    few per shuffle partition, so that they grow with the cluster. Bucket totals (at most
+    `buckets` rows per group) give each bucket its offset, and the running sum is taken
+    inside a bucket. The driver sees the cut points only, and a group of any
     size spreads over all buckets. NULL values sort lowest.
 
     `cuts_from` is a frame with the same value column to take the quantiles from, such as
     the rows before they were counted, which saves computing `df` twice. The cut points
     decide how even the buckets are and never the result.
     """
+    if buckets is None:
+        buckets = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lowest = F.lit(float("-inf"))
     keyed = df.withColumn("_at", F.coalesce(F.col(value).cast("double"), lowest))
-    probabilities = [i / buckets for i in range(1, buckets)]
+    probabilities = [i / buckets for i in range(1, buckets)] or [0.5]
     values = (df if cuts_from is None else cuts_from).select(F.col(value).cast("double").alias("_at"))
     cuts = values.approxQuantile("_at", probabilities, 1 / (4 * buckets))
     splits = [float("-inf"), *sorted({0.0, *cuts}), float("inf")]  # 0.0: at least one cut is required
@@ -83,19 +84,16 @@ def running_before(
 
 
 def global_rank(
-    df: DataFrame, by: str, name: str, descending: bool = True, rows: int | None = None
+    df: DataFrame, by: str, name: str, descending: bool = True, buckets: int | None = None
 ) -> DataFrame:
-    """RANK over the whole frame. `rows` is a known upper bound of the row count.
+    """RANK over the whole frame, without a window over all rows.
 
-    Small frames use the plain window. Otherwise equal values are counted first, so that
-    ties collapse, the distinct values are placed by buckets, and the rank joins back.
+    Equal values are counted first, so that ties collapse, the distinct values are placed by
+    buckets, and the rank joins back.
     """
-    if rows is not None and rows <= ONE_TASK_ROWS:
-        order = F.col(by).desc() if descending else F.col(by).asc()
-        return df.withColumn(name, F.rank().over(Window.orderBy(order)).cast("bigint"))
     ties = df.groupBy(F.col(by).alias("_value")).agg(F.count("*").alias("_n"))
     raw = df.select(F.col(by).alias("_value"))
-    placed = running_before(ties, "_value", "_n", "_before", descending=descending, cuts_from=raw)
+    placed = running_before(ties, "_value", "_n", "_before", (), descending, buckets, cuts_from=raw)
     ranks = placed.select("_value", (F.col("_before") + 1).cast("bigint").alias(name))
     return df.join(ranks, F.col(by).eqNullSafe(F.col("_value")), "left").drop("_value")
 

@@ -42,13 +42,20 @@ def capture_changes(
 ) -> DataFrame:
     """Audit rows for the difference of two snapshots, with a JSON image of either side.
 
-    Excluded columns neither count as a change nor appear in an image. Both snapshots hold
-    each key once. An update that changed nothing leaves no trace in a snapshot, so unlike
+    Columns of either side count; where a side lacks one, its rows have NULL there, so an
+    added or dropped column with values is a change of every row that has one. Excluded
+    columns neither count nor appear in an image. Both snapshots hold each key once. An update that changed nothing leaves no trace in a snapshot, so unlike
     a trigger this logs none.
     """
-    columns = [c for c in old.columns if c in new.columns and c not in exclude]
-    before_row = old.select(F.struct(*columns).alias("_old"), F.col(key).alias("_old_key"))
-    after_row = new.select(F.struct(*columns).alias("_new"), F.col(key).alias("_new_key"))
+    kinds = {**dict(old.dtypes), **dict(new.dtypes)}
+    columns = [c for c in kinds if c not in exclude]
+
+    def row_of(df: DataFrame) -> Column:
+        given = [F.col(c) if c in df.columns else F.lit(None) for c in columns]
+        return F.struct(*[v.cast(kinds[c]).alias(c) for v, c in zip(given, columns, strict=True)])
+
+    before_row = old.select(row_of(old).alias("_old"), F.col(key).alias("_old_key"))
+    after_row = new.select(row_of(new).alias("_new"), F.col(key).alias("_new_key"))
     joined = before_row.join(after_row, F.col("_old_key") == F.col("_new_key"), "full_outer")
     operation = (
         F.when(F.col("_old_key").isNull(), "INSERT")

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from merchantry.functions.scalar import Moment, mean_money, moment, money, month_index, percent, zero_if_null
+from merchantry.functions.scalar import (
+    Moment,
+    mean_money,
+    moment,
+    money,
+    month_index,
+    percent,
+    total,
+    zero_if_null,
+)
 from merchantry.operators.ordering import running_total
 from merchantry.plans.customers import not_cancelled
 
@@ -58,7 +67,7 @@ def customer_cohorts(orders: DataFrame, as_of: Moment) -> DataFrame:
         "period",
         "size",
         *[zero_if_null(f"facts.{c}").alias(c) for c in ("active", "orders", "leaving")],
-        money(zero_if_null("facts.revenue")).alias("revenue"),
+        total(zero_if_null("facts.revenue")).alias("revenue"),
     )
     ordered = Window.partitionBy("cohort").orderBy("period")
     filled = filled.withColumn("churned", F.lag("leaving", 1, 0).over(ordered))
@@ -71,7 +80,7 @@ def customer_cohorts(orders: DataFrame, as_of: Moment) -> DataFrame:
         percent("active", "size").alias("retention_rate"),
         F.col("revenue").alias("total_revenue"),
         mean_money("revenue", "size").alias("avg_revenue_per_customer"),
-        money("cumulative").alias("cumulative_revenue"),
+        total("cumulative").alias("cumulative_revenue"),
         F.col("orders").cast("bigint").alias("total_orders"),
         money(zero_if_null(mean_money(F.col("orders").cast("decimal(20,2)"), "active"))).alias(
             "avg_orders_per_customer"

@@ -18,6 +18,7 @@ from merchantry.functions.scalar import (
     money,
     normalised_email,
     percent,
+    total,
     within_last,
     zero_if_null,
 )
@@ -34,7 +35,7 @@ def order_product_units(items: DataFrame) -> DataFrame:
     """Items at (order, product) grain. Combined before the shuffle, so that neither a huge
     order nor a product that is in every order gathers raw lines in one task."""
     return items.groupBy("order_id", "product_id").agg(
-        F.sum("quantity").alias("units"), money(F.sum("total_price")).alias("revenue")
+        F.sum("quantity").alias("units"), total(F.sum("total_price")).alias("revenue")
     )
 
 
@@ -78,7 +79,7 @@ def _summary(customers: DataFrame, per_order: DataFrame, as_of: Moment, rules: R
         "customer_phone",
         "customer_created_date",
         zero_if_null("total_orders").cast("bigint").alias("total_orders"),
-        money(zero_if_null("spent")).alias("total_spent"),
+        total(zero_if_null("spent")).alias("total_spent"),
         money(zero_if_null(mean_money("spent", "priced"))).alias("avg_order_value"),
         money(zero_if_null("lowest")).alias("min_order_value"),
         money(zero_if_null("highest")).alias("max_order_value"),
@@ -149,7 +150,7 @@ def recent_customer_summary(
         "customer_email",
         "customer_name",
         zero_if_null("n").cast("bigint").alias("total_orders"),
-        money(zero_if_null("spent")).alias("total_spent"),
+        total(zero_if_null("spent")).alias("total_spent"),
         mean_money("spent", "priced").alias("avg_order_value"),
         F.col("lowest").cast(MONEY).alias("min_order_value"),
         F.col("highest").cast(MONEY).alias("max_order_value"),
@@ -218,9 +219,10 @@ def customer_behaviour(
         .groupBy("customer_id", "category_name")
         .agg(F.sum("units").alias("units"), F.count("*").alias("products"))
     )
-    favourite = F.min_by(
-        F.col("category_name"), F.struct((-F.col("units")).alias("m"), F.col("category_name"))
-    ).alias("favorite_category")
+    order = F.struct((-F.col("units")).alias("m"), F.col("category_name"))
+    # products without a known category can not be the favourite one
+    favourite = F.min_by(F.col("category_name"), F.when(F.col("category_name").isNotNull(), order))
+    favourite = favourite.alias("favorite_category")
     return per_category.groupBy("customer_id").agg(
         favourite,
         F.sum("units").cast("bigint").alias("total_products_purchased"),
@@ -252,7 +254,7 @@ def customer_spend_report(customers: DataFrame, orders: DataFrame) -> DataFrame:
         "last_name",
         "email",
         zero_if_null("n").cast("bigint").alias("total_orders"),
-        money(zero_if_null("spent")).alias("total_spent"),
+        total(zero_if_null("spent")).alias("total_spent"),
     ).orderBy(F.desc("total_spent"), "email")
 
 

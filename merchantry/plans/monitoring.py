@@ -156,6 +156,12 @@ def freshness(summary: DataFrame, as_of: Moment) -> DataFrame:
     )
 
 
+def slow_patterns(log: DataFrame, limit: float) -> DataFrame:
+    """How many patterns take longer than `limit` on average, as one row."""
+    means = log.groupBy("pattern").agg(mean(F.sum("duration"), F.count("duration")).alias("average"))
+    return means.agg(F.count_if(F.col("average") > limit).alias("slow_patterns"))
+
+
 def query_performance_status() -> Column:
     """Status of error and slow rates. The slow rate is judged last and replaces the verdict
     on errors, so a slow warning also lowers an error alarm."""
@@ -179,10 +185,12 @@ def health_checks(
     fresh: DataFrame,
     total_rows: DataFrame,
     sizes: DataFrame | None = None,
+    slow_patterns: DataFrame | None = None,
 ) -> DataFrame:
     """One row per check with its status and the figure it was judged by.
 
-    `sizes` adds the check of the total size over the rows of `table_sizes`.
+    `sizes` adds the check of the total size over the rows of `table_sizes`, `slow_patterns`
+    that of the number of slow patterns, of which fewer than ten are fine.
     """
 
     def check(df: DataFrame, name: str, status: Column, figure: Column) -> DataFrame:
@@ -197,6 +205,9 @@ def health_checks(
     if sizes is not None:
         total = sizes.agg(zero_if_null(F.sum("total_size_mb")).alias("megabytes"))
         checks.append(check(total, "database_size", size_status(F.col("megabytes")), F.col("megabytes")))
+    if slow_patterns is not None:
+        few = F.when(F.col("slow_patterns") < 10, "healthy").otherwise("warning")
+        checks.append(check(slow_patterns, "slow_patterns", few, F.col("slow_patterns")))
     return stacked(
         [
             *checks,

@@ -12,8 +12,8 @@ from merchantry.functions.scalar import (
     days_since,
     mean_money,
     moment,
-    money,
     percent,
+    total,
     whole_months,
     zero_if_null,
 )
@@ -85,8 +85,8 @@ def product_performance(
         "category_name",
         "category_hierarchy",
         zero_if_null("units").cast("bigint").alias("total_quantity_sold"),
-        money(zero_if_null("revenue")).alias("total_revenue"),
-        money(zero_if_null("units") * F.col("cost")).alias("total_cost"),
+        total(zero_if_null("revenue")).alias("total_revenue"),
+        total(zero_if_null("units") * F.col("cost")).alias("total_cost"),
         zero_if_null("orders").cast("bigint").alias("total_orders"),
         zero_if_null("buyers").cast("bigint").alias("unique_customers"),
         "first_sale_date",
@@ -105,7 +105,7 @@ def product_performance(
         F.to_date(moment(as_of)),
     )
     return (
-        wide.withColumn("total_profit", money(profit))
+        wide.withColumn("total_profit", total(profit))
         .withColumn("profit_margin_percent", percent("total_profit", "total_revenue"))
         .withColumn(
             "avg_quantity_per_order",
@@ -120,12 +120,8 @@ def product_performance(
     )
 
 
-def top_performing_products(performance: DataFrame, rows: int | None = None) -> DataFrame:
-    """Active products ranked by revenue and by units, best revenue first.
-
-    `rows` is a known upper bound of the product count; without one the ranks are computed
-    by buckets.
-    """
+def top_performing_products(performance: DataFrame) -> DataFrame:
+    """Active products ranked by revenue and by units, best revenue first."""
     active = performance.where("is_active").select(
         "product_id",
         "sku",
@@ -139,8 +135,8 @@ def top_performing_products(performance: DataFrame, rows: int | None = None) ->
         "velocity_category",
         "unique_customers",
     )
-    ranked = global_rank(active, "total_revenue", "revenue_rank", rows=rows)
-    ranked = global_rank(ranked, "total_quantity_sold", "quantity_rank", rows=rows)
+    ranked = global_rank(active, "total_revenue", "revenue_rank")
+    ranked = global_rank(ranked, "total_quantity_sold", "quantity_rank")
     return ranked.orderBy(F.desc("total_revenue"), "product_id")
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.functions.scalar import money, same_text, zero_if_null
+from merchantry.functions.scalar import money, same_text, total, zero_if_null
 from merchantry.plans.products import product_inventory
 
 
@@ -82,7 +82,10 @@ def line_arithmetic(items: DataFrame) -> DataFrame:
 
 
 def order_arithmetic(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Orders whose total does not follow from its parts, or whose subtotal is not its lines."""
+    """Orders whose total does not follow from its parts, or whose subtotal is not its lines.
+
+    A missing total or subtotal follows from nothing: it is reported with a NULL gap.
+    """
     lines = items.groupBy("order_id").agg(F.sum("total_price").alias("lines"))
     parts = (
         F.col("subtotal")
@@ -92,10 +95,10 @@ def order_arithmetic(orders: DataFrame, items: DataFrame) -> DataFrame:
     )
     compared = orders.join(lines, "order_id", "left").select(
         "order_id",
-        money(F.col("total_amount") - parts).alias("total_gap"),
-        money(F.col("subtotal") - zero_if_null("lines")).alias("lines_gap"),
+        total(F.col("total_amount") - parts).alias("total_gap"),
+        total(F.col("subtotal") - zero_if_null("lines")).alias("lines_gap"),
     )
-    return compared.where((F.col("total_gap") != 0) | (F.col("lines_gap") != 0))
+    return compared.where(~(F.col("total_gap").eqNullSafe(F.lit(0)) & F.col("lines_gap").eqNullSafe(F.lit(0))))
 
 
 def stock_mismatches(products: DataFrame, movements: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from merchantry.functions.scalar import Moment
 from merchantry.plans.customers import customer_order_summary, recent_customer_summary
-from merchantry.plans.sales import DAY, daily_sales_summary, recent_days
+from merchantry.plans.sales import DAY, daily_sales_summary, in_backfill, recent_days, with_emptied_days
 from merchantry.rules import Rules
+from merchantry.sources.shared import path_exists
 from merchantry.sources.sinks import load, upsert_table
 
 YEAR = "summary_year"
@@ -44,7 +45,10 @@ def upsert_daily_sales(
     spark: SparkSession, path: str, customers: DataFrame, orders: DataFrame, as_of: Moment, rules: Rules
 ) -> None:
     """Compute the last full days anew and upsert them; only their years are rewritten."""
-    fresh = daily_sales_summary(recent_days(orders, as_of, rules.backfill_days), customers, as_of)
+    recent = recent_days(orders, as_of, rules.backfill_days)
+    fresh = daily_sales_summary(recent, customers, as_of)
+    if path_exists(spark, path):
+        fresh = with_emptied_days(fresh, in_backfill(spark.read.parquet(path), as_of, rules.backfill_days), as_of)
     upsert_table(spark, path, by_year(fresh), [DAY], partition_by=[YEAR])
 
 

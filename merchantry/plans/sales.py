@@ -12,7 +12,7 @@ from merchantry.functions.scalar import (
     mean,
     mean_money,
     moment,
-    money,
+    total,
     weekday_name,
     year_month,
     zero_if_null,
@@ -52,7 +52,7 @@ def daily_sales_summary(orders: DataFrame, customers: DataFrame, as_of: Moment)
     )
     days = buyers.groupBy(DAY).agg(
         F.sum("orders").cast("bigint").alias("total_orders"),
-        money(F.sum("value")).alias("total_order_value"),
+        total(F.sum("value")).alias("total_order_value"),
         F.sum("priced").alias("priced"),
         F.count("*").alias("total_customers"),
         F.count_if("is_new").alias("new_customers"),
@@ -71,9 +71,9 @@ def daily_sales_summary(orders: DataFrame, customers: DataFrame, as_of: Moment)
     )
 
 
-def daily_median(orders: DataFrame, largest_day: int | None = None) -> DataFrame:
+def daily_median(orders: DataFrame) -> DataFrame:
     live = _by_day(not_cancelled(orders))
-    return exact_median(live, [DAY], "total_amount", "median_order_value", largest_day)
+    return exact_median(live, [DAY], "total_amount", "median_order_value")
 
 
 def daily_top_places(orders: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def daily_product_mix(
         "total_products_sold",
         "unique_products_sold",
         F.col("b.category_name").alias("top_category"),
-        money("b.revenue").alias("top_category_revenue"),
+        total("b.revenue").alias("top_category_revenue"),
         F.col("b.orders").cast("bigint").alias("top_category_orders"),
     )
 
@@ -205,11 +205,10 @@ def daily_sales_report(
     shipments: DataFrame,
     as_of: Moment,
     holidays: DataFrame | None = None,
-    largest_day: int | None = None,
 ) -> DataFrame:
     """The full daily row. Each feature is one row per day by then, so the joins are small."""
     parts = [
-        daily_median(orders, largest_day),
+        daily_median(orders),
         daily_product_mix(orders, items, products, categories),
         daily_top_places(orders, addresses),
         daily_status_counts(orders),
@@ -262,12 +261,37 @@ def recent_days(orders: DataFrame, as_of: Moment, days: int) -> DataFrame:
     return orders.where((F.col("created_at") >= start) & (F.col("created_at") < end))
 
 
+def with_emptied_days(fresh: DataFrame, days: DataFrame, as_of: Moment) -> DataFrame:
+    """The recomputed days, and a row of zeros for each of `days` that has no order left.
+
+    Without it a day whose orders were all cancelled would keep its old figures in an upsert.
+    """
+    gone = days.select(DAY).distinct().join(fresh.select(DAY), DAY, "left_anti")
+    counts = ("total_orders", "total_customers", "new_customers", "returning_customers")
+    values = {
+        **{c: F.lit(0) for c in (*counts, "total_order_value")},
+        "avg_order_value": F.lit(None),
+        "day_of_week": weekday_name(DAY),
+        "is_weekend": is_weekend(DAY),
+        "last_calculated_at": moment(as_of),
+    }
+    zeros = gone.select(*[(values[c] if c in values else F.col(c)).cast(kind).alias(c) for c, kind in fresh.dtypes])
+    return fresh.unionByName(zeros)
+
+
+def in_backfill(daily: DataFrame, as_of: Moment, days: int) -> DataFrame:
+    """Stored rows of the last full days."""
+    first, end = F.to_date(before(as_of, f"{days} days")), F.to_date(moment(as_of))
+    return daily.where((F.col(DAY) >= first) & (F.col(DAY) < end))
+
+
 def backfill_daily(
     daily: DataFrame, orders: DataFrame, customers: DataFrame, as_of: Moment, rules: Rules
 ) -> DataFrame:
     """The daily table after the last days are computed anew and upserted."""
     fresh = daily_sales_summary(recent_days(orders, as_of, rules.backfill_days), customers, as_of)
-    return merge_upsert(daily, fresh, [DAY])
+    stored = in_backfill(daily, as_of, rules.backfill_days)
+    return merge_upsert(daily, with_emptied_days(fresh, stored, as_of), [DAY])
 
 
 def monthly_sales_trend(daily: DataFrame, as_of: Moment, rules: Rules) -> DataFrame:
@@ -278,7 +302,7 @@ def monthly_sales_trend(daily: DataFrame, as_of: Moment, rules: Rules) -> DataFr
         .groupBy(year_month(DAY).alias("month"))
         .agg(
             F.sum("total_orders").cast("bigint").alias("monthly_orders"),
-            money(F.sum("total_order_value")).alias("monthly_revenue"),
+            total(F.sum("total_order_value")).alias("monthly_revenue"),
             F.sum("avg_order_value").alias("averages"),
             F.count("avg_order_value").alias("priced_days"),
             F.sum("new_customers").cast("bigint").alias("new_customers_acquired"),

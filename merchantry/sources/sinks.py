@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -127,25 +128,28 @@ def upsert_table(
         first = latest_per_key(source, keys, order_by) if order_by else source
         load(first, path, "replace", partition_by)
         return
-    target = spark.read.parquet(path)
-    if not partition_by:
-        fresh = f"{path.rstrip('/')}__next"
-        merged = merge_upsert(target, source, keys, order_by, small_source=few(source, SMALL_SOURCE_ROWS))
-        merged.write.mode("overwrite").parquet(fresh)
-        _swap(spark, fresh, path)
-        return
-    # both are written down: the source is read three times, and the merge reads what it replaces
+    # written down once: the source is read three times, and the merge reads what it replaces
     staged = [shared_dir(spark, f"upsert-{part}") for part in ("source", "merge")]
-    given = written(source, "upsert", staged[0])
-    touched = given.select(*partition_by).distinct()
-    target = target.join(small_side(touched, SMALL_SOURCE_ROWS), [*partition_by], "left_semi")
-    merged = written(merge_upsert(target, given, keys, order_by), "upsert", staged[1])
-    (
-        merged.hint("rebalance", *partition_by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by)
-        .parquet(path)
-    )
-    for folder in staged:
-        discard(spark, folder)
+    try:
+        given = written(source, "upsert", staged[0])
+        target = spark.read.parquet(path)
+        if not partition_by:
+            fresh = f"{path.rstrip('/')}__{uuid.uuid4().hex}"  # beside the table: renamed, not copied
+            staged.append(fresh)
+            small = few(given, SMALL_SOURCE_ROWS)  # from the file footers
+            merge_upsert(target, given, keys, order_by, small_source=small).write.parquet(fresh)
+            _swap(spark, fresh, path)
+            return
+        touched = given.select(*partition_by).distinct()
+        target = target.join(small_side(touched, SMALL_SOURCE_ROWS), [*partition_by], "left_semi")
+        merged = written(merge_upsert(target, given, keys, order_by), "upsert", staged[1])
+        (
+            merged.hint("rebalance", *partition_by)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*partition_by)
+            .parquet(path)
+        )
+    finally:
+        for folder in staged:
+            discard(spark, folder)

@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from merchantry.functions.scalar import Moment, moment
 from merchantry.plans.monitoring import quality_counts, quality_rates
 from merchantry.plans.refresh import YEAR, by_year
-from merchantry.plans.sales import DAY, daily_sales_summary
+from merchantry.plans.sales import DAY, daily_sales_summary, with_emptied_days
+from merchantry.sources.shared import discard, path_exists, shared_dir, written
 from merchantry.sources.sinks import upsert_table
 
 
@@ -43,14 +44,15 @@ def _upsert_windows(out: str, keys: Sequence[str]) -> Callable[[DataFrame, int],
         rows = batch.select(
             F.col("window.start").cast("timestamp_ntz").alias("window_start"), *[c for c in batch.columns if c != "window"]
         ).withColumn("window_month", F.date_format("window_start", "yyyy-MM"))
-        rows.persist()
+        # computed once, in storage that outlives an executor
+        path = shared_dir(batch.sparkSession, "batch")
         try:
+            rows = written(rows, "batch", path)
             # a batch that only moves the watermark carries no rows
-            if rows.isEmpty():
-                return
-            upsert_table(batch.sparkSession, out, rows, ["window_start", *keys], partition_by=["window_month"])
+            if not rows.isEmpty():
+                upsert_table(batch.sparkSession, out, rows, ["window_start", *keys], partition_by=["window_month"])
         finally:
-            rows.unpersist()
+            discard(batch.sparkSession, path)
 
     return write
 
@@ -122,6 +124,10 @@ def daily_refresh(
         )
         affected = ranged.join(days, F.to_date("created_at") == F.col("_day"), "left_semi")
         fresh = daily_sales_summary(affected, customers(), as_of)
+        if path_exists(batch.sparkSession, out):
+            changed = days.where(F.col("_day") >= F.lit(first)).select(F.col("_day").alias(DAY))
+            stored = batch.sparkSession.read.parquet(out).select(DAY).join(changed, DAY, "left_semi")
+            fresh = with_emptied_days(fresh, stored, as_of)
         upsert_table(batch.sparkSession, out, by_year(fresh), [DAY], partition_by=[YEAR])
 
     return _run(changed_orders, write, checkpoint, "append")

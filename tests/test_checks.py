@@ -5,6 +5,7 @@ from datetime import date, datetime
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from merchantry import schemas
 from merchantry.plans import audit, monitoring, quality
@@ -36,6 +37,8 @@ def test_arithmetic(spark, rows):
         "order_id bigint, subtotal decimal(18,2), tax_amount decimal(18,2), shipping_amount decimal(18,2), discount_amount decimal(18,2), total_amount decimal(18,2)",
     )
     assert rows(quality.order_arithmetic(orders, items)) == [(2, D("1.00"), D("-0.01"))]
+    unknown = orders.where("order_id = 3").withColumn("total_amount", F.lit(None).cast("decimal(18,2)"))
+    assert rows(quality.order_arithmetic(unknown, items)) == [(3, None, D("0.00"))]
 
 
 def test_capture_changes(spark):
@@ -51,6 +54,16 @@ def test_capture_changes(spark):
     assert (found[5].changed_by, found[5].application_name, found[5].ip_address, found[5].session_id) == ("me", "Spark-Direct", "unknown", None)
 
 
+def test_capture_sees_added_and_dropped_columns(spark):
+    old = spark.createDataFrame([(1, "x"), (2, None)], "id int, gone string")
+    new = spark.createDataFrame([(1, 5), (2, None), (3, None)], "id int, added int")
+    found = {int(r.record_id): r for r in audit.capture_changes(old, new, "id", "t", NOW).collect()}
+    assert {k: r.operation for k, r in found.items()} == {1: "UPDATE", 3: "INSERT"}
+    assert json.loads(found[1].old_values) == {"id": 1, "gone": "x", "added": None}
+    assert json.loads(found[1].new_values) == {"id": 1, "gone": None, "added": 5}
+
+
+
 @pytest.fixture
 def log(spark):
     rows = [

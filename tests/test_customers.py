@@ -137,6 +137,15 @@ def test_geography_prefers_the_used_place_then_the_first_name(spark, rows):
     assert found == [(1, "Boston", 2), (2, "Austin", 1)]
 
 
+def test_an_unknown_category_is_never_the_favourite(spark):
+    orders = spark.createDataFrame([order(1, 1, "1", "2024-01-01")], schemas.ORDERS)
+    items = spark.createDataFrame([(1, 1, 9, D(1), D(9)), (1, 2, 2, D(1), D(2))], schemas.ORDER_ITEMS)
+    products = spark.createDataFrame([(1, None), (2, "c")], "product_id bigint, category_id string")
+    categories = spark.createDataFrame([("c", "Cat")], "category_id string, category_name string")
+    found = customers.customer_behaviour(orders, items, products, categories).first()
+    assert (found.favorite_category, found.total_products_purchased) == ("Cat", 11)
+
+
 def test_behaviour_breaks_ties_by_name(spark, rows):
     orders = spark.createDataFrame([order(1, 1, "1", "2024-01-01")], schemas.ORDERS)
     items = spark.createDataFrame([(1, 1, 2, D(1), D(2)), (1, 2, 2, D(1), D(2)), (1, 1, 1, D(1), D(1)), (1, 3, 3, D(1), D(3))], schemas.ORDER_ITEMS)

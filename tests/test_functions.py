@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from merchantry.functions import scalar as s
 from merchantry.functions.classify import class_rank, performance_tier, selectivity_level, velocity_category
-from merchantry.functions.documents import merge_patch, row_image, without_members
+from merchantry.functions.documents import is_malformed, merge_patch, row_image, without_members
 from merchantry.rules import Rules
 
 
@@ -123,14 +123,56 @@ def test_merge_patch_agrees_with_brute_force(spark):
 
 def test_merge_patch_with_missing_sides(spark):
     df = spark.createDataFrame([(None, '{"a": 1, "b": null}'), ('{"a": 1}', None), (None, None)], "o string, p string")
-    assert [r[0] for r in df.select(merge_patch("o", "p")).collect()] == ['{"a":1}', '{"a":1}', "{}"]
+    assert [r[0] for r in df.select(merge_patch("o", "p")).collect()] == ['{"a":1}', '{"a": 1}', "{}"]
+
+
+def nested(depth, value):
+    for _ in range(depth):
+        value = {"a": value}
+    return value
+
+
+RFC = [
+    ('{"a":"b"}', '{"a":"c"}', '{"a":"c"}'),
+    ('{"a":"b"}', '{"b":"c"}', '{"a":"b","b":"c"}'),
+    ('{"a":"b"}', '{"a":null}', "{}"),
+    ('{"a":"b","b":"c"}', '{"a":null}', '{"b":"c"}'),
+    ('{"a":["b"]}', '{"a":"c"}', '{"a":"c"}'),
+    ('{"a":"c"}', '{"a":["b"]}', '{"a":["b"]}'),
+    ('{"a":{"b":"c"}}', '{"a":{"b":"d","c":null}}', '{"a":{"b":"d"}}'),
+    ('{"a":[{"b":"c"}]}', '{"a":[1]}', '{"a":[1]}'),
+    ('["a","b"]', '["c","d"]', '["c","d"]'),
+    ('{"a":"b"}', '["c"]', '["c"]'),
+    ('{"a":"foo"}', "null", "null"),
+    ('{"a":"foo"}', '"bar"', '"bar"'),
+    ('{"e":null}', '{"a":1}', '{"e":null,"a":1}'),
+    ("[1,2]", '{"a":"b","c":null}', '{"a":"b"}'),
+    ("{}", '{"a":{"bb":{"ccc":null}}}', '{"a":{"bb":{}}}'),
+    # sides that are no objects, repeated members, text that is no JSON, exact numbers
+    ('{"a":1}', "5", "5"),
+    ("not json", '{"a":1}', '{"a":1}'),
+    ('{"a":1}', "{broken", "{broken"),
+    ('{"a":1,"a":2}', '{"b":3,"b":4}', '{"a":2,"b":4}'),
+    ('{"n":1.10}', '{"m":12345678901234567890.123456789}', '{"n":1.10,"m":12345678901234567890.123456789}'),
+]
+
+
+def test_merge_patch_examples(spark):
+    df = spark.createDataFrame([r[:2] for r in RFC], "o string, p string")
+    assert [r[0] for r in df.select(merge_patch("o", "p")).collect()] == [r[2] for r in RFC]
+
+
+def test_merge_patch_of_any_depth(spark):
+    patch = json.dumps(nested(200, {"x": 1, "y": None}))
+    df = spark.createDataFrame([(json.dumps(nested(200, {"y": 2, "z": 3})), patch)], "o string, p string")
+    assert json.loads(df.select(merge_patch("o", "p")).first()[0]) == nested(200, {"x": 1, "z": 3})
 
 
-def test_merge_patch_never_cuts_a_deep_patch(spark):
-    df = spark.createDataFrame([("{}", '{"a": {"b": {"c": 1}}}')], "o string, p string")
-    with pytest.raises(Exception, match="nested deeper"):
-        df.select(merge_patch("o", "p", levels=1)).collect()
-    assert json.loads(df.select(merge_patch("o", "p", levels=2)).first()[0]) == {"a": {"b": {"c": 1}}}
+def test_malformed_documents_are_kept_and_counted(spark):
+    df = spark.createDataFrame([("{broken",), ("[1]",), ('{"a":1,"a":2}',), (None,)], "d string")
+    cut = df.select(without_members("d", F.lit(["a"])), is_malformed("d"))
+    assert [tuple(r) for r in cut.collect()][:2] == [("{broken", True), ("[1]", False)]
+    assert [r[0] for r in cut.collect()][2:] == ["{}", None]
 
 
 def test_images(spark):

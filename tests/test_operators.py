@@ -35,8 +35,8 @@ def test_global_rank_by_buckets(spark, skewed, descending):
     else:
         wanted = {v: 1 + sum(key(o) < key(v) for o in values) for v in set(values)}
     assert got == wanted
-    window = {r.v: r.r for r in global_rank(df, "v", "r", descending, rows=len(values)).collect()}
-    assert window == wanted
+    many = {r.v: r.r for r in global_rank(df, "v", "r", descending, buckets=200).collect()}
+    assert many == wanted
 
 
 def test_global_rank_keeps_every_row(spark, skewed):
@@ -51,18 +51,32 @@ def half_up(q: Fraction) -> D:
     return D(whole if cents >= 0 else -whole) / 100
 
 
-def test_exact_median_in_both_forms(spark, skewed):
+def test_exact_median_with_any_number_of_buckets(spark, skewed):
     df = spark.createDataFrame(skewed, "g string, v decimal(18,2)")
     wanted = {}
     for g in {g for g, v in skewed if v is not None}:
         values = sorted(v for h, v in skewed if h == g and v is not None)
         n = len(values)
         wanted[g] = half_up(Fraction(values[(n - 1) // 2] + values[n // 2]) / 2)
-    for largest in (None, 1 << 40):
-        got = {r.g: r.m for r in exact_median(df, ["g"], "v", "m", largest).collect()}
+    for buckets in (None, 1, 300):
+        got = {r.g: r.m for r in exact_median(df, ["g"], "v", "m", buckets).collect()}
         assert got == wanted
 
 
+def test_exact_median_rounds_once_and_last(spark):
+    """Three decimals, negative and very large values, in one form whatever the group's size."""
+    values = {
+        "three": ["1.005", "1.009", "1.009"],
+        "even": ["1.004", "1.005"],
+        "negative": ["-1.005", "-7", "-1.004"],
+        "large": ["99999999999999999.99", "99999999999999999.98"],
+    }
+    data = [(g, D(v)) for g, vs in values.items() for v in vs]
+    df = spark.createDataFrame(data, "g string, v decimal(28,3)")
+    got = {r.g: r.m for r in exact_median(df, ["g"], "v", "m").collect()}
+    assert got == {"three": D("1.01"), "even": D("1.00"), "negative": D("-1.01"), "large": D("99999999999999999.99")}
+
+
 def test_running_before_spreads_a_large_group(spark):
     df = spark.range(20_000).select(F.lit("all").alias("g"), F.col("id").alias("v"), F.lit(2).alias("w"))
     placed = running_before(df, "v", "w", "before", ["g"], buckets=64)
