@@ -11,9 +11,9 @@ from merchantry.plans import customers, sales
 from merchantry.plans.quality import stacked
 from merchantry.schemas import AUDIT_CONFIG
 from merchantry.sources.adapter import Model
-from merchantry.sources.shared import shared_dir
+from merchantry.sources.shared import discard, shared_dir
 from merchantry.sources.sinks import load, merge_upsert
-from merchantry.sources.snapshot import changes_since, export_snapshot
+from merchantry.sources.snapshot import advanced, changes_since, export_snapshot, store_position, stored_position
 from merchantry.sources.tables import load_tables
 from merchantry.streaming import jobs
 
@@ -115,16 +115,15 @@ _EXPORTED = ["orders", "order_items", "products", "customers"]
     ),
 )
 def _(m: Model) -> DataFrame:
-    copies = {}
+    rows = []
     for name in _EXPORTED:
-        copies[name] = export_snapshot(getattr(m, name), shared_dir(m.spark, f"snapshot-{name}"))
-    read = [
-        m.spark.read.schema(getattr(m, name).schema)
-        .parquet(c.path)
-        .agg(F.lit(name).alias("table_name"), F.count("*").alias("rows_written"), F.lit(c.verified).alias("verified"))
-        for name, c in copies.items()
-    ]
-    return stacked(read)
+        path = shared_dir(m.spark, f"snapshot-{name}")
+        try:
+            copy = export_snapshot(getattr(m, name), path)  # counts what it reads back
+        finally:
+            discard(m.spark, path)
+        rows.append((name, copy.rows, copy.verified))
+    return m.spark.createDataFrame(rows, "table_name string, rows_written bigint, verified boolean")
 
 
 @query(
@@ -132,7 +131,12 @@ def _(m: Model) -> DataFrame:
     "SELECT event_id, logged_at, pattern, duration FROM m_log WHERE logged_at > TIMESTAMP '2024-01-15 12:00:00'",
 )
 def _(m: Model) -> DataFrame:
-    rows = changes_since(m.log, "logged_at", "2024-01-15 12:00:00")
+    """The second extract: the first one stored how far it came."""
+    position = shared_dir(m.spark, "position")
+    seen = m.log.where(F.col("logged_at") <= F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
+    store_position(m.spark, position, advanced(seen, "logged_at", "event_id", None))
+    last = stored_position(m.spark, position)
+    rows = changes_since(m.log, "logged_at", last.time, "event_id", last.key)
     return rows.select("event_id", "logged_at", "pattern", "duration")
 
 

@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from merchantry.sources.shared import written
+from merchantry.sources.shared import discard, shared_dir, written
 
 BROADCAST_ROWS = 100_000
 
@@ -68,7 +68,8 @@ def hierarchy_paths(
     Each round joins every row's open ancestor to that ancestor's own path, so the covered
     depth doubles: sixteen rounds cover 65,536 levels. A row still open after them is part
     of a cycle, which raises. A parent that does not exist ends the path. Rounds are written
-    down, as each one would otherwise repeat all earlier ones twice.
+    down, as each one would otherwise repeat all earlier ones twice: the result is a table as
+    of this call, in the shared folder, and the tables of earlier rounds are removed.
     """
     known = df.select(F.col(key).alias("_known"))
     nodes = df.join(known, F.col(parent) == F.col("_known"), "left")
@@ -78,9 +79,13 @@ def hierarchy_paths(
         F.col(label).alias("_path"),
         F.lit(1).cast("bigint").alias("_depth"),
     )
+    spark, done = df.sparkSession, None
     for _ in range(max_rounds + 1):
-        still = Observation()
-        paths = written(paths.observe(still, F.count("_up").alias("open")), "paths")
+        still, path = Observation(), shared_dir(df.sparkSession, "paths")
+        paths = written(paths.observe(still, F.count("_up").alias("open")), "paths", path)
+        if done:
+            discard(spark, done)
+        done = path
         if still.get["open"] == 0:
             break
         above = paths.select(*[F.col(c).alias(f"_above{c}") for c in paths.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.functions.scalar import (
@@ -107,27 +107,29 @@ def daily_product_mix(
 ) -> DataFrame:
     """Units, distinct products and the category with most revenue per day, in one pass over the items.
 
-    An order counts for a category once: its first product of the category carries the
-    count. The window for that runs over the products of one order, which the join has
-    already brought together.
+    An order counts for a category once. Orders are therefore combined to (day, category,
+    order) before they are counted, in partial aggregates, so that one order with very many
+    lines is no task of its own.
     """
     days = _by_day(not_cancelled(orders)).select("order_id", DAY)
     named = products.select("product_id", "category_id").join(
         categories.select("category_id", "category_name"), "category_id", "left"
     )
-    # products first: the join by order comes last and leaves the rows placed for the window
     sold = order_product_units(items).join(named.select("product_id", "category_name"), "product_id", "left")
     sold = sold.join(days, "order_id")
-    within_order = Window.partitionBy("order_id", "category_name").orderBy("product_id")
-    marked = sold.withColumn("first", (F.row_number().over(within_order) == 1).cast("int"))
-    per_product = marked.groupBy(DAY, "category_name", "product_id").agg(
-        F.sum("units").alias("units"), F.sum("revenue").alias("revenue"), F.sum("first").alias("orders")
+    per_product = sold.groupBy(DAY, "category_name", "product_id").agg(
+        F.sum("units").alias("units"), F.sum("revenue").alias("revenue")
     )
-    per_category = per_product.groupBy(DAY, "category_name").agg(
+    per_order = sold.groupBy(DAY, "category_name", "order_id").agg(F.lit(1).alias("one"))
+    none = F.lit(None)
+    counted = per_product.select(DAY, "category_name", "units", "revenue", "product_id", none.alias("order_id")).union(
+        per_order.select(DAY, "category_name", none, none, none, "order_id")
+    )
+    per_category = counted.groupBy(DAY, "category_name").agg(
         F.sum("units").alias("units"),
         F.count("product_id").alias("products"),
         F.sum("revenue").alias("revenue"),
-        F.sum("orders").alias("orders"),
+        F.count("order_id").alias("orders"),
     )
     best = F.min_by(
         F.struct("category_name", "revenue", "orders"),

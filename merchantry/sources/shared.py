@@ -12,8 +12,9 @@ SETTING = "spark.checkpoint.dir"
 
 
 @lru_cache(maxsize=1)
-def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="run-")
+def _local_base() -> tempfile.TemporaryDirectory:
+    """One folder per process, removed when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="run-", ignore_cleanup_errors=True)
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
-        base = _local_base()
+        base = _local_base().name
     return f"{base.rstrip('/')}/merchantry/{purpose}-{uuid.uuid4().hex}"
 
 

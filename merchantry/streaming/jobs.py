@@ -75,6 +75,32 @@ def activity_counts(
     return _run(counts, _upsert_windows(out, [kind]), checkpoint, "update")
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that a finished run left out because they were older than its watermark.
+
+    They are missing in the windows until `repair_activity` counts those again.
+    """
+    return sum(
+        int(state["numRowsDroppedByWatermark"])
+        for progress in query.recentProgress
+        for state in progress["stateOperators"]
+    )
+
+
+def repair_activity(
+    events: DataFrame, time_column: str, kind: str, out: str, since: Moment, until: Moment, width: str = "1 hour"
+) -> None:
+    """Count the windows between two times from the whole event table and upsert them.
+
+    This is the way for rows that came too late for the stream, as a nightly job over the last
+    days. The times must be window bounds.
+    """
+    at = F.col(time_column)
+    span = events.where((at >= moment(since)) & (at < moment(until)))
+    counts = span.groupBy(F.window(at, width).alias("window"), kind).agg(F.count("*").alias("changes"))
+    _upsert_windows(out, [kind])(counts, 0)
+
+
 def running_quality(
     stream: DataFrame,
     time_column: str,

@@ -1,5 +1,7 @@
 from decimal import Decimal as D
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from merchantry.plans.products import product_sales
 from merchantry.sources import shared
 from merchantry.sources.adapter import Model
 from merchantry.sources.sinks import load, merge_upsert, save_bucketed, upsert_table
-from merchantry.sources.snapshot import changes_since, export_snapshot
+from merchantry.sources.snapshot import changes_since, export_snapshot, extract_changes, stored_position
 from merchantry.sources.tables import jdbc_options, load_tables
 
 SCHEMA = "k int, a string, b decimal(18,2)"
@@ -107,6 +109,21 @@ def test_snapshot_notices_a_nondeterministic_copy(spark, tmp_path, monkeypatch):
     assert not export_snapshot(df, path).verified
 
 
+def test_extract_stores_and_advances_its_position(spark, rows, tmp_path):
+    out, position = str(tmp_path / "out"), str(tmp_path / "position")
+    data = [(1, datetime(2024, 1, 1)), (2, datetime(2024, 1, 2))]
+
+    def run():
+        return extract_changes(spark.createDataFrame(data, "k bigint, t timestamp_ntz"), "t", "k", out, position)
+
+    assert stored_position(spark, position) is None
+    assert (run(), run()) == (2, 0)
+    data += [(3, datetime(2024, 1, 2)), (4, datetime(2024, 1, 3, 5, 6, 7, 89))]  # 3 has the position's own time
+    assert (run(), run()) == (2, 0)
+    assert rows(spark.read.parquet(out), "k") == [(1,), (2,), (3,), (4,)]
+    assert stored_position(spark, position).key == 4
+
+
 def test_changes_since(spark, rows):
     df = spark.createDataFrame([("2024-01-01",), ("2024-01-02",)], "t string").select(F.col("t").cast("timestamp_ntz"))
     assert changes_since(df, "t", None).count() == 2
