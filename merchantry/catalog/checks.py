@@ -343,7 +343,7 @@ def _(m: Model) -> DataFrame:
 @query(
     "a8_session_context",
     """SELECT order_id, order_status, 'etl_system' AS changed_by, 'etl_20010802' AS session_id,
-      'Spark-Direct' AS application_name, 'unknown' AS ip_address FROM m_orders""",
+      'Spark-Direct' AS application_name, 'unknown' AS ip_address, CAST(NULL AS VARCHAR) AS user_agent FROM m_orders""",
 )
 def _(m: Model) -> DataFrame:
     context = audit.stamped({"user": "etl_system", "session_id": "etl_20010802"})

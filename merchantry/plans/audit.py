@@ -28,6 +28,7 @@ def stamped(context: Mapping[str, str | None] | None = None) -> dict[str, Column
         "session_id": entry("session_id", F.lit(None).cast("string")),
         "application_name": entry("application", F.lit("Spark-Direct")),
         "ip_address": entry("ip_address", F.lit("unknown")),
+        "user_agent": entry("user_agent", F.lit(None).cast("string")),
     }
 
 

@@ -35,7 +35,7 @@ INVENTORY_MOVEMENTS = (
 AUDIT_LOG = (
     "id bigint, table_name string, operation string, record_id string, old_values string, "
     "new_values string, changed_by string, changed_at timestamp_ntz, session_id string, "
-    "application_name string, ip_address string"
+    "application_name string, ip_address string, user_agent string"
 )
 AUDIT_CONFIG = (
     "table_name string, is_enabled boolean, audit_inserts boolean, audit_updates boolean, "

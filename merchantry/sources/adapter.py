@@ -222,4 +222,5 @@ class Model:
             F.concat(F.lit("session_"), F.col("user_id").cast("string")).alias("session_id"),
             F.lit("events").alias("application_name"),
             F.lit("unknown").alias("ip_address"),
+            F.lit(None).cast("string").alias("user_agent"),
         )

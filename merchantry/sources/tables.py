@@ -91,4 +91,6 @@ def stream_table(spark: SparkSession, path: str, schema: str, files_per_trigger:
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    plain = path.rstrip("/")
+    at = max(i for i, c in enumerate(plain) if c.isalnum())  # other characters may mean something in a pattern
+    return reader.parquet(f"{plain[:at]}[{plain[at]}]{plain[at + 1 :]}")

@@ -72,7 +72,7 @@ def log(spark):
         (3, "b", "DELETE", "2", '{"x": 9}', None, datetime(2024, 1, 24, 11)),
         (4, "c", "UPDATE", "2", None, '{"x": 9}', datetime(2023, 10, 1)),
     ]
-    full = [(*r[:6], "u", r[6], None, None, None) for r in rows]
+    full = [(*r[:6], "u", r[6], None, None, None, None) for r in rows]
     return spark.createDataFrame(full, schemas.AUDIT_LOG)
 
 

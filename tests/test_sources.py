@@ -1,6 +1,5 @@
-from decimal import Decimal as D
-
 from datetime import datetime
+from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +9,8 @@ from merchantry.sources import shared
 from merchantry.sources.adapter import Model
 from merchantry.sources.sinks import load, merge_upsert, save_bucketed, upsert_table
 from merchantry.sources.snapshot import changes_since, export_snapshot, extract_changes, stored_position
-from merchantry.sources.tables import jdbc_options, load_tables
+from merchantry.sources.tables import jdbc_options, load_tables, stream_table
+from merchantry.streaming import jobs
 
 SCHEMA = "k int, a string, b decimal(18,2)"
 
@@ -168,3 +168,14 @@ def test_shared_folder(spark, monkeypatch):
     assert "merchantry/p-" in shared.shared_dir(Session(None, "local[2]"), "p")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(Session(None, "yarn"), "p")
+
+
+@pytest.mark.parametrize("name", ["plain", "slash/", "odd-", "part.parquet"])
+def test_stream_reads_any_folder_name(spark, tmp_path, name):
+    path = str(tmp_path / name.rstrip("/"))
+    spark.range(3).write.parquet(path)
+    given = f"{path}/" if name.endswith("/") else path
+    out = str(tmp_path / "out")
+    query = jobs.incremental_extract(stream_table(spark, given, "id bigint"), out, str(tmp_path / "state"))
+    query.awaitTermination()
+    assert spark.read.parquet(out).count() == 3
