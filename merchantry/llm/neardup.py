@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,11 +15,13 @@ from merchantry.sources.shared import written
 
 BANDS = 30
 ROWS = 5
-REGISTERS = BANDS * ROWS
+REGISTERS = 300
+ERRORS = 4.5
 MANTISSA = 10
 VALUE_BITS = 52
 EMPTY = 0xFFFF
-BLOCK = 512
+BLOCK = 1024
+FOREST_BANDS = 10
 SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -41,15 +43,15 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _octaves(n: np.ndarray) -> np.ndarray:
-    """Chance that the smallest of n / REGISTERS values has 0, 1, ... leading zeros."""
+def octaves(n: np.ndarray) -> np.ndarray:
+    """Chance that the smallest of n / REGISTERS values has 0, 1, ... leading zeros, a row per n."""
     ends = np.exp2(-np.arange(VALUE_BITS + 1, dtype=np.float64))
     survive = np.exp(-np.outer(n / REGISTERS, ends))
     return survive[:, 1:] - survive[:, :-1]
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated Jaccard similarity of register rows, and its standard error at that value.
+def estimate(a: np.ndarray, b: np.ndarray, a_octaves: np.ndarray, b_octaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated Jaccard similarity of rows of registers, and the number of registers used.
 
     Registers of unrelated sets agree by chance when their smallest values fall into the
     same octave and then the same mantissa. That chance is computed from the set sizes and
@@ -58,14 +60,21 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     used = (a != EMPTY) | (b != EMPTY)
     n = np.maximum(used.sum(axis=1), 1)
     same = ((a == b) & used).sum(axis=1) / n
-    chance = (_octaves(n_a) * _octaves(n_b)).sum(axis=1) / (1 << MANTISSA)
-    return (same - chance) / (1 - chance), 1 / np.sqrt(n)
+    chance = (a_octaves * b_octaves).sum(axis=1) / (1 << MANTISSA)
+    return (same - chance) / (1 - chance), n
 
 
-def passes(est: np.ndarray, error: np.ndarray, percent: int) -> np.ndarray:
-    """Whether a pair may reach the threshold: within five standard errors of it."""
+def passes(est: np.ndarray, n: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a pair may reach the threshold: by its estimate, within ERRORS standard errors,
+    and by its sizes, which the threshold bounds exactly.
+
+    Every register in use shows one element of the union, drawn without replacement, so the
+    error vanishes as their number comes near to the size of the union.
+    """
     t = percent / 100
-    return est >= t - 5 * error * np.sqrt(t * (1 - t))
+    sized = 100 * np.minimum(sizes_a, sizes_b) >= percent * np.maximum(sizes_a, sizes_b)
+    unseen = np.clip(1 - n * (1 + t) / (sizes_a + sizes_b), 0, 1)
+    return sized & (est >= t - ERRORS * np.sqrt(t * (1 - t) / n * unseen) - 1 / n)
 
 
 def _described(texts: pd.Series) -> pd.DataFrame:
@@ -87,17 +96,17 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _bands() -> Column:
-    """A key for every band of registers that is not empty throughout."""
+    """A key for every band of registers, null where all of the band are empty."""
     width = 2 * ROWS
 
     def key(i: Column) -> Column:
         piece = F.substring(F.col("registers"), i * F.lit(width) + F.lit(1), F.lit(width))
         return F.when(piece != F.lit(b"\xff" * width), F.xxhash64(i, piece))
 
-    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key), lambda k: k.isNotNull())
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)
 
 
-def _rows_of(column: pd.Series) -> np.ndarray:
+def _rows_of(column: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(-1, REGISTERS)
 
 
@@ -106,13 +115,11 @@ def _confirmer(percent: int):
         for batch in batches:
             known: dict[tuple, np.ndarray] = {}
             linked = []
-            est, error = estimate(
-                _rows_of(batch["registers_a"]),
-                _rows_of(batch["registers_b"]),
-                batch["n_a"].to_numpy(),
-                batch["n_b"].to_numpy(),
+            sizes = [batch["n_a"].to_numpy(np.float64), batch["n_b"].to_numpy(np.float64)]
+            est, used = estimate(
+                _rows_of(batch["registers_a"]), _rows_of(batch["registers_b"]), octaves(sizes[0]), octaves(sizes[1])
             )
-            likely = batch[passes(est, error, percent)]
+            likely = batch[passes(est, used, *sizes, percent)]
             for row in likely.itertuples(index=False):
                 sets = []
                 for node, key, text in ((row.a, row.key_a, row.text_a), (row.b, row.key_b, row.text_b)):
@@ -134,7 +141,8 @@ def _confirmer(percent: int):
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full shingle sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sides = [pairs.select(F.col(c).alias("node")).distinct() for c in ("a", "b")]
+    wanted = sides[0].union(sides[1]).distinct()
     chosen = nodes.join(wanted, "node")
     text = docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text").where("text is not null")
     same = F.col("_id").eqNullSafe(F.col("doc_id"))
@@ -151,45 +159,80 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     return joined.mapInPandas(_confirmer(percent), "a bigint, b bigint")
 
 
-def _compare_block(percent: int):
+class _Forest:
+    """Disjoint sets of the members of a block."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[i] = j
+        return i != j
+
+
+def _block_pairs(members: list, band: int, same_block: bool, percent: int, every: bool) -> list[tuple[int, int]]:
+    """Pairs of a block that may reach the threshold and are in different components.
+
+    Either a spanning forest of the best estimates, fewer pairs than members, or `every` pair,
+    each in the first band that its nodes share only.
+    """
+    nodes = np.array([m["node"] for m in members])
+    comps = np.array([m["comp"] for m in members])
+    sides = np.array([m["side"] for m in members])
+    sizes = np.array([m["n_shingles"] for m in members], np.float64)
+    rows = _rows_of(m["registers"] for m in members)
+    chances = octaves(sizes)
+    found = []
+    for i in range(len(nodes) - 1):
+        wanted = comps[i + 1 :] != comps[i]
+        if not same_block:
+            wanted &= sides[i + 1 :] != sides[i]
+        other = np.flatnonzero(wanted) + i + 1
+        if len(other):
+            est, used = estimate(rows[i][None, :], rows[other], chances[i][None, :], chances[other])
+            near = passes(est, used, sizes[i], sizes[other], percent)
+            found += [(e, i, j) for e, j in zip(est[near].tolist(), other[near].tolist(), strict=True)]
+    if every:
+        banded = rows[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+        full = (banded != EMPTY).any(axis=2)
+        kept = [(i, j) for _, i, j in found if ((banded[i] == banded[j]).all(axis=1) & full[i]).argmax() == band]
+    else:
+        forest = _Forest(len(nodes))
+        kept = [(i, j) for _, i, j in sorted(found, reverse=True) if forest.join(i, j)]
+    return [(int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))) for i, j in kept]
+
+
+def _pairs_in_buckets(members: DataFrame, nodes: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Candidate pairs (a < b) inside the buckets of members (bucket, band, node, comp).
+
+    A bucket is compared in pairs of blocks of about BLOCK members, so its size bounds no task.
+    """
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            a, b = [], []
-            for members in batch["members"]:
-                nodes = np.array([m["node"] for m in members])
-                comps = np.array([m["comp"] for m in members])
-                sizes = np.array([m["n_shingles"] for m in members], np.float64)
-                rows = np.frombuffer(b"".join(m["registers"] for m in members), np.uint16).reshape(-1, REGISTERS)
-                for i in range(len(nodes) - 1):
-                    other = np.flatnonzero(comps[i + 1 :] != comps[i]) + i + 1
-                    if len(other):
-                        mine = np.broadcast_to(rows[i], (len(other), REGISTERS))
-                        est, error = estimate(mine, rows[other], np.full(len(other), sizes[i]), sizes[other])
-                        near = other[passes(est, error, percent)]
-                        a.extend(np.minimum(nodes[i], nodes[near]).tolist())
-                        b.extend(np.maximum(nodes[i], nodes[near]).tolist())
-            yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
-
-    return compare
-
-
-def _remaining_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs inside a bucket between nodes that the stars left in different components.
-
-    A bucket is compared in blocks of about BLOCK members, so that its size bounds no task;
-    only pairs whose registers may reach the threshold leave the task.
-    """
-    own = members.where("node != center").select("band", "node")
-    own = own.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    spread = own.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-    spread = spread.where("lo != hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = own.join(spread, "band").withColumn("x", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+            pairs = [
+                pair
+                for band, i, j, rows in zip(batch["band"], batch["i"], batch["j"], batch["members"], strict=True)
+                for pair in _block_pairs(rows, band, i == j, percent, every)
+            ]
+            yield pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+
+    spread = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+    spread = spread.where("lo != hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rest = members.join(spread, "bucket").withColumn("x", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     rest = rest.withColumn("y", F.explode(F.expr("sequence(0, blocks - 1)")))
     rest = rest.join(nodes.select("node", "n_shingles", "registers"), "node")
-    grouped = rest.groupBy("band", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).agg(
-        F.collect_list(F.struct("node", "comp", "n_shingles", "registers")).alias("members")
+    member = F.struct("node", "comp", F.col("x").alias("side"), "n_shingles", "registers")
+    grouped = rest.groupBy("bucket", "band", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).agg(
+        F.collect_list(member).alias("members")
     )
-    return grouped.select("members").mapInPandas(_compare_block(percent), "a bigint, b bigint").distinct()
+    return grouped.drop("bucket").mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -200,12 +243,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     1. Each text becomes a set key and HyperMinHash registers in one pass. Equal sets form
        one node, so copies of any number cost one row each and are never paired.
-    2. Nodes are bucketed by bands of registers. In every bucket each node is paired with
-       the first one only, a number of pairs linear in the nodes; pairs are screened by the
-       collision-corrected estimate and confirmed on the full sets.
-    3. Buckets whose members are still in different components are compared in blocks
-       between components, and what may pass the threshold is confirmed in the same way.
-    A pair at the threshold shares no band with a chance of about 2e-8.
+    2. Nodes are bucketed by bands of registers. Inside the larger buckets of the first
+       FOREST_BANDS bands the collision-corrected estimates give a spanning forest of the best
+       pairs, fewer than there are members; these are confirmed on the full sets, which joins
+       most of a dense group.
+    3. In the buckets of all bands, pairs in different components that may pass the threshold
+       are all confirmed as well. A pair inside a component is never expanded.
+    A pair at the threshold shares no band with a chance of about 2e-8, and is estimated too
+    low to be confirmed with one of about 4e-6.
 
     Null or empty texts and texts without words have no shingles and stay alone. A null
     doc_id is kept as a document; it never becomes the component_id of another one. Rows
@@ -219,17 +264,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         F.any_value("registers").alias("registers"),
     )
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # ids are fixed by writing
-    banded = nodes.select("node", F.explode(_bands()).alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
-    members = written(banded.join(shared, "band").select("band", "node", "center"), "buckets")
-
-    stars = members.where("node != center").select(F.col("center").alias("b"), F.col("node").alias("a")).distinct()
-    stars = written(stars, "pairs")
-    links = written(_confirmed(stars, nodes, docs, percent), "confirmed")
+    banded = nodes.select("node", F.posexplode(_bands()).alias("band", "bucket")).where("bucket is not null")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(banded.join(shared, "bucket"), "buckets")
+
+    crowds = members.where((F.col("n") > 2) & (F.col("band") < FOREST_BANDS)).select("bucket", "band", "node")
+    forest = _pairs_in_buckets(crowds.withColumn("comp", F.col("node")), nodes, percent, every=False)
+    tried = written(forest, "pairs")
+    links = written(_confirmed(tried, nodes, docs, percent), "confirmed")
     roots = written(components(links), "roots")
 
-    more = _remaining_pairs(members, roots, nodes, percent)
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    parted = members.select("bucket", "band", "node").join(roots, "node", "left")
+    parted = parted.withColumn("comp", F.coalesce("root", "node")).drop("root")
+    more = _pairs_in_buckets(parted, nodes, percent, every=True)
     more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         links = written(links.union(_confirmed(more, nodes, docs, percent)), "confirmed")
