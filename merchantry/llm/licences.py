@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantry.llm.learning import sampled
-from merchantry.sources.shared import written
+from merchantry.sources.shared import discard, shared_dir, written
 
 UNKNOWN = "unknown"
 MAX_DOCUMENTS = 400
@@ -141,7 +141,19 @@ def train(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> LicenceModel:
         featuresCol="margin", labelCol="right", probabilityCol="sure", rawPredictionCol="odds", predictionCol="yes",
         family="binomial", regParam=1e-3, maxIter=40,
     ).fit(judged.select("margin", right.alias("right")))
-    return LicenceModel(features, classifier, calibration)
+    return LicenceModel(features, _bare(classifier), _bare(calibration))
+
+
+def _bare(model: LogisticRegressionModel) -> LogisticRegressionModel:
+    """The model without its training summary, which refers to the session and can keep the model
+    from being sent to the tasks."""
+    spark = SparkSession.active()
+    path = shared_dir(spark, "licence-model")
+    try:
+        model.save(path)
+        return LogisticRegressionModel.load(path)
+    finally:
+        discard(spark, path)
 
 
 
