@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantry.llm import decontaminate, language, neardup, packing, pii
+from merchantry.llm.session import prepare
 from merchantry.sources.shared import shared_dir
-from merchantry.sources.ship import ship
 
 MIN_LANGUAGE_SCORE = 0.5
 
@@ -19,7 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The model is learned from the documents of `sf_dir`. Rows are judged one by one, so null
     ids, repeated rows and further columns pass through. Null and empty texts are `und`.
     """
-    ship(spark)
+    prepare(spark)
     model = language.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = language.predictor(spark, model)(F.col("text"))
     judged = docs.select(F.struct(*docs.columns).alias("row"), found.alias("found"))
@@ -29,25 +29,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    ship(spark)
+    prepare(spark)
     return neardup.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark of `sf_dir`."""
-    ship(spark)
+    prepare(spark)
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind in brackets."""
-    ship(spark)
+    prepare(spark)
     return pii.masked(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents with their places in sequences of 1024 tokens."""
-    ship(spark)
+    prepare(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from merchantry.llm.memory import lean
 from merchantry.llm.order import id_buckets, shuffle_partitions, totals_before
 from merchantry.llm.tokens import encoder
 
@@ -122,7 +123,8 @@ def _writer(tokenizer: str, spaced: bool, end_id: int, block_ids: int):
     end = struct.pack("<H", end_id)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer, spaced).ids
+        tokens = encoder(tokenizer, spaced)
+        encode = tokens.ids
         bucket, block, size = None, 0, 0
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
@@ -146,8 +148,9 @@ def _writer(tokenizer: str, spaced: bool, end_id: int, block_ids: int):
                 size += len(found) // 2
         if doc_ids:
             yield flushed()
+        tokens.forget()
 
-    return write
+    return lean(write)
 
 
 def write_token_files(
@@ -188,7 +191,7 @@ def _reader(digest: bool):
                     out["ids"] = [p.astype(np.int32) for p in parts]
                 yield out
 
-    return read
+    return lean(read)
 
 
 def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from merchantry.llm.memory import lean
 from merchantry.llm.words import SHINGLE, folded
 from merchantry.sources.shared import written
 
@@ -196,7 +197,7 @@ def _searcher(shared):
             rows += search_chunk(ids, texts)
             yield pd.DataFrame(rows, columns=columns)
 
-    return search
+    return lean(search)
 
 
 def _loaded(rows: list[tuple]) -> tuple[list[Item], dict[int, Index]]:

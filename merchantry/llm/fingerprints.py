@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from merchantry.llm.memory import lean
 from merchantry.llm.order import id_buckets, shuffle_partitions
 from merchantry.llm.words import common, shingle_set
 
@@ -125,7 +126,7 @@ def _compare(fraction: int):
         if held is not None:
             yield _described(held, [first], fraction)
 
-    return compare
+    return lean(compare)
 
 
 def edited_fingerprints(docs: DataFrame, fraction: int = FRACTION, buckets: int | None = None) -> DataFrame:

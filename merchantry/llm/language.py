@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
@@ -15,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merchantry.llm.learning import held_out, sampled
+from merchantry.llm.memory import lean
 
 UNKNOWN = "und"
 LONGEST = 4
 SMOOTHING = 0.5
 EVIDENCE = 25
 MEMORY = 200_000
+PART = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -34,39 +35,80 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-@dataclass
 class LanguageModel:
-    """Log frequencies per language of words (order 0) and of n-grams of 1 to LONGEST letters."""
-
-    languages: list[str]
-    prior: np.ndarray
-    tables: list[dict[str, np.ndarray]]
-    _rows: dict[str, int] = field(default_factory=dict)
-    _matrix: np.ndarray | None = None
-
-    def word(self, word: str) -> np.ndarray | None:
-        """Evidence of one word: its own frequencies, else the mean of its known n-grams of the
-        longest order that has any; None if no order has."""
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
-        for n in range(LONGEST, 0, -1):
-            found = [v for g in grams(word, n) if (v := self.tables[n].get(g)) is not None]
+    """Log frequencies per language of words (order 0) and of n-grams of 1 to LONGEST letters.
+
+    A table has the place of every entry in a matrix with a column per language. The evidence
+    of words that were seen lately is remembered in a matrix of its own, of bounded size.
+    """
+
+    def __init__(self, languages: list[str], prior: np.ndarray, tables: list[dict[str, np.ndarray]]) -> None:
+        self.languages, self.prior = languages, prior
+        self._at = [dict(zip(table, range(len(table)), strict=True)) for table in tables]
+        width = len(languages)
+        self._logs = [np.array(list(t.values()), np.float32).reshape(len(t), width) for t in tables]
+        self.forget()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_known", "_evidence")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the remembered evidence."""
+        self._known: dict[str, int] = {}
+        self._evidence = np.zeros((0, len(self.languages) + 1), np.float32)
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """A row per word: its logs per language, and 1 if there is any evidence.
+
+        A known word has its own frequencies. Another one has the mean of its known n-grams of
+        the longest order of which it has any.
+        """
+        out = np.zeros((len(words), len(self.languages) + 1), np.float32)
+        places: list[list[int]] = [[] for _ in self._at]
+        owners: list[list[int]] = [[] for _ in self._at]
+        counts: list[list[int]] = [[] for _ in self._at]
+        for i, word in enumerate(words):
+            at = self._at[0].get(word)
+            found = [] if at is None else [at]
+            order, marked = 0, f"<{word}>"
+            n = LONGEST
+            while not found and n:
+                order, table = n, self._at[n]
+                found = [p for k in range(len(marked) - n + 1) if (p := table.get(marked[k : k + n])) is not None]
+                n -= 1
             if found:
-                return np.mean(found, axis=0)
-        return None
-
-    def _row(self, word: str) -> int:
-        if self._matrix is None or len(self._rows) + 1 >= MEMORY:
-            self._rows.clear()
-            self._matrix = np.zeros((MEMORY, len(self.languages) + 1), np.float32)
-        at = len(self._rows)
-        found = self.word(word)
-        if found is not None:
-            self._matrix[at, :-1] = found
-            self._matrix[at, -1] = 1
-        self._rows[word] = at
-        return at
+                places[order] += found
+                owners[order].append(i)
+                counts[order].append(len(found))
+        for order, at in enumerate(places):
+            if at:
+                n = np.array(counts[order])
+                sums = np.add.reduceat(self._logs[order][at], np.cumsum(n) - n, axis=0)
+                out[owners[order], :-1] = sums / n[:, None]
+                out[owners[order], -1] = 1
+        return out
+
+    def _total(self, words: list[str]) -> np.ndarray:
+        at = list(map(self._known.get, words))
+        if None in at:
+            new = list(dict.fromkeys(w for w, p in zip(words, at, strict=True) if p is None))
+            if len(self._known) + len(new) > MEMORY:
+                self.forget()
+                new = list(dict.fromkeys(words))
+            start = len(self._known)
+            end = start + len(new)
+            if end > len(self._evidence):
+                grown = np.zeros((max(end, 2 * len(self._evidence), 1000), self._evidence.shape[1]), np.float32)
+                grown[:start] = self._evidence[:start]
+                self._evidence = grown
+            self._evidence[start:end] = self.evidence(new)
+            self._known.update(zip(new, range(start, end), strict=True))
+            at = list(map(self._known.__getitem__, words))
+        return self._evidence[at].sum(axis=0, dtype=np.float64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score. The score is the posterior of at most EVIDENCE average words, times
@@ -74,16 +116,7 @@ class LanguageModel:
         words = words_of(text) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.languages) + 1)
-        for start in range(0, len(words), MEMORY // 4):
-            part = words[start : start + MEMORY // 4]
-            if self._matrix is None or len(self._rows) + len(part) >= MEMORY:
-                self._rows.clear()
-                self._matrix = np.zeros((MEMORY, len(self.languages) + 1), np.float32)
-            at = list(map(self._rows.get, part))
-            if None in at:
-                at = [self._rows[w] if w in self._rows else self._row(w) for w in part]
-            total += self._matrix[at].sum(axis=0, dtype=np.float64)
+        total = sum(self._total(words[start : start + PART]) for start in range(0, len(words), PART))
         scored = total[-1]
         if not scored:
             return self.languages[int(self.prior.argmax())], 0.0
@@ -127,7 +160,7 @@ def train(
         return LanguageModel([], np.zeros(0), [{} for _ in range(LONGEST + 1)])
     wanted = reduce(or_, [(F.col("lang") == r["lang"]) & sampled("doc_id", r["count"], per_language) for r in sizes])
     counts = usable.where(wanted).select("lang", "text").mapInPandas(
-        _counted, "lang string, size int, gram string, n bigint"
+        lean(_counted), "lang string, size int, gram string, n bigint"
     )
     by_gram = (
         counts.groupBy("size", "gram", "lang")
@@ -155,17 +188,15 @@ def train(
 
 def predictor(spark: SparkSession, model: LanguageModel):
     """A function of a text column that gives struct(lang_pred, score)."""
-    shared = spark.sparkContext.broadcast((model.languages, model.prior, model.tables))
-    memory: dict[str, LanguageModel] = {}
+    shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        if "model" not in memory:
-            memory["model"] = LanguageModel(*shared.value)
-        found = [memory["model"].predict(t) for t in texts]
-        return pd.DataFrame(found, columns=["lang_pred", "score"])
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        for texts in batches:
+            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+        own.forget()
 
-    return predict
+    return F.pandas_udf(lean(predict), "lang_pred string, score double")
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

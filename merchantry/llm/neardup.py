@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.llm.graph import components
+from merchantry.llm.memory import lean
 from merchantry.llm.words import common, mixed, set_key, shingle_set
 from merchantry.sources.shared import written
 
@@ -77,20 +78,18 @@ def passes(est: np.ndarray, n: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndar
     return sized & (est >= t - ERRORS * np.sqrt(t * (1 - t) / n * unseen) - 1 / n)
 
 
-def _described(texts: pd.Series) -> pd.DataFrame:
-    sets = [shingle_set(t) for t in texts]
-    return pd.DataFrame(
-        {
-            "n_shingles": [len(s) for s in sets],
-            "set_key": [set_key(s) for s in sets],
-            "registers": [registers(s).tobytes() if len(s) else None for s in sets],
-        }
-    )
+def _described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        rows = []
+        for text in texts:
+            found = shingle_set(text)
+            rows.append((len(found), set_key(found), registers(found).tobytes() if len(found) else None))
+        yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "registers"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, set_key and registers (null without words)."""
-    described = F.pandas_udf(_described, "n_shingles bigint, set_key binary, registers binary")
+    described = F.pandas_udf(lean(_described), "n_shingles bigint, set_key binary, registers binary")
     found = docs.select(F.col("doc_id").cast("bigint"), described("text").alias("found"))
     return found.select("doc_id", "found.*")
 
@@ -136,7 +135,7 @@ def _confirmer(percent: int):
                     linked.append((row.a, row.b))
             yield pd.DataFrame(linked, columns=["a", "b"], dtype="int64")
 
-    return confirm
+    return lean(confirm)
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -232,7 +231,7 @@ def _pairs_in_buckets(members: DataFrame, nodes: DataFrame, percent: int, every:
     grouped = rest.groupBy("bucket", "band", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).agg(
         F.collect_list(member).alias("members")
     )
-    return grouped.drop("bucket").mapInPandas(compare, "a bigint, b bigint").distinct()
+    return grouped.drop("bucket").mapInPandas(lean(compare), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

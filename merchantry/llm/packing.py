@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from merchantry.llm.memory import lean
 from merchantry.llm.tokens import encoder
 from merchantry.sources.shared import written
 
@@ -76,7 +77,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, cap
     end = struct.pack("<H", end_id)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer, spaced).ids
+        found = encoder(tokenizer, spaced)
+        encode = found.ids
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -85,10 +87,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, cap
                     own = ids[start : start + length].tobytes()
                     rows.append((doc_id, piece, start, length, zlib.crc32(own), own if keep_ids else None))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        found.forget()
 
     schema = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
     # a nullable id arrives in pandas as a float, which would round large ones
-    found = docs.select(F.col("doc_id").cast("bigint").cast("string"), "text").mapInPandas(cut, schema)
+    found = docs.select(F.col("doc_id").cast("bigint").cast("string"), "text").mapInPandas(lean(cut), schema)
     return found if keep_ids else found.drop("ids")
 
 

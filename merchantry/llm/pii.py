@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merchantry.llm.memory import lean
 from merchantry.sources.shared import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -104,7 +105,12 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return found
 
 
-def _found(texts: pd.Series) -> pd.DataFrame:
+def _found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        yield _found_in(texts)
+
+
+def _found_in(texts: pd.Series) -> pd.DataFrame:
     spans, seen = [], []
     for text in texts.fillna(""):
         own = base_spans(text)
@@ -127,7 +133,7 @@ _FOUND = f"base array<struct<{_SPAN}>>, seen array<struct<{_SPAN}, context: stri
 
 
 def _with_found(docs: DataFrame) -> DataFrame:
-    found = F.pandas_udf(_found, _FOUND)
+    found = F.pandas_udf(lean(_found), _FOUND)
     return docs.select(F.struct(*docs.columns).alias("row"), found("text").alias("found"))
 
 
@@ -153,7 +159,7 @@ def _occurrences_of(docs: DataFrame, contexts: DataFrame) -> DataFrame:
                             counts[context] += 1
                 yield pd.DataFrame(counts.items(), columns=["context", "n"])
 
-        part = docs.select("text").mapInPandas(count, "context string, n bigint")
+        part = docs.select("text").mapInPandas(lean(count), "context string, n bigint")
         total = part if total is None else total.union(part)
     return total.groupBy("context").agg(F.sum("n").alias("total"))
 

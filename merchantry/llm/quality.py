@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantry.llm.learning import held_out, sampled
+from merchantry.llm.memory import lean
 from merchantry.llm.words import split_words
 
 BUCKETS = 4096
@@ -142,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, epochs: int
     chosen = marked.where(sampled("doc_id", marked.count(), max_rows))
     rows = with_metadata(docs).join(chosen, "doc_id").select("doc_id", "text", "n_chars", "label")
     schema = "label int, found binary, weights binary, statistics binary"
-    got = rows.drop("doc_id").mapInPandas(_described, schema).collect()
+    got = rows.drop("doc_id").mapInPandas(lean(_described), schema).collect()
     got = sorted(got, key=lambda r: (r["label"], bytes(r["statistics"]), bytes(r["found"])))
     empty = np.zeros(FEATURES)
     if not got:
@@ -191,18 +192,18 @@ def scorer(spark: SparkSession, model: QualityModel):
     """A function of the columns text and n_chars that gives the probability of label 1."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series, n_chars: pd.Series) -> pd.Series:
-        out, chunk = [], []
-        for text, n in zip(texts, n_chars, strict=True):
-            chunk.append(shared.value.row(text, n))
-            if len(chunk) == 500:
-                out.append(shared.value.score(chunk))
-                chunk = []
-        out.append(shared.value.score(chunk))
-        return pd.Series(np.concatenate(out))
-
-    return score
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, n_chars in batches:
+            out, chunk = [], []
+            for text, n in zip(texts, n_chars, strict=True):
+                chunk.append(shared.value.row(text, n))
+                if len(chunk) == 500:
+                    out.append(shared.value.score(chunk))
+                    chunk = []
+            out.append(shared.value.score(chunk))
+            yield pd.Series(np.concatenate(out))
+
+    return F.pandas_udf(lean(score), "double")
 
 
 def score_documents(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:

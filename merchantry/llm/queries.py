@@ -18,12 +18,12 @@ from merchantry.llm import (
     quality,
     shards,
 )
+from merchantry.llm.session import prepare
 from merchantry.sources.shared import shared_dir
-from merchantry.sources.ship import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -85,4 +85,21 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_language_id, op3_token_files, op4_decontamination, op5_near_duplicates,
     op6_uniform_shards, op7_personal_data, op8_packed_sequences, op9_fingerprints, op10_licences,
 )}
-ORACLES: dict[str, str] = {}
+
+# every pair of documents that share a shingle, counted; the others have no SQL form and are tested
+# against brute force (learned models, byte-pair merges, random draws, sketches, learned contexts)
+ORACLES = {
+    "op5_near_duplicates": r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM words),
+      each AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+      pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+        FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+      links AS (SELECT x, y FROM pairs WHERE 100 * c >= 85 * (n + m - c)),
+      reached AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION
+        SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+      least AS (SELECT x, min(y) AS component_id FROM reached GROUP BY 1)
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
+    FROM sets s JOIN least l ON s.doc_id = l.x""",
+}

@@ -22,7 +22,7 @@ _PIECES = {
 _UNITS = {True: re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]"), False: re.compile(r"[^ \n]+")}
 # further white space joins the blanks around it: such texts go to the library whole
 _OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0  -     　]")
-MEMORY = 1_000_000
+MEMORY = 400_000
 LONG = 100
 
 
@@ -76,6 +76,10 @@ class Encoder:
                         known[piece] = ids
         return b"".join(found)
 
+    def forget(self) -> None:
+        """Drop the remembered pieces, at the end of a task."""
+        self._known.clear()
+
     def ids(self, text: str) -> bytes:
         """The ids of a text as 16-bit integers, little-endian on the platforms Spark runs on."""
         if _PLAIN.fullmatch(text):
