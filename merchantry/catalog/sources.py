@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from merchantry.catalog.model_sql import NOW, R, segment_sql
 from merchantry.catalog.registry import AS_OF, CTES, query, sql_mean, sql_mean_money, sql_rate
 from merchantry.plans import customers, sales
-from merchantry.plans.quality import stacked
 from merchantry.schemas import AUDIT_CONFIG
 from merchantry.sources.adapter import Model
 from merchantry.sources.shared import discard, shared_dir
