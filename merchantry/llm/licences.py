@@ -91,11 +91,22 @@ def _examples(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "number int, label int, paragraph string")
 
 
-def _shares(model: PipelineModel, spark: SparkSession) -> list[tuple[str, Column]]:
-    """Per template its family, and the share of its word pairs that the column grams holds."""
+def _templates(model: PipelineModel, spark: SparkSession) -> dict[str, list[list[str]]]:
+    """The word pairs of every template, by family."""
     rows = model.transform(spark.createDataFrame(TEMPLATES, "family string, paragraph string")).collect()
-    found = [(r["family"], list(dict.fromkeys(r["grams"]))) for r in rows]
-    return [(family, F.size(F.array_intersect("grams", F.lit(grams))) / len(grams)) for family, grams in found]
+    found: dict[str, list[list[str]]] = {}
+    for r in rows:
+        found.setdefault(r["family"], []).append(list(dict.fromkeys(r["grams"])))
+    return found
+
+
+def _lists(templates: list[list[str]]) -> Column:
+    return F.array(*[F.array(*[F.lit(g) for g in grams]) for grams in templates])
+
+
+def _likest(templates: Column) -> Column:
+    """The largest share of a template's word pairs that the column grams holds."""
+    return F.array_max(F.transform(templates, lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.size(t)))
 
 
 def _margin(probability: str) -> Column:
@@ -126,8 +137,8 @@ def train(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> LicenceModel:
     ).fit(examples)
     some = docs.where(sampled("doc_id", docs.count(), max_documents))
     pool = features.transform(paragraphs(some).select("paragraph").distinct())
-    shares = [share for _, share in _shares(features, spark)]
-    clean = pool.where(F.greatest(*shares) < 0.5).select(
+    every = _lists([t for own in _templates(features, spark).values() for t in own])
+    clean = pool.where(_likest(every) < 0.5).select(
         F.xxhash64("paragraph").alias("number"), F.lit(len(FAMILIES)).alias("label"), "features"
     )
     known = features.transform(examples).select(F.col("number").cast("bigint"), "label", "features")
@@ -176,8 +187,9 @@ def notices(docs: DataFrame, model: LicenceModel) -> DataFrame:
     likely = scored.select(
         "doc_id", "text_hash", "part", "grams", F.element_at(names, best).alias("family"), sure.alias("probability")
     ).where(F.col("probability") >= CONFIDENT)
-    shares = _shares(model.features, docs.sparkSession)
-    similarity = F.greatest(*[F.when(F.col("family") == family, share) for family, share in shares])
+    known = _templates(model.features, docs.sparkSession)
+    by_family = F.create_map(*[c for family, own in known.items() for c in (F.lit(family), _lists(own))])
+    similarity = _likest(F.element_at(by_family, F.col("family")))
     hits = likely.withColumn("similarity", similarity).where(F.col("similarity") >= CONFIRMED).drop("grams")
     # few rows; written down, so that the scan of all texts runs once and in one stage
     return written(hits, "notices").groupBy("doc_id", "text_hash", "part", "family").agg(
