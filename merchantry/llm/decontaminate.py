@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from merchantry.llm.memory import lean
 from merchantry.llm.words import SHINGLE, folded
+from merchantry.operators.joins import small_side
 from merchantry.sources.shared import written
 
 RADIUS = 3
@@ -248,6 +249,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chunk_windows: int = CHU
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, whose id has no match. Rows with a null id are judged as one."""
-    leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
+    leaks = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"))
-    return rows.join(leaks, F.col("id").eqNullSafe(F.col("leaked")), "left_anti").select("row.*")
+    # few leaks are broadcast after a count, and the documents then stay where they are
+    return rows.join(small_side(leaks), F.col("id").eqNullSafe(F.col("leaked")), "left_anti").select("row.*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from merchantry.llm.graph import components
 from merchantry.llm.memory import lean
 from merchantry.llm.words import common, mixed, set_key, shingle_set
+from merchantry.operators.joins import small_side
 from merchantry.sources.shared import written
 
 BANDS = 30
@@ -307,9 +308,12 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     verdict = written(near_duplicates(docs, percent), "verdict")
     marks = verdict.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("any"))
     marks = marks.where("n > 1 or not any").select(F.col("doc_id").alias("_id"), (F.col("n") > 1).alias("_again"))
+    marks = written(marks, "marks")  # ids to drop, and ids that are repeated
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id").join(marks, same, "left")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id").join(small_side(marks), same, "left")
     once = rows.where("_again is null").select("_row.*")
+    if marks.where("_again").isEmpty():
+        return once
 
     key = F.pandas_udf(lambda texts: pd.Series([set_key(shingle_set(t)) for t in texts], dtype=object), "binary")
     again = rows.where("_again").select("_row", "_id").withColumn("_key", key(F.col("_row.text")))
