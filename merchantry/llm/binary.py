@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from merchantry.llm.memory import lean
 from merchantry.llm.order import id_buckets, shuffle_partitions, totals_before
 from merchantry.llm.tokens import encoder
+from merchantry.operators.joins import small_side
 
 MAGIC = b"EFID"
 SAMPLE = 256
@@ -208,6 +209,6 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     totals = sizes.groupBy("bucket").agg(F.sum("n_ids").alias("total"))
     offsets = totals_before(totals, "bucket", "total", "before")
     bases = inside.join(offsets, "bucket").select("bucket", "block", (F.col("inside") + F.col("before")).alias("base"))
-    rows = blocks.select("bucket", "block", "data").join(bases, ["bucket", "block"]).select("base", "data")
+    rows = blocks.select("bucket", "block", "data").join(small_side(bases), ["bucket", "block"]).select("base", "data")
     last = "ids_crc32 bigint" if digest else "ids array<int>"
     return rows.mapInPandas(_reader(digest), f"doc_id bigint, start bigint, n_tokens bigint, {last}")
