@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, found by Hamming blocks, verified by shingles."""
+"""Benchmark decontamination: SimHash of item-sized windows and rare shingles lead to items, verified by shingles."""
 
 from __future__ import annotations
 
@@ -62,18 +62,47 @@ def bit_sums(hashes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Item:
+    """An item's distinct shingles in ascending order, their weights, and the word where each first stands."""
+
     item_id: int | None
     n_words: int
     shingles: np.ndarray
     weights: np.ndarray
-
-    def similarity(self, hashes: np.ndarray) -> float:
-        """Share of the item's shingle weight that is found among the words."""
-        width = min(SHINGLE, self.n_words)
-        if len(hashes) < width:
-            return 0.0
-        found = np.isin(self.shingles, folded(hashes, width))
-        return float(self.weights[found].sum() / self.weights.sum())
+    offsets: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return min(SHINGLE, self.n_words)
+
+    @property
+    def span(self) -> int:
+        """The longest passage of an item, in words: edits may add as many as the item has."""
+        return max(2 * self.n_words, self.n_words + 4)
+
+    def telling(self) -> np.ndarray:
+        """The rarest shingles, of so much weight that no passage of SIMILARITY can lack them all."""
+        order = np.argsort(-self.weights, kind="stable")
+        before = np.cumsum(self.weights[order]) - self.weights[order]
+        return self.shingles[order[before <= (1 - SIMILARITY + 1e-9) * self.weights.sum()]]
+
+    def best(self, folds: np.ndarray) -> tuple[float, int]:
+        """The largest share of the item's shingle weight in any passage of a text, given by its
+        shingles, and the word where the item would begin in the shortest, then first such passage."""
+        at = np.minimum(np.searchsorted(self.shingles, folds), len(self.shingles) - 1)
+        places = np.flatnonzero(self.shingles[at] == folds)
+        which, total = at[places], self.weights.sum()
+        if self.weights[np.unique(which)].sum() < (SIMILARITY - 1e-9) * total:
+            return 0.0, 0
+        least, start, seen = (0.0, 0), 0, (places + self.span - self.width)
+        ends = np.searchsorted(places, seen, "right")
+        room = np.concatenate([[0.0], np.cumsum(self.weights[which])])  # repeats count, so never too small
+        for i in np.flatnonzero(room[ends] - room[:-1] >= (SIMILARITY - 1e-9) * total).tolist():
+            own, first = np.unique(which[i : ends[i]], return_index=True)
+            share = 1.0 if len(own) == len(self.shingles) else float(self.weights[own].sum() / total)
+            found = (share, -int(places[i + first.max()] - places[i]))
+            if found > least:
+                least, start = found, int(places[i] - self.offsets[which[i]])
+        return least[0], max(0, start)
 
 
 class Index:
@@ -126,40 +155,70 @@ def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             size = window_size(len(hashes))
             offsets = np.arange(len(hashes) - size + 1)
             prints = simhashes(hashes, size, offsets)
-            shingles = np.unique(folded(hashes, min(SHINGLE, len(hashes))))
-            rows.append((item_id, len(hashes), size, prints.view(np.int64), shingles.view(np.int64)))
-        yield pd.DataFrame(rows, columns=["item_id", "n_words", "size", "prints", "shingles"])
+            shingles, first = np.unique(folded(hashes, min(SHINGLE, len(hashes))), return_index=True)
+            rows.append((item_id, len(hashes), size, prints.view(np.int64), shingles.view(np.int64), first))
+        yield pd.DataFrame(rows, columns=["item_id", "n_words", "size", "prints", "shingles", "offsets"])
 
 
 def describe_items(benchmark: DataFrame) -> DataFrame:
-    """Per item with words: item_id, n_words, window size, fingerprints by offset, shingles and
-    their weights. A shingle weighs one over the number of items that have it."""
-    schema = "item_id string, n_words int, size int, prints array<bigint>, shingles array<bigint>"
+    """Per item with words: item_id, n_words, window size, fingerprints by offset, shingles with
+    their weights and first places. A shingle weighs one over the number of items that have it."""
+    schema = "item_id string, n_words int, size int, prints array<bigint>, shingles array<bigint>, offsets array<bigint>"
     items = benchmark.select(F.col("item_id").cast("string"), "text").mapInPandas(_described, schema)
     items = written(items.withColumn("row", F.monotonically_increasing_id()), "items")
-    each = items.select("row", F.explode("shingles").alias("shingle"))
+    pairs = F.arrays_zip(F.col("shingles").alias("shingle"), F.col("offsets").alias("offset"))
+    each = items.select("row", F.explode(pairs).alias("s")).select("row", "s.shingle", "s.offset")
     weights = each.groupBy("shingle").agg((1 / F.count("*")).alias("weight"))
-    weighed = each.join(weights, "shingle").groupBy("row").agg(F.collect_list(F.struct("shingle", "weight")).alias("w"))
-    return items.drop("shingles").join(weighed, "row")
-
-
-def _verified(hashes: np.ndarray, item: Item, start: int) -> float:
-    """Similarity of an item to the words at an alignment, with some room on both sides for edits."""
-    slack = max(2, item.n_words // 8)
-    return item.similarity(hashes[max(0, start - slack) : start + item.n_words + slack])
+    weighed = each.join(weights, "shingle").groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("shingle", "weight", "offset"))).alias("w")
+    )
+    return items.drop("shingles", "offsets").join(weighed, "row")
+
+
+def _telling_shingles(items: list[Item]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width, the telling shingles of all items in ascending order, and whose they are."""
+    found: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+    for i, item in enumerate(items):
+        own = item.telling()
+        keys, owners = found.setdefault(item.width, ([], []))
+        keys.append(own)
+        owners.append(np.full(len(own), i))
+    tables = {}
+    for width, (keys, owners) in found.items():
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        tables[width] = key[order], np.concatenate(owners)[order]
+    return tables
+
+
+def _sharing(folds: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a text's shingles in the table, with the item of each of their entries."""
+    keys, owners = table
+    left = np.searchsorted(keys, folds)
+    hit = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == folds)
+    left = left[hit]
+    n = np.searchsorted(keys, folds[hit], "right") - left
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(hit, n), owners[np.repeat(left, n) + within]
 
 
 def _searcher(shared):
-    state: dict[str, tuple[list[Item], dict[int, Index]]] = {}
+    state: dict[str, tuple[list[Item], dict[int, Index], dict[int, tuple[np.ndarray, np.ndarray]]]] = {}
 
     def search_chunk(ids: list, texts: list) -> list[tuple]:
-        items, indexes = state["index"]
+        items, indexes, tables = state["index"]
         own = [hashed_words(t) for t in texts]
         lengths = np.array([len(h) for h in own])
         ends = np.cumsum(lengths)
         stream = np.concatenate(own) if own else np.empty(0, np.uint64)
         longest = max(indexes, default=0)
-        candidates: set[tuple[int, int, int]] = set()
+        candidates: set[tuple[int, int]] = set()
+        folds = {w: folded(stream, w) if len(stream) >= w else stream[:0] for w in tables}
+        for width, table in tables.items():
+            at, item = _sharing(folds[width], table)
+            doc = np.searchsorted(ends, at, "right")
+            inside = at + width <= ends[doc]
+            candidates.update(zip(doc[inside].tolist(), item[inside].tolist(), strict=True))
         for begin in range(0, len(stream), SEGMENT):
             part = stream[begin : begin + SEGMENT + longest]
             sums = bit_sums(part)
@@ -171,16 +230,15 @@ def _searcher(shared):
                 at = starts[window] + begin
                 doc = np.searchsorted(ends, at, "right")
                 inside = at + size <= ends[doc]
-                first = at - (ends - lengths)[doc] - index.offsets[entry]
-                candidates.update(
-                    zip(doc[inside].tolist(), index.items[entry][inside].tolist(), first[inside].tolist(), strict=True)
-                )
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        for doc, i, first in candidates:
-            found = (_verified(own[doc], items[i], first), -max(0, first))
-            if found[0] >= SIMILARITY and found > best.get((doc, i), (0.0, 0)):
-                best[doc, i] = found
-        return [(ids[doc], items[i].item_id, -at, items[i].n_words, s) for (doc, i), (s, at) in sorted(best.items())]
+                candidates.update(zip(doc[inside].tolist(), index.items[entry][inside].tolist(), strict=True))
+        found = []
+        for doc, i in sorted(candidates):
+            item = items[i]
+            begin, end = ends[doc] - lengths[doc], ends[doc] - item.width + 1
+            similarity, start = item.best(folds[item.width][begin : max(begin, end)])
+            if similarity >= SIMILARITY:
+                found.append((ids[doc], item.item_id, start, item.n_words, similarity))
+        return found
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if "index" not in state:
@@ -201,12 +259,14 @@ def _searcher(shared):
     return lean(search)
 
 
-def _loaded(rows: list[tuple]) -> tuple[list[Item], dict[int, Index]]:
+def _loaded(rows: list[tuple]) -> tuple[list[Item], dict[int, Index], dict[int, tuple[np.ndarray, np.ndarray]]]:
     items, windows = [], {}
-    for i, (item_id, n_words, size, prints, shingles, weights) in enumerate(rows):
-        items.append(Item(item_id, n_words, shingles, weights))
+    for i, (item_id, n_words, size, prints, shingles, weights, offsets) in enumerate(rows):
+        order = np.argsort(shingles)
+        items.append(Item(item_id, n_words, shingles[order], weights[order], offsets[order]))
         windows.setdefault(size, []).append((prints, np.full(len(prints), i), np.arange(len(prints))))
-    return items, {s: Index(*(np.concatenate(c) for c in zip(*w, strict=True))) for s, w in windows.items()}
+    indexes = {s: Index(*(np.concatenate(c) for c in zip(*w, strict=True))) for s, w in windows.items()}
+    return items, indexes, _telling_shingles(items)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, chunk_windows: int = CHUNK_WINDOWS) -> DataFrame:
@@ -214,10 +274,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chunk_windows: int = CHU
     n_words and similarity, one row per pair.
 
     Windows of a text are as long as the items (to a grid of sizes), a quarter of that apart,
-    and looked up by SimHash within RADIUS bits. A hit counts if five-word shingles with 0.8 or
-    more of the item's weight are found where it aligns. Words are compared without case or
-    marks. Passages of any place in a text of any length are found; memory is bounded by
-    segments of the text.
+    and looked up by SimHash within RADIUS bits. Besides, every shingle of a text is looked up
+    among the rarest ones of each item, more than 0.2 of its weight, of which a passage cannot
+    lack all. An item counts if five-word shingles with 0.8 or more of its weight are found in
+    a run of at most twice its words, so edits at any place leave no passage out. Words are
+    compared without case or marks. Passages of any place in a text of any length are found;
+    memory is bounded by segments of the text.
 
     The items are cut into chunks of at most about `chunk_windows` fingerprints; each chunk is
     sent to the tasks and all documents are read once per chunk, so a benchmark of any size
@@ -238,6 +300,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chunk_windows: int = CHU
             (
                 r["item_id"], r["n_words"], r["size"], np.array(r["prints"], np.int64).view(np.uint64),
                 np.array([w["shingle"] for w in r["w"]], np.int64).view(np.uint64), np.array([w["weight"] for w in r["w"]]),
+                np.array([w["offset"] for w in r["w"]], np.int64),
             )
             for r in rows
         ]

@@ -67,6 +67,58 @@ def test_long_texts_are_searched_to_the_end(spark, monkeypatch):
     assert pairs(d.contaminated(documents(spark, rows), benchmark(spark, [(5, " ".join(item))]))) == {(i, 5) for i in range(12)}
 
 
+def edited(rng, item, edits):
+    """The item after so many replaced, dropped or inserted words or runs at random places."""
+    out = list(item)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        out[at : at + rng.choice([0, 1, 1, 1])] = [f"e{rng.randrange(9999)}" for _ in range(rng.choice([0, 1, 1, 1, 8]))]
+    return out
+
+
+def brute_similarity(text, item, weights):
+    """Best share of the item's shingle weight in any run of at most twice its words (or four more)."""
+    width = min(5, len(item))
+    span = max(2 * len(item), len(item) + 4)
+    own = {tuple(item[i : i + width]) for i in range(len(item) - width + 1)}
+    there = [tuple(text[i : i + width]) for i in range(len(text) - width + 1)]
+    total = sum(weights[s] for s in own)
+    held = span - width + 1
+    return max(
+        (sum(weights[s] for s in own & set(there[i : i + held])) / total for i, s in enumerate(there) if s in own), default=0.0
+    )
+
+
+def test_edits_at_random_places_equal_brute_force(spark):
+    rng = random.Random(8)
+    opening = words(6)
+    items = [[*opening, *words(n - 6)] if n % 3 == 0 else words(n) for n in (15, 18, 20, 25, 30, 36, 40, 48, 60, 63, 100)]
+    counts = {}
+    for item in items:
+        for s in {tuple(item[i : i + 5]) for i in range(len(item) - 4)}:
+            counts[s] = counts.get(s, 0) + 1
+    weights = {s: 1 / n for s, n in counts.items()}
+    rows, wanted = [], {}
+    for _ in range(25):
+        for item in items:
+            text = [*words(rng.randrange(60)), *edited(rng, item, rng.randint(1, 4)), *words(rng.randrange(60))]
+            rows.append((len(rows), " ".join(text)))
+            for i, other in enumerate(items):
+                if (share := brute_similarity(text, other, weights)) >= 0.8:
+                    wanted[rows[-1][0], i] = share
+    listed = benchmark(spark, [(i, " ".join(item)) for i, item in enumerate(items)])
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in d.contaminated(documents(spark, rows), listed).collect()}
+    assert len(wanted) > 80
+    assert found == pytest.approx(wanted)
+
+
+def test_passage_start_is_where_the_item_begins(spark):
+    item = words(30)
+    text = [*words(17), *item[:12], "inserted", "run", "of", "words", *item[12:], *words(9)]
+    found = d.contaminated(documents(spark, [(1, " ".join(text))]), benchmark(spark, [(9, " ".join(item))])).collect()
+    assert [(r["start_word"], r["n_words"]) for r in found] == [(17, 30)]
+
+
 @given(st.integers(1, 5000))
 def test_window_sizes_leave_room_for_every_alignment(n):
     w = d.window_size(n)
