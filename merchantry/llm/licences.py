@@ -47,6 +47,9 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# marks that may open or close a line of a comment
+MARKS = r"(?m)^[ \t]*(?:<!--|//+!?|/?\*+/?|[#;%>]+|--+|(?:dnl|REM|rem|\.\.)(?=[ \t]))+[ \t]*|[ \t]*(?:\*+/|-->)[ \t]*$"
+BLANK_LINES = r"(?>\r\n|\r|\n)\s*(?>\r\n|\r|\n)"
 FAMILIES = sorted({family for family, _ in TEMPLATES})
 
 
@@ -60,19 +63,30 @@ class LicenceModel:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, part, paragraph): the lines of a text, long ones in overlapping windows.
+    """(doc_id, text_hash, part, line, paragraph): the runs of lines without a blank one between, and
+    the lines of every run, long ones of both in overlapping windows.
 
-    A window has MAX_WORDS words and the next one starts STRIDE words later, so a notice inside
-    a long line lies whole in some window.
+    Marks of comments are left out, so a notice that is wrapped over the lines of a source file
+    is in one run. Whole runs have line -1. A window has MAX_WORDS words and the next one starts
+    STRIDE words later, so a notice inside a long run lies whole in some window.
     """
-    lines = F.filter(F.split(F.col("text"), r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0)
-    each = _identified(docs).where("text is not null").select("doc_id", "text_hash", F.posexplode(lines).alias("part", "line"))
-    words = each.withColumn("words", F.split(F.trim("line"), r"\s+"))
+    runs = F.split(F.regexp_replace("text", MARKS, ""), BLANK_LINES)
+    each = _identified(docs).where("text is not null").select("doc_id", "text_hash", F.posexplode(runs).alias("part", "run"))
+    lines = F.filter(F.split(F.col("run"), r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0)
+    cut = each.select("doc_id", "text_hash", "part", "run", lines.alias("lines")).where(F.size("lines") > 0)
+    # a run of one line is its line
+    whole = F.when(F.size("lines") > 1, F.array(F.struct(F.lit(-1).alias("line"), F.col("run").alias("piece"))))
+    single = F.transform("lines", lambda x, i: F.struct(i.cast("int").alias("line"), x.alias("piece")))
+    none = F.array().cast("array<struct<line: int, piece: string>>")
+    pieces = F.concat(F.coalesce(whole, none), single)
+    words = cut.select("doc_id", "text_hash", "part", F.explode(pieces).alias("p")).select(
+        "doc_id", "text_hash", "part", "p.line", F.split(F.trim("p.piece"), r"\s+").alias("words")
+    )
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1 - (MAX_WORDS - STRIDE)), F.lit(STRIDE))
     at = F.explode(F.when(F.size("words") > MAX_WORDS, starts).otherwise(F.array(F.lit(0))))
-    windows = words.select("doc_id", "text_hash", "part", "words", at.alias("at"))
+    windows = words.select("doc_id", "text_hash", "part", "line", "words", at.alias("at"))
     piece = F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.lit(MAX_WORDS)))
-    return windows.select("doc_id", "text_hash", "part", piece.alias("paragraph"))
+    return windows.select("doc_id", "text_hash", "part", "line", piece.alias("paragraph"))
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -109,11 +123,14 @@ def _likest(templates: Column) -> Column:
     return F.array_max(F.transform(templates, lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.size(t)))
 
 
-def _margin(probability: str) -> Column:
-    """Log odds of the best licence family, as a vector of one value."""
-    families = F.slice(vector_to_array(F.col(probability)), 1, len(FAMILIES))
-    best = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.array_max(families)))
-    return array_to_vector(F.array(F.log(best / (1 - best))))
+def _margins() -> Column:
+    """Log odds of every licence family against the class unknown. Other families have no part in
+    it, so two licences in one paragraph do not weaken each other."""
+
+    def log(chance: Column) -> Column:
+        return F.log(F.greatest(F.lit(1e-12), chance))
+
+    return F.transform(_family_odds(), lambda p: log(p) - log(vector_to_array(F.col("probability"))[len(FAMILIES)]))
 
 
 def train(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> LicenceModel:
@@ -145,7 +162,9 @@ def train(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> LicenceModel:
     rows = written(known.union(clean), "examples")
     half = F.pmod("number", F.lit(2))
     classifier = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60).fit(rows.where(half == 0))
-    judged = classifier.transform(rows.where(half == 1)).withColumn("margin", _margin("probability"))
+    judged = classifier.transform(rows.where(half == 1)).withColumn(
+        "margin", array_to_vector(F.array(F.array_max(_margins())))
+    )
     best = F.array_position(_family_odds(), F.array_max(_family_odds())) - 1
     right = (F.col("label") == best).cast("int")
     calibration = LogisticRegression(
@@ -172,29 +191,60 @@ def _family_odds() -> Column:
     return F.slice(vector_to_array(F.col("probability")), 1, len(FAMILIES))
 
 
+def _held(grams: Column) -> Column:
+    """The share of the word pairs that the column grams holds."""
+    return F.size(F.array_intersect(grams, F.col("grams"))) / F.size(grams)
+
+
+def _in_its_own_right(template: Column) -> Column:
+    """Whether a template of the column present is there by more than what others lend it.
+
+    Templates of different families share word pairs. Of those that no other family's present
+    template has, CONFIRMED or more must be there, if there are any.
+    """
+    others = F.filter("present", lambda o: o["family"] != template["family"])
+    rest = F.array_except(template["pairs"], F.flatten(F.transform(others, lambda o: o["pairs"])))
+    return (F.size(rest) == 0) | (_held(rest) >= CONFIRMED)
+
+
 def notices(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """(doc_id, text_hash, part, family, probability, similarity) of every confirmed notice.
+    """(doc_id, text_hash, part, line, family, probability, similarity) of every confirmed notice.
 
     A paragraph without any word pair of a template cannot reach a family and is left before
-    the classifier. The best family of the others must be calibrated to CONFIDENT or more,
-    and hold CONFIRMED or more of the word pairs of one of its templates.
+    the classifier. Every family of the others that is calibrated to CONFIDENT or more is
+    compared with its templates, of which one must be there in its own right. The notices of
+    one line are those of the line; one that no line holds alone has line -1.
     """
     rows = model.features.transform(paragraphs(docs)).where(F.size(F.unwrap_udt("features")["indices"]) > 0)
-    scored = model.calibration.transform(model.classifier.transform(rows).withColumn("margin", _margin("probability")))
-    names = F.array(*[F.lit(f) for f in FAMILIES])
-    best = F.array_position(_family_odds(), F.array_max(_family_odds())).cast("int")
-    sure = vector_to_array(F.col("sure"))[1]
-    likely = scored.select(
-        "doc_id", "text_hash", "part", "grams", F.element_at(names, best).alias("family"), sure.alias("probability")
-    ).where(F.col("probability") >= CONFIDENT)
+    scored = model.classifier.transform(rows)
+    slope, bias = float(model.calibration.coefficients[0]), float(model.calibration.intercept)
+    sure = F.transform(_margins(), lambda m: 1 / (1 + F.exp(-(m * F.lit(slope) + F.lit(bias)))))
+    likely = scored.select("doc_id", "text_hash", "part", "line", "grams", sure.alias("sure")).where(
+        F.array_max("sure") >= CONFIDENT
+    )
     known = _templates(model.features, docs.sparkSession)
-    by_family = F.create_map(*[c for family, own in known.items() for c in (F.lit(family), _lists(own))])
-    similarity = _likest(F.element_at(by_family, F.col("family")))
-    hits = likely.withColumn("similarity", similarity).where(F.col("similarity") >= CONFIRMED).drop("grams")
+    listed = F.array(
+        *[
+            F.struct(F.lit(FAMILIES.index(f)).alias("family"), F.array(*[F.lit(g) for g in grams]).alias("pairs"))
+            for f, own in known.items()
+            for grams in own
+        ]
+    )
+    there = likely.withColumn("present", F.filter(listed, lambda t: _held(t["pairs"]) >= CONFIRMED))
+    sole = there.where(F.size("present") > 0).withColumn("t", F.explode(F.filter("present", _in_its_own_right)))
+    names = F.array(*[F.lit(f) for f in FAMILIES])
+    hits = sole.select(
+        "doc_id", "text_hash", "part", "line", names[F.col("t.family")].alias("family"),
+        F.col("sure")[F.col("t.family")].alias("probability"), _held(F.col("t.pairs")).alias("similarity"),
+    ).where(F.col("probability") >= CONFIDENT)
     # few rows; written down, so that the scan of all texts runs once and in one stage
-    return written(hits, "notices").groupBy("doc_id", "text_hash", "part", "family").agg(
+    found = written(hits, "notices").groupBy("doc_id", "text_hash", "part", "line", "family").agg(
         F.max("probability").alias("probability"), F.max("similarity").alias("similarity")
     )
+    keys = ["doc_id", "text_hash", "part", "family"]
+    in_lines = found.where("line >= 0").select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return found.where("line >= 0").union(found.where("line < 0").join(in_lines, same, "left_anti"))
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:

@@ -1,5 +1,6 @@
 """Language, quality and licence models: held-out accuracy, definitions and edge cases."""
 
+import textwrap
 import zlib
 
 import numpy as np
@@ -142,6 +143,27 @@ def test_every_template_is_recognised(spark, notices):
     assert got == {i: family for i, (family, _) in enumerate(licences.TEMPLATES)}
 
 
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_wrapped_templates_are_recognised(spark, notices, mark):
+    rows = []
+    for i, (_, text) in enumerate(licences.TEMPLATES):
+        wrapped = "\n".join(mark + line for line in textwrap.wrap(text, 72))
+        rows.append((i, f"{mark}A file of some project\n{mark}\n{wrapped}\n{mark}\nint main();"))
+    got = {r["doc_id"]: (r["licences"], r["n_notices"]) for r in licences.scan_licences(documents(spark, rows), notices).collect()}
+    assert got == {i: (family, 1) for i, (family, _) in enumerate(licences.TEMPLATES)}
+
+
+def test_two_notices_in_one_paragraph(spark, notices):
+    rows, wanted = [], {}
+    for family, text in licences.TEMPLATES:
+        for other, second in licences.TEMPLATES:
+            if family < other and len(f"{text} {second}".split()) <= licences.MAX_WORDS:
+                wanted[len(rows)] = f"{family},{other}"
+                rows.append((len(rows), f"{text} {second}"))
+    got = {r["doc_id"]: r["licences"] for r in licences.scan_licences(documents(spark, rows), notices).collect()}
+    assert {i: got[i] for i in wanted if got[i] != wanted[i]} == {}
+
+
 def test_licence_edges(spark, notices):
     df = documents(spark)
     rows = licences.scan_licences(df, notices).collect()
