@@ -311,8 +311,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chunk_windows: int = CHU
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose id has no match. Rows with a null id are judged as one."""
-    leaks = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"))
+    """The rows of `docs`, all columns, without a match. Rows are judged by id and text, so a clean text
+    stays if its id is repeated with another one; rows with a null id are judged as one."""
+    number = F.col("doc_id").cast("bigint")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), number.alias("id"), F.xxhash64("text").alias("hash"), "text")
+    # a stand-in id for each id and text; 0 for null ids
+    key = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.xxhash64("id", "hash"))
+    keyed = rows.select("row", "text", key.alias("doc_id"))
+    found = contaminated(keyed.select("doc_id", "text"), benchmark)
+    leaks = written(found.select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
     # few leaks are broadcast after a count, and the documents then stay where they are
-    return rows.join(small_side(leaks), F.col("id").eqNullSafe(F.col("leaked")), "left_anti").select("row.*")
+    kept = keyed.select("row", "doc_id").join(small_side(leaks), F.col("doc_id") == F.col("leaked"), "left_anti")
+    return kept.select("row.*")

@@ -148,3 +148,10 @@ def test_edge_rows_and_nothing(spark):
     assert kept.dtypes == df.dtypes
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in df.collect()} - {6, 7, None}
     assert d.decontaminated(df, benchmark(spark, [])).count() == df.count()
+
+
+def test_a_clean_text_stays_if_its_id_is_repeated_with_a_leak(spark):
+    item = words(30)
+    rows = [(1, " ".join(item)), (1, "a clean text under the same id"), (2, " ".join(item)), (3, None)]
+    kept = d.decontaminated(documents(spark, rows), benchmark(spark, [(9, " ".join(item))])).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, "a clean text under the same id"), (3, "")]
