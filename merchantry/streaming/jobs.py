@@ -78,7 +78,9 @@ def activity_counts(
 def dropped_rows(query: StreamingQuery) -> int:
     """Rows that a finished run left out because they were older than its watermark.
 
-    They are missing in the windows until `repair_activity` counts those again.
+    They are missing in the windows until `repair_activity` counts those again. Spark keeps the
+    last 100 updates of a run only (`spark.sql.streaming.numRecentProgressUpdates`); a run of
+    more batches has dropped at least so many.
     """
     return sum(
         int(state["numRowsDroppedByWatermark"])
