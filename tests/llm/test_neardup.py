@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 
-import corpus_pipeline
 from merchantry.llm import neardup
 from merchantry.llm.graph import components
 from merchantry.llm.words import shingle_set, split_words
@@ -117,14 +116,6 @@ def test_deduplicated_tells_texts_of_one_id_apart(spark):
     assert kept == [text, "quite another text of several words"]
 
 
-def test_the_pipeline_drops_copies_at_80_percent(spark):
-    """One replaced word in 50: 41 of 51 shingles are common, 0.804."""
-    words = [f"p{i}" for i in range(50)]
-    rows = [(1, " ".join(words)), (2, " ".join([*words[:20], "other", *words[21:]]))]
-    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "")
-    assert [r["doc_id"] for r in kept.collect()] == [1]
-
-
 def test_estimate_corrects_chance_and_meets_the_truth():
     rng = np.random.default_rng(5)
     errors = []
