@@ -38,6 +38,29 @@ def written(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables below one folder of the shared storage, removed together at the end.
+
+    What is returned out of the block must not read them any more: write it with `written`.
+    """
+
+    def __init__(self, spark: SparkSession, purpose: str) -> None:
+        self.spark = spark
+        self.path = shared_dir(spark, purpose)
+        self.tables = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        discard(self.spark, self.path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """The frame as a table that lives as long as the block."""
+        self.tables += 1
+        return written(df, name, f"{self.path}/{name}-{self.tables}")
+
+
 def file_system(spark: SparkSession, path: str):
     """The Hadoop file system of a path and the path as its object."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
