@@ -31,12 +31,13 @@ VOCABULARY = 1_000_000  # words that are numbered in one pass
 PHRASES = 500_000  # phrases of one trie
 PORTION = 1 << 16  # numbers in a row
 KEYS_AT_ONCE = 4_000_000
-ROWS_AT_ONCE = 200_000
+BUCKETS = 64  # at least so many, to spread the sums
 LOW_BITS = 8
 LOW = (1 << LOW_BITS) - 1
 CUT = b"\xff"  # stands in no UTF-8 text
 PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", CUT * 10)
 COUNTS = "kind int, key bigint, n bigint"
+PACKED = "kind int, bucket int, keys binary, counts binary"
 COUNTED, EXTENSION = 0, 1
 
 
@@ -250,16 +251,68 @@ def numbered_texts(docs: DataFrame, words: DataFrame, chunks: int, scratch: Scra
     return rows
 
 
-def _summed(keys: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-    """The waiting extension keys with their numbers."""
-    values, n = np.unique(np.concatenate(keys), return_counts=True)
-    yield from _rows(EXTENSION, values, n)
+def _buckets(n: int, bits: int) -> int:
+    """Buckets for n words or phrases: each has the keys of about 2 ** bits of them."""
+    return max(BUCKETS, n >> bits)
 
 
-def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
-    for begin in range(0, len(keys), ROWS_AT_ONCE):
-        part = slice(begin, begin + ROWS_AT_ONCE)
-        yield pd.DataFrame({"kind": np.int32(kind), "key": keys[part], "n": n[part].astype(np.int64)})
+def _packed(kind: int, keys: np.ndarray, n: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Ascending keys with their numbers, a row per bucket."""
+    home = (keys >> 32 if kind == EXTENSION else keys) % buckets
+    order = np.argsort(home, kind="stable")
+    keys, n, home = keys[order].astype(np.int64), n[order].astype(np.int32), home[order]
+    cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1], True][: len(home) + 1]).tolist()
+    parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+    packed = [(kind, int(home[i]), keys[i:j].tobytes(), n[i:j].tobytes()) for i, j in parts]
+    return pd.DataFrame(packed, columns=["kind", "bucket", "keys", "counts"])
+
+
+def _summed(waiting: list[np.ndarray], buckets: int) -> pd.DataFrame:
+    """The waiting extension keys, counted and packed."""
+    return _packed(EXTENSION, *np.unique(np.concatenate(waiting), return_counts=True), buckets)
+
+
+def _added_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return key[first], np.add.reduceat(n, first) if len(key) else n
+
+
+def _merger(min_count: int):
+    """Add up packed rows that arrive by bucket. A bucket's distinct keys are in memory, not its rows."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, keys, counts, size = None, [], [], 0
+
+        def frequent() -> pd.DataFrame:
+            key, n = _added_up(keys, counts)
+            often = n >= min_count
+            return pd.DataFrame({"kind": np.int32(current[0]), "key": key[often], "n": n[often]})
+
+        for batch in batches:
+            for kind, bucket, more, n in batch.itertuples(index=False):
+                if current not in (None, (kind, bucket)):
+                    yield frequent()
+                    keys, counts, size = [], [], 0
+                current = kind, bucket
+                keys.append(np.frombuffer(more, np.int64))
+                counts.append(np.frombuffer(n, np.int32).astype(np.int64))
+                size += len(keys[-1])
+                if size > KEYS_AT_ONCE:
+                    key, total = _added_up(keys, counts)
+                    keys, counts, size = [key], [total], 0
+        if current is not None:
+            yield frequent()
+
+    return lean(merge)
+
+
+def _sums(packed: DataFrame, min_count: int) -> DataFrame:
+    """(kind, key, n) of the packed keys that occur `min_count` times in all tasks together."""
+    dealt = packed.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    return dealt.mapInPandas(_merger(min_count), COUNTS)
 
 
 def _pairs_of(ids: np.ndarray) -> np.ndarray:
@@ -268,20 +321,23 @@ def _pairs_of(ids: np.ndarray) -> np.ndarray:
     return ids[at].astype(np.int64) << 32 | ids[at + 1]
 
 
-def _pair_counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    keys, size = [], 0
-    for batch in batches:
-        for row in batch["ids"]:
-            keys.append(_pairs_of(np.frombuffer(row, np.int32)))
-            size += len(keys[-1])
-            if size > KEYS_AT_ONCE:
-                yield from _summed(keys)
-                keys, size = [], 0
-    if keys:
-        yield from _summed(keys)
+def _pair_counter(buckets: int):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, size = [], 0
+        for batch in batches:
+            for row in batch["ids"]:
+                keys.append(_pairs_of(np.frombuffer(row, np.int32)))
+                size += len(keys[-1])
+                if size > KEYS_AT_ONCE:
+                    yield _summed(keys, buckets)
+                    keys, size = [], 0
+        if keys:
+            yield _summed(keys, buckets)
+
+    return lean(count)
 
 
-def _phrase_counter(sent: Broadcast, length: int, phrases: int, whole: bool, extend: bool):
+def _phrase_counter(sent: Broadcast, length: int, phrases: int, buckets: int, whole: bool, extend: bool):
     """Count the phrases of a trie, and what could be phrases of one word more.
 
     Such a one begins with a phrase, goes on with a frequent word and, where the trie is
@@ -308,12 +364,12 @@ def _phrase_counter(sent: Broadcast, length: int, phrases: int, whole: bool, ext
                 keys.append(number[fits].astype(np.int64) << 32 | word[fits])
                 size += len(keys[-1])
                 if size > KEYS_AT_ONCE:
-                    yield from _summed(keys)
+                    yield _summed(keys, buckets)
                     keys, size = [], 0
         if keys:
-            yield from _summed(keys)
+            yield _summed(keys, buckets)
         present = np.flatnonzero(total)
-        yield from _rows(COUNTED, present, total[present])
+        yield _packed(COUNTED, present, total[present], buckets)
 
     return lean(count)
 
@@ -343,9 +399,8 @@ def _counted_phrases(
         own = listed.where(F.col("chunk") == i)
         chosen = own.orderBy("number").select(*names).toPandas().to_numpy(np.int64)  # about `limit` rows
         sent = texts.sparkSession.sparkContext.broadcast(build_trie(chosen.reshape(-1, length)))
-        counter = _phrase_counter(sent, length, len(chosen), chunks == 1, extend)
-        sums = texts.mapInPandas(counter, COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-        sums = scratch.written(sums.where(F.col("n") >= min_count), "sums")
+        counter = _phrase_counter(sent, length, len(chosen), _buckets(len(chosen), 12), chunks == 1, extend)
+        sums = scratch.written(_sums(texts.mapInPandas(counter, PACKED), min_count), "sums")
         of_phrase = sums.where(F.col("kind") == COUNTED).select(F.col("key").alias("number"), "n")
         found = own.join(small_side(of_phrase), "number").select(F.array(*names).alias("key"), "n")
         counted = found if counted is None else counted.union(found)
@@ -424,8 +479,7 @@ def collocations(
         words = scratch.written(vocabulary(frequent, chunks), "vocabulary")
         texts = numbered_texts(docs, words, chunks, scratch)
 
-        pairs = texts.mapInPandas(lean(_pair_counter), COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
-        pairs = pairs.where(F.col("n") >= min_count)
+        pairs = _sums(texts.mapInPandas(_pair_counter(_buckets(words.count(), 8)), PACKED), min_count)
         candidates = scratch.written(pairs.select(*_halves("w1", "w2")), "longer")
         counted = None
         for length in range(2, LONGEST + 1):
