@@ -49,6 +49,7 @@ TEMPLATES = [
 ]
 # marks that may open or close a line of a comment
 MARKS = r"(?m)^[ \t]*(?:<!--|//+!?|/?\*+/?|[#;%>]+|--+|(?:dnl|REM|rem|\.\.)(?=[ \t]))+[ \t]*|[ \t]*(?:\*+/|-->)[ \t]*$"
+TOKEN = r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*"
 BLANK_LINES = r"(?>\r\n|\r|\n)\s*(?>\r\n|\r|\n)"
 FAMILIES = sorted({family for family, _ in TEMPLATES})
 
@@ -62,31 +63,47 @@ class LicenceModel:
     calibration: LogisticRegressionModel
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row, however often they are used afterwards.
+
+    They come out of a generator, through which the optimiser neither moves filters nor repeats
+    what stands below, as it would write a chain of features out wherever its end is used.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, part, line, paragraph): the runs of lines without a blank one between, and
+    """(doc_id, text_hash, part, line, tokens): the runs of lines without a blank one between, and
     the lines of every run, long ones of both in overlapping windows.
 
     Marks of comments are left out, so a notice that is wrapped over the lines of a source file
-    is in one run. Whole runs have line -1. A window has MAX_WORDS words and the next one starts
-    STRIDE words later, so a notice inside a long run lies whole in some window.
+    is in one run. Whole runs have line -1. A line is cut into words once; a run's words are those
+    of its lines. A window has MAX_WORDS words and the next one starts STRIDE words later, so a
+    notice inside a long run lies whole in some window.
     """
     runs = F.split(F.regexp_replace("text", MARKS, ""), BLANK_LINES)
     each = _identified(docs).where("text is not null").select("doc_id", "text_hash", F.posexplode(runs).alias("part", "run"))
-    lines = F.filter(F.split(F.col("run"), r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0)
-    cut = each.select("doc_id", "text_hash", "part", "run", lines.alias("lines")).where(F.size("lines") > 0)
+    words = F.transform(F.split("run", r"[\r\n]+"), lambda x: F.regexp_extract_all(F.lower(x), F.lit(TOKEN), F.lit(0)))
+    cut = _once(each, lines=F.filter(words, lambda x: F.size(x) > 0)).drop("run").where(F.size("lines") > 0)
     # a run of one line is its line
-    whole = F.when(F.size("lines") > 1, F.array(F.struct(F.lit(-1).alias("line"), F.col("run").alias("piece"))))
-    single = F.transform("lines", lambda x, i: F.struct(i.cast("int").alias("line"), x.alias("piece")))
-    none = F.array().cast("array<struct<line: int, piece: string>>")
-    pieces = F.concat(F.coalesce(whole, none), single)
-    words = cut.select("doc_id", "text_hash", "part", F.explode(pieces).alias("p")).select(
-        "doc_id", "text_hash", "part", "p.line", F.split(F.trim("p.piece"), r"\s+").alias("words")
-    )
+    whole = F.when(F.size("lines") > 1, F.array(F.struct(F.lit(-1).alias("line"), F.flatten("lines").alias("words"))))
+    single = F.transform("lines", lambda x, i: F.struct(i.cast("int").alias("line"), x.alias("words")))
+    none = F.array().cast("array<struct<line: int, words: array<string>>>")
+    pieces = cut.select("doc_id", "text_hash", "part", F.inline(F.concat(F.coalesce(whole, none), single)))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1 - (MAX_WORDS - STRIDE)), F.lit(STRIDE))
-    at = F.explode(F.when(F.size("words") > MAX_WORDS, starts).otherwise(F.array(F.lit(0))))
-    windows = words.select("doc_id", "text_hash", "part", "line", "words", at.alias("at"))
-    piece = F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.lit(MAX_WORDS)))
-    return windows.select("doc_id", "text_hash", "part", "line", piece.alias("paragraph"))
+    windows = F.transform(starts, lambda at: F.slice("words", at + 1, F.lit(MAX_WORDS)))
+    cuts = F.when(F.size("words") > MAX_WORDS, windows).otherwise(F.array("words"))
+    return pieces.select("doc_id", "text_hash", "part", "line", F.explode(cuts).alias("tokens"))
+
+
+def _described(pieces: DataFrame, features: PipelineModel) -> DataFrame:
+    """The pieces that have a word pair of a template, with their pairs and features."""
+    _, pairs, counts = features.stages
+    keys = [c for c in pieces.columns if c != "tokens"]
+    paired = pairs.transform(pieces)
+    described = counts.transform(_once(paired.select(*keys, "tokens", F.col("grams").alias("_pairs")), grams=F.col("_pairs")))
+    once = _once(described.select(*keys, "grams", F.col("features").alias("_features")), features=F.col("_features"))
+    return once.select(*keys, "grams", "features").where(F.size(F.unwrap_udt("features")["indices"]) > 0)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -127,10 +144,12 @@ def _margins() -> Column:
     """Log odds of every licence family against the class unknown. Other families have no part in
     it, so two licences in one paragraph do not weaken each other."""
 
-    def log(chance: Column) -> Column:
-        return F.log(F.greatest(F.lit(1e-12), chance))
-
-    return F.transform(_family_odds(), lambda p: log(p) - log(vector_to_array(F.col("probability"))[len(FAMILIES)]))
+    logs = F.transform(vector_to_array(F.col("probability")), lambda p: F.log(F.greatest(F.lit(1e-12), p)))
+    # the last one is taken away from a pair, so that it is not computed for every family
+    paired = F.arrays_zip(
+        F.slice(logs, 1, len(FAMILIES)).alias("family"), F.array_repeat(F.element_at(logs, -1), len(FAMILIES)).alias("none")
+    )
+    return F.transform(paired, lambda p: p["family"] - p["none"])
 
 
 def train(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> LicenceModel:
@@ -145,18 +164,16 @@ def train(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> LicenceModel:
     examples = _examples(spark)
     features = Pipeline(
         stages=[
-            RegexTokenizer(
-                inputCol="paragraph", outputCol="tokens", gaps=False, pattern=r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*"
-            ),
+            RegexTokenizer(inputCol="paragraph", outputCol="tokens", gaps=False, pattern=TOKEN),
             NGram(n=2, inputCol="tokens", outputCol="grams"),
             CountVectorizer(inputCol="grams", outputCol="features", binary=True),
         ]
     ).fit(examples)
     some = docs.where(sampled("doc_id", docs.count(), max_documents))
-    pool = features.transform(paragraphs(some).select("paragraph").distinct())
+    pool = _described(paragraphs(some).select("tokens").distinct().withColumn("number", F.xxhash64("tokens")), features)
     every = _lists([t for own in _templates(features, spark).values() for t in own])
     clean = pool.where(_likest(every) < 0.5).select(
-        F.xxhash64("paragraph").alias("number"), F.lit(len(FAMILIES)).alias("label"), "features"
+        "number", F.lit(len(FAMILIES)).alias("label"), "features"
     )
     known = features.transform(examples).select(F.col("number").cast("bigint"), "label", "features")
     rows = written(known.union(clean), "examples")
@@ -215,13 +232,12 @@ def notices(docs: DataFrame, model: LicenceModel) -> DataFrame:
     compared with its templates, of which one must be there in its own right. The notices of
     one line are those of the line; one that no line holds alone has line -1.
     """
-    rows = model.features.transform(paragraphs(docs)).where(F.size(F.unwrap_udt("features")["indices"]) > 0)
-    scored = model.classifier.transform(rows)
+    keys = ["doc_id", "text_hash", "part", "line"]
+    scored = model.classifier.transform(_described(paragraphs(docs), model.features))
+    scored = _once(scored.select(*keys, "grams", F.col("probability").alias("_chance")), probability=F.col("_chance"))
     slope, bias = float(model.calibration.coefficients[0]), float(model.calibration.intercept)
     sure = F.transform(_margins(), lambda m: 1 / (1 + F.exp(-(m * F.lit(slope) + F.lit(bias)))))
-    likely = scored.select("doc_id", "text_hash", "part", "line", "grams", sure.alias("sure")).where(
-        F.array_max("sure") >= CONFIDENT
-    )
+    likely = _once(scored, sure=sure).select(*keys, "grams", "sure").where(F.array_max("sure") >= CONFIDENT)
     known = _templates(model.features, docs.sparkSession)
     listed = F.array(
         *[
