@@ -1,8 +1,7 @@
-"""Benchmark decontamination: SimHash of item-sized windows and rare shingles lead to items, verified by shingles."""
+"""Benchmark decontamination: SimHash of short windows of the items leads to them, verified by weighted shingles."""
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,9 +23,9 @@ BLOCK_BITS = 64 // BLOCKS
 SIMILARITY = 0.8
 CHUNK_WINDOWS = 500_000
 CHUNK_CHARS = 1_000_000
-SEGMENT = 1 << 16
+SEGMENT = 1 << 14
 _WORD = re.compile(r"\w+")
-GRID = [1, 2, 3, 4, 6, *(round(8 * math.sqrt(2) ** k) for k in range(40))]
+STRIDES = [(12, 4), (8, 3), (5, 2), (1, 1)]  # from so many words of an item on, windows are so far apart
 
 
 def hashed_words(text: str | None) -> np.ndarray:
@@ -35,29 +34,48 @@ def hashed_words(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def stride_of(size: int) -> int:
-    return max(1, size // 4)
+def stride_of(n: int) -> int:
+    """How far apart the windows of a text are for items of n words.
+
+    Five-word shingles lose four at least to an edit inside an item, and SIMILARITY lets a fifth of
+    them go. So a passage has an unedited run of all its words up to 8, of n less a fifth of n - 4
+    up to 23, and of 12 or more beyond. It is as long as a window and all but one of a stride's
+    offsets, 3 strides - 1, so a window of the text lies in it.
+    """
+    return next(stride for least, stride in STRIDES if n >= least)
 
 
 def window_size(n: int) -> int:
-    """The window for items of n words: the largest size of a fixed grid that fits the item at as
-    many neighbouring offsets as windows of a text are apart, so one of them meets a window."""
-    return max(w for w in GRID if w + stride_of(w) - 1 <= n)
+    """Words in a window for items of n words: two strides, if there are so many."""
+    return min(2 * stride_of(n), n)
+
 
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
 
-def simhashes(hashes: np.ndarray, size: int, starts: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-    """64-bit SimHash of the windows of `size` words: a bit is set where most words set it."""
-    sums = bit_sums(hashes) if sums is None else sums
-    ones = (sums[starts + size] - sums[starts]).astype(np.int64)
+
+def _prints(ones: np.ndarray, size: int) -> np.ndarray:
+    """64-bit SimHash of windows of `size` words: a bit is set where most words set it."""
     return np.packbits(2 * ones > size, axis=1).view(">u8").reshape(-1).astype(np.uint64)
 
 
-def bit_sums(hashes: np.ndarray) -> np.ndarray:
-    """Running count of every bit before each position."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(hashes) + 1, 64), np.uint32)
-    np.cumsum(bits, axis=0, dtype=np.uint32, out=sums[1:])
-    return sums
+def simhashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The SimHash of the windows at every offset of an item."""
+    bits = _bits(hashes)
+    last = len(hashes) - size + 1
+    return _prints(sum(bits[k : k + last] for k in range(size)), size)
+
+
+def stepped_simhashes(hashes: np.ndarray, size: int, stride: int) -> np.ndarray:
+    """The SimHash of the windows of a text that begin at multiples of the stride, which divides
+    their size: words are counted once per stride, and a window adds up its strides."""
+    steps, parts = len(hashes) // stride, size // stride
+    if steps < parts:
+        return np.empty(0, np.uint64)
+    bits = _bits(hashes[: steps * stride])
+    step = sum(bits[k::stride] for k in range(stride))
+    last = steps - parts + 1
+    return _prints(sum(step[k : k + last] for k in range(parts)), size)
 
 
 @dataclass
@@ -153,8 +171,7 @@ def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not len(hashes):
                 continue
             size = window_size(len(hashes))
-            offsets = np.arange(len(hashes) - size + 1)
-            prints = simhashes(hashes, size, offsets)
+            prints = simhashes(hashes, size)
             shingles, first = np.unique(folded(hashes, min(SHINGLE, len(hashes))), return_index=True)
             rows.append((item_id, len(hashes), size, prints.view(np.int64), shingles.view(np.int64), first))
         yield pd.DataFrame(rows, columns=["item_id", "n_words", "size", "prints", "shingles", "offsets"])
@@ -202,8 +219,8 @@ def _sharing(folds: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[n
     return np.repeat(hit, n), owners[np.repeat(left, n) + within]
 
 
-def _searcher(shared):
-    state: dict[str, tuple[list[Item], dict[int, Index], dict[int, tuple[np.ndarray, np.ndarray]]]] = {}
+def _searcher(shared, complete: bool):
+    state: dict[str, tuple[list[Item], dict[tuple[int, int], Index], dict[int, tuple[np.ndarray, np.ndarray]]]] = {}
 
     def search_chunk(ids: list, texts: list) -> list[tuple]:
         items, indexes, tables = state["index"]
@@ -211,26 +228,22 @@ def _searcher(shared):
         lengths = np.array([len(h) for h in own])
         ends = np.cumsum(lengths)
         stream = np.concatenate(own) if own else np.empty(0, np.uint64)
-        longest = max(indexes, default=0)
         candidates: set[tuple[int, int]] = set()
-        folds = {w: folded(stream, w) if len(stream) >= w else stream[:0] for w in tables}
-        for width, table in tables.items():
-            at, item = _sharing(folds[width], table)
+
+        def note(at: np.ndarray, width: int, item: np.ndarray) -> None:
             doc = np.searchsorted(ends, at, "right")
             inside = at + width <= ends[doc]
             candidates.update(zip(doc[inside].tolist(), item[inside].tolist(), strict=True))
+
         for begin in range(0, len(stream), SEGMENT):
-            part = stream[begin : begin + SEGMENT + longest]
-            sums = bit_sums(part)
-            for size, index in indexes.items():
-                starts = np.arange(0, min(SEGMENT, len(part) - size + 1), stride_of(size))
-                if not len(starts):
-                    continue
-                window, entry = index.near(simhashes(part, size, starts, sums))
-                at = starts[window] + begin
-                doc = np.searchsorted(ends, at, "right")
-                inside = at + size <= ends[doc]
-                candidates.update(zip(doc[inside].tolist(), index.items[entry][inside].tolist(), strict=True))
+            for (size, stride), index in indexes.items():
+                part = stream[begin : begin + SEGMENT + size - 1]
+                window, entry = index.near(stepped_simhashes(part, size, stride))
+                note(window * stride + begin, size, index.items[entry])
+        folds = {w: folded(stream, w) if len(stream) >= w else stream[:0] for w in tables}
+        for width, table in tables.items() if complete else ():
+            at, item = _sharing(folds[width], table)
+            note(at, width, item)
         found = []
         for doc, i in sorted(candidates):
             item = items[i]
@@ -259,27 +272,33 @@ def _searcher(shared):
     return lean(search)
 
 
-def _loaded(rows: list[tuple]) -> tuple[list[Item], dict[int, Index], dict[int, tuple[np.ndarray, np.ndarray]]]:
+def _loaded(rows: list[tuple]) -> tuple[list[Item], dict[tuple[int, int], Index], dict[int, tuple[np.ndarray, np.ndarray]]]:
     items, windows = [], {}
     for i, (item_id, n_words, size, prints, shingles, weights, offsets) in enumerate(rows):
         order = np.argsort(shingles)
         items.append(Item(item_id, n_words, shingles[order], weights[order], offsets[order]))
-        windows.setdefault(size, []).append((prints, np.full(len(prints), i), np.arange(len(prints))))
+        step = size, min(stride_of(n_words), size)
+        windows.setdefault(step, []).append((prints, np.full(len(prints), i), np.arange(len(prints))))
     indexes = {s: Index(*(np.concatenate(c) for c in zip(*w, strict=True))) for s, w in windows.items()}
     return items, indexes, _telling_shingles(items)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, chunk_windows: int = CHUNK_WINDOWS) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, chunk_windows: int = CHUNK_WINDOWS, complete: bool = True
+) -> DataFrame:
     """Each document and benchmark item of which it holds a passage: doc_id, item_id, start_word,
     n_words and similarity, one row per pair.
 
-    Windows of a text are as long as the items (to a grid of sizes), a quarter of that apart,
-    and looked up by SimHash within RADIUS bits. Besides, every shingle of a text is looked up
-    among the rarest ones of each item, more than 0.2 of its weight, of which a passage cannot
-    lack all. An item counts if five-word shingles with 0.8 or more of its weight are found in
-    a run of at most twice its words, so edits at any place leave no passage out. Words are
-    compared without case or marks. Passages of any place in a text of any length are found;
-    memory is bounded by segments of the text.
+    Every window of an item, of eight words or fewer in short items, has a SimHash fingerprint, and
+    so have the windows of a text that are half a window apart. Blocks of the fingerprints lead
+    from these to all windows of items within RADIUS bits. The windows are so short that a
+    passage with SIMILARITY of an item's shingles has an unedited one, wherever the edits are, as
+    long as its shingles weigh alike. Shingles that items share weigh less; for passages that have
+    lost many of these, `complete` also looks up the rarest shingles of every item, more than 0.2 of
+    its weight, of which no passage lacks all. An item counts if five-word shingles with 0.8 or
+    more of its weight are found in a run of at most twice its words. Words are compared without
+    case or marks. Passages of any place in a text of any length are found; memory is bounded by
+    segments of the text.
 
     The items are cut into chunks of at most about `chunk_windows` fingerprints; each chunk is
     sent to the tasks and all documents are read once per chunk, so a benchmark of any size
@@ -292,7 +311,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chunk_windows: int = CHU
     base = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), "text")
     items = written(describe_items(benchmark), "items")
     total = items.agg(F.sum(F.size("prints"))).first()[0] or 0
-    chunks = max(1, math.ceil(total / chunk_windows))
+    chunks = max(1, -(-total // chunk_windows))
     found = None
     for chunk in range(chunks):
         rows = items.where(F.pmod(F.xxhash64("row"), F.lit(chunks)) == chunk).collect()
@@ -304,7 +323,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chunk_windows: int = CHU
             )
             for r in rows
         ]
-        part = base.mapInPandas(_searcher(spark.sparkContext.broadcast(sent)), schema)
+        known = spark.sparkContext.broadcast(sent)
+        part = base.mapInPandas(_searcher(known, complete), schema)
+        if chunks > 1:  # one chunk is held at a time
+            part = written(part, "passages")
+            known.unpersist()
         found = part if found is None else found.union(part)
     ids = {c: F.col(c).cast("bigint") for c in ("doc_id", "item_id")}
     return found.withColumns(ids)
@@ -312,12 +335,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chunk_windows: int = CHU
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, without a match. Rows are judged by id and text, so a clean text
-    stays if its id is repeated with another one; rows with a null id are judged as one."""
+    stays if its id is null or repeated with another one."""
     number = F.col("doc_id").cast("bigint")
     rows = docs.select(F.struct(*docs.columns).alias("row"), number.alias("id"), F.xxhash64("text").alias("hash"), "text")
-    # a stand-in id for each id and text; 0 for null ids
-    key = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.xxhash64("id", "hash"))
-    keyed = rows.select("row", "text", key.alias("doc_id"))
+    # a stand-in id for each id and text
+    keyed = rows.select("row", "text", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "hash").alias("doc_id"))
     found = contaminated(keyed.select("doc_id", "text"), benchmark)
     leaks = written(found.select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
     # few leaks are broadcast after a count, and the documents then stay where they are
