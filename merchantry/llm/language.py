@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -23,10 +24,16 @@ EVIDENCE = 25
 MEMORY = 200_000
 PART = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
+# all that the pattern above takes for a letter and Unicode counts among the numbers
+_SIGNS = re.compile(
+    "[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and _WORD.match(c) and not c.isalpha()) + "]"
+)
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """The stretches of letters of a text; signs for numbers such as ½ or Ⅷ are no letters."""
+    low = text.lower()
+    return _WORD.findall(low if low.isascii() else _SIGNS.sub(" ", low))
 
 
 def grams(word: str, n: int) -> list[str]:

@@ -114,6 +114,12 @@ def test_quality_edges(spark, labels, fitted):
     assert {r["score"] for r in quality.score_documents(df, untrained).collect()} == {0.5}
 
 
+def test_signs_for_numbers_are_no_letters():
+    assert language.words_of("½ ² Ⅷ ① 10 _") == []
+    assert language.words_of("Œuvre½x 中文 Ⅷe") == ["œuvre", "x", "中文", "e"]
+
+
+
 def test_licences_of_the_corpus(corpus, notices):
     names = {"MIT License": "MIT", "Apache License": "Apache-2.0", "GNU General": "GPL-3.0", "CC BY-NC": "CC-BY-NC-4.0"}
     text = {r["doc_id"]: r["text"].lower() for r in corpus.collect()}

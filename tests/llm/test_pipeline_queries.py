@@ -53,7 +53,7 @@ def test_language_stage_keeps_clean_documents(stages):
 
 
 def test_dedup_stage_keeps_one_of_each_group(stages):
-    assert sorted(r[0] for r in rows_of(stages[2])) == sorted(d for d, _, _, kept in brute_force(rows_of(stages[1])) if kept)
+    assert sorted(r[0] for r in rows_of(stages[2])) == sorted(d for d, _, _, kept in brute_force(rows_of(stages[1]), 80) if kept)
 
 
 def test_decontamination_stage_drops_passages(spark, stages):
