@@ -11,6 +11,7 @@ from merchantry.llm.session import prepare
 from merchantry.sources.shared import shared_dir
 
 MIN_LANGUAGE_SCORE = 0.5
+NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +29,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    """One document of each group of near-duplicates, the one with the smallest doc_id.
+
+    Documents are linked from a similarity of NEAR_PERCENT of their five-word shingles on.
+    """
     prepare(spark)
-    return neardup.deduplicated(docs)
+    return neardup.deduplicated(docs, NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
