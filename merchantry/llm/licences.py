@@ -72,9 +72,16 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, part, line, tokens): the runs of lines without a blank one between, and
-    the lines of every run, long ones of both in overlapping windows.
+def _pairs(words: Column, vocabulary: list[str]) -> Column:
+    """The pair that begins at every word, null if it is in no template; the last word begins none."""
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.transform(pairs, lambda pair: F.when(pair.isin(vocabulary), pair))
+
+
+def paragraphs(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(doc_id, text_hash, part, line, words, grams): the runs of lines without a blank one between, and
+    the lines of every run, long ones of both in overlapping windows, that have a word pair of the
+    vocabulary; `words` is a hash of the piece, `grams` these pairs in order.
 
     Marks of comments are left out, so a notice that is wrapped over the lines of a source file
     is in one run. Whole runs have line -1. A line is cut into words once; a run's words are those
@@ -85,25 +92,29 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     each = _identified(docs).where("text is not null").select("doc_id", "text_hash", F.posexplode(runs).alias("part", "run"))
     words = F.transform(F.split("run", r"[\r\n]+"), lambda x: F.regexp_extract_all(F.lower(x), F.lit(TOKEN), F.lit(0)))
     cut = _once(each, lines=F.filter(words, lambda x: F.size(x) > 0)).drop("run").where(F.size("lines") > 0)
+
+    def piece(line: Column, words: Column) -> Column:
+        pairs = _pairs(words, vocabulary)
+        return F.struct(line.cast("int").alias("line"), F.xxhash64(words).alias("words"), pairs.alias("pairs"))
+
     # a run of one line is its line
-    whole = F.when(F.size("lines") > 1, F.array(F.struct(F.lit(-1).alias("line"), F.flatten("lines").alias("words"))))
-    single = F.transform("lines", lambda x, i: F.struct(i.cast("int").alias("line"), x.alias("words")))
-    none = F.array().cast("array<struct<line: int, words: array<string>>>")
+    whole = F.when(F.size("lines") > 1, F.array(piece(F.lit(-1), F.flatten("lines"))))
+    single = F.transform("lines", lambda x, i: piece(i, x))
+    none = F.array().cast("array<struct<line: int, words: bigint, pairs: array<string>>>")
     pieces = cut.select("doc_id", "text_hash", "part", F.inline(F.concat(F.coalesce(whole, none), single)))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1 - (MAX_WORDS - STRIDE)), F.lit(STRIDE))
-    windows = F.transform(starts, lambda at: F.slice("words", at + 1, F.lit(MAX_WORDS)))
-    cuts = F.when(F.size("words") > MAX_WORDS, windows).otherwise(F.array("words"))
-    return pieces.select("doc_id", "text_hash", "part", "line", F.explode(cuts).alias("tokens"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("pairs") - 1 - (MAX_WORDS - STRIDE)), F.lit(STRIDE))
+    # the last word of a window begins no pair of it
+    windows = F.transform(starts, lambda at: F.slice("pairs", at + 1, F.lit(MAX_WORDS - 1)))
+    cuts = F.when(F.size("pairs") > MAX_WORDS, windows).otherwise(F.array("pairs"))
+    known = F.filter(F.transform(cuts, lambda x: F.filter(x, lambda pair: pair.isNotNull())), lambda x: F.size(x) > 0)
+    return pieces.select("doc_id", "text_hash", "part", "line", "words", F.explode(known).alias("grams"))
 
 
 def _described(pieces: DataFrame, features: PipelineModel) -> DataFrame:
-    """The pieces that have a word pair of a template, with their pairs and features."""
-    _, pairs, counts = features.stages
-    keys = [c for c in pieces.columns if c != "tokens"]
-    paired = pairs.transform(pieces)
-    described = counts.transform(_once(paired.select(*keys, "tokens", F.col("grams").alias("_pairs")), grams=F.col("_pairs")))
-    once = _once(described.select(*keys, "grams", F.col("features").alias("_features")), features=F.col("_features"))
-    return once.select(*keys, "grams", "features").where(F.size(F.unwrap_udt("features")["indices"]) > 0)
+    """The pieces with their features."""
+    keys = pieces.columns
+    described = features.stages[-1].transform(pieces).withColumnRenamed("features", "_features")
+    return _once(described, features=F.col("_features")).select(*keys, "features")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -170,7 +181,8 @@ def train(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> LicenceModel:
         ]
     ).fit(examples)
     some = docs.where(sampled("doc_id", docs.count(), max_documents))
-    pool = _described(paragraphs(some).select("tokens").distinct().withColumn("number", F.xxhash64("tokens")), features)
+    pool = paragraphs(some, features.stages[-1].vocabulary).select("words", "grams").distinct()
+    pool = _described(pool.withColumn("number", F.xxhash64("words", "grams")), features)
     every = _lists([t for own in _templates(features, spark).values() for t in own])
     clean = pool.where(_likest(every) < 0.5).select(
         "number", F.lit(len(FAMILIES)).alias("label"), "features"
@@ -233,7 +245,7 @@ def notices(docs: DataFrame, model: LicenceModel) -> DataFrame:
     one line are those of the line; one that no line holds alone has line -1.
     """
     keys = ["doc_id", "text_hash", "part", "line"]
-    scored = model.classifier.transform(_described(paragraphs(docs), model.features))
+    scored = model.classifier.transform(_described(paragraphs(docs, model.features.stages[-1].vocabulary), model.features))
     scored = _once(scored.select(*keys, "grams", F.col("probability").alias("_chance")), probability=F.col("_chance"))
     slope, bias = float(model.calibration.coefficients[0]), float(model.calibration.intercept)
     sure = F.transform(_margins(), lambda m: 1 / (1 + F.exp(-(m * F.lit(slope) + F.lit(bias)))))
@@ -246,8 +258,8 @@ def notices(docs: DataFrame, model: LicenceModel) -> DataFrame:
             for grams in own
         ]
     )
-    there = likely.withColumn("present", F.filter(listed, lambda t: _held(t["pairs"]) >= CONFIRMED))
-    sole = there.where(F.size("present") > 0).withColumn("t", F.explode(F.filter("present", _in_its_own_right)))
+    there = _once(likely, present=F.filter(listed, lambda t: _held(t["pairs"]) >= CONFIRMED)).where(F.size("present") > 0)
+    sole = there.withColumn("t", F.explode(F.filter("present", _in_its_own_right)))
     names = F.array(*[F.lit(f) for f in FAMILIES])
     hits = sole.select(
         "doc_id", "text_hash", "part", "line", names[F.col("t.family")].alias("family"),
