@@ -10,7 +10,7 @@ from merchantry.catalog.registry import AS_OF, CTES, query, sql_mean, sql_percen
 from merchantry.catalog.sources import RECENT_DAYS
 from merchantry.functions.classify import customer_segment, lifetime_value_tier
 from merchantry.functions.scalar import TOTAL, age_years
-from merchantry.plans import audit, cohorts, customers, products, refresh, sales
+from merchantry.plans import audit, cohorts, customers, maintained, products, refresh, sales
 from merchantry.sources.adapter import Model
 from merchantry.sources.shared import shared_dir
 from merchantry.sources.sinks import load
@@ -319,6 +319,33 @@ CHANGES_SQL = f"""SELECT
     WHERE (o.orders, o.spent) IS DISTINCT FROM (n.orders, n.spent) OR n.frequent IS NOT NULL"""
 
 
+def earlier_facts(m: Model, facts: DataFrame) -> DataFrame:
+    """The order facts as of EARLIER_SNAPSHOT: later orders are missing, those cancelled by now are
+    still pending, delivered ones cost more, and each refunded one has a twin that was deleted since."""
+    seen = facts.where(F.col("created_at") < F.lit(EARLIER_SNAPSHOT).cast("timestamp_ntz"))
+    status = F.when(F.col("order_status") == "cancelled", "pending").otherwise(F.col("order_status"))
+    price = F.when(F.col("order_status") == "delivered", F.col("total_amount") + 250).otherwise(F.col("total_amount"))
+    earlier = seen.withColumns({"order_status": status, "total_amount": price.cast("decimal(18,2)")})
+    twins = seen.where(F.col("order_status").isin("cancelled", "refunded")).withColumns(
+        {
+            "order_id": -F.col("order_id"),
+            "order_status": F.lit("pending"),
+            "created_at": F.expr("created_at - interval 3 years"),
+        }
+    )
+    return earlier.unionByName(twins)
+
+
+@query("x3_maintained_customer_summary", "SELECT * FROM j_summary")
+def _(m: Model) -> DataFrame:
+    facts = maintained.order_facts(m.orders, m.order_items)
+    before = earlier_facts(m, facts)
+    log = audit.capture_changes(before, facts, "order_id", "orders", AS_OF)
+    changes = maintained.logged_orders(log, "orders")
+    figures = maintained.updated_figures(maintained.first_figures(before), changes, facts)
+    return maintained.maintained_summary(m.customers, figures, AS_OF, R)
+
+
 def captured(m: Model) -> DataFrame:
     active = m.customers.where(F.col("customer_status") == "active").select("customer_id")
     old = totals_before(m, EARLIER_SNAPSHOT)

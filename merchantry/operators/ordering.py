@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchantry.operators.joins import same_keys
+from merchantry.sources.shared import Scratch, written
 
 BUCKETS_PER_PARTITION = 4
 
@@ -88,13 +89,14 @@ def global_rank(
 ) -> DataFrame:
     """RANK over the whole frame, without a window over all rows.
 
-    Equal values are counted first, so that ties collapse, the distinct values are placed by
-    buckets, and the rank joins back.
+    Equal values are counted first, so that ties collapse, and the distinct values are placed by
+    buckets. Counts and ranks are written to the shared folder, so the frame is computed twice,
+    for the counts and for the rank to join it, and a rank of a rank does not multiply that.
     """
-    ties = df.groupBy(F.col(by).alias("_value")).agg(F.count("*").alias("_n"))
-    raw = df.select(F.col(by).alias("_value"))
-    placed = running_before(ties, "_value", "_n", "_before", (), descending, buckets, cuts_from=raw)
-    ranks = placed.select("_value", (F.col("_before") + 1).cast("bigint").alias(name))
+    with Scratch(df.sparkSession, "ties") as scratch:
+        ties = scratch.written(df.groupBy(F.col(by).alias("_value")).agg(F.count("*").alias("_n")), "ties")
+        placed = running_before(ties, "_value", "_n", "_before", (), descending, buckets)
+        ranks = written(placed.select("_value", (F.col("_before") + 1).cast("bigint").alias(name)), "ranks")
     return df.join(ranks, F.col(by).eqNullSafe(F.col("_value")), "left").drop("_value")
 
 

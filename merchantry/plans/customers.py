@@ -58,9 +58,10 @@ def _classified(summary: DataFrame, as_of: Moment, rules: Rules) -> DataFrame:
     )
 
 
-def _summary(customers: DataFrame, per_order: DataFrame, as_of: Moment, rules: Rules) -> DataFrame:
-    """`per_order` holds one row per order, with `copies` = how often the order counts."""
-    per_customer = per_order.groupBy("customer_id").agg(
+def order_figures(per_order: DataFrame) -> DataFrame:
+    """What a summary needs to know of each customer's orders; `per_order` holds one row per order,
+    with `copies` = how often the order counts."""
+    return per_order.groupBy("customer_id").agg(
         F.sum("copies").alias("total_orders"),
         F.sum(F.col("total_amount") * F.col("copies")).alias("spent"),
         # NULL totals count as orders but stay out of the average
@@ -71,7 +72,11 @@ def _summary(customers: DataFrame, per_order: DataFrame, as_of: Moment, rules: R
         F.max("created_at").alias("last_order_date"),
         F.sum("units").alias("units"),
     )
-    joined = customers.select(*_profile()).join(per_customer, "customer_id", "left")
+
+
+def summary_of(customers: DataFrame, figures: DataFrame, as_of: Moment, rules: Rules) -> DataFrame:
+    """The summary of all customers from the figures of their orders."""
+    joined = customers.select(*_profile()).join(figures, "customer_id", "left")
     summary = joined.select(
         "customer_id",
         "customer_email",
@@ -90,7 +95,7 @@ def _summary(customers: DataFrame, per_order: DataFrame, as_of: Moment, rules: R
     return _classified(summary, as_of, rules)
 
 
-def _orders_with_units(orders: DataFrame, items: DataFrame) -> DataFrame:
+def orders_with_units(orders: DataFrame, items: DataFrame) -> DataFrame:
     """Items combined to order grain before they meet the orders: no fan-out, less to shuffle."""
     per_order = items.groupBy("order_id").agg(F.sum("quantity").alias("units"), F.count("*").alias("lines"))
     live = not_cancelled(orders).select("order_id", "customer_id", "total_amount", "created_at")
@@ -101,8 +106,8 @@ def customer_order_summary(
     customers: DataFrame, orders: DataFrame, items: DataFrame, as_of: Moment, rules: Rules
 ) -> DataFrame:
     """One row per customer over all orders that are not cancelled; zeros without orders."""
-    per_order = _orders_with_units(orders, items).withColumn("copies", F.lit(1).cast("bigint"))
-    return _summary(customers, per_order, as_of, rules)
+    per_order = orders_with_units(orders, items).withColumn("copies", F.lit(1).cast("bigint"))
+    return summary_of(customers, order_figures(per_order), as_of, rules)
 
 
 def customer_order_summary_line_grain(
@@ -114,10 +119,10 @@ def customer_order_summary_line_grain(
     orders with several lines. An order of n lines is weighted by n, which gives the same
     figures without building the n-fold rows.
     """
-    per_order = _orders_with_units(orders, items).withColumn(
+    per_order = orders_with_units(orders, items).withColumn(
         "copies", F.greatest(zero_if_null("lines"), F.lit(1)).cast("bigint")
     )
-    return _summary(customers, per_order, as_of, rules)
+    return summary_of(customers, order_figures(per_order), as_of, rules)
 
 
 def recent_customer_summary(

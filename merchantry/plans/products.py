@@ -21,6 +21,7 @@ from merchantry.operators.joins import hierarchy_paths
 from merchantry.operators.ordering import global_rank
 from merchantry.plans.customers import not_cancelled, order_product_units
 from merchantry.rules import Rules
+from merchantry.sources.shared import written
 
 
 def category_paths(categories: DataFrame) -> DataFrame:
@@ -121,7 +122,10 @@ def product_performance(
 
 
 def top_performing_products(performance: DataFrame) -> DataFrame:
-    """Active products ranked by revenue and by units, best revenue first."""
+    """Active products ranked by revenue and by units, best revenue first.
+
+    Both ranks need the whole summary several times, so its few columns are written down once.
+    """
     active = performance.where("is_active").select(
         "product_id",
         "sku",
@@ -135,7 +139,7 @@ def top_performing_products(performance: DataFrame) -> DataFrame:
         "velocity_category",
         "unique_customers",
     )
-    ranked = global_rank(active, "total_revenue", "revenue_rank")
+    ranked = global_rank(written(active, "active-products"), "total_revenue", "revenue_rank")
     ranked = global_rank(ranked, "total_quantity_sold", "quantity_rank")
     return ranked.orderBy(F.desc("total_revenue"), "product_id")
 
