@@ -6,6 +6,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from merchantry.functions import documents
 from merchantry.functions import scalar as s
 from merchantry.functions.classify import class_rank, performance_tier, selectivity_level, velocity_category
 from merchantry.functions.documents import is_malformed, merge_patch, row_image, without_members
@@ -188,3 +189,36 @@ def test_rules():
     assert Rules.from_mapping({"vip_above_spent": 7}).vip_above_spent == 7
     with pytest.raises(ValueError, match="unknown"):
         Rules.from_mapping({"nope": 1})
+
+
+@pytest.mark.parametrize("depth", [500, 5_000, 50_000])
+def test_json_of_any_depth(spark, depth):
+    def nested(inner, empty='"x":[]'):
+        return '{"a":' * depth + inner + (f",{empty}}}" if empty else "}") * depth
+
+    document, patch = nested('{"keep":1.50,"go":2}'), nested('{"go":null,"new":[{}]}', "")
+    wanted = nested('{"keep":1.50,"new":[{}]}')
+    lists = "[" * depth + "]" * depth
+    rows = [(document, patch), (lists, patch), (document, lists), (document, None), ("[" * depth, '{"a":1}'), (patch + "}", "{}")]
+    df = spark.createDataFrame(rows, "d string, p string")
+    bare = nested('{"new":[{}]}', "")
+    got = [r[0] for r in df.select(merge_patch("d", "p")).collect()]
+    assert got == [wanted, bare, lists, document, '{"a":1}', "{}"]
+    stripped = spark.createDataFrame([(document,), (lists,)], "d string").withColumn("n", F.array(F.lit("x")))
+    assert [r[0] for r in stripped.select(without_members("d", "n")).collect()] == [document[: -len(',"x":[]}')] + "}", lists]
+
+
+def test_half_surrogate_pairs_stay_escapes(spark):
+    df = spark.createDataFrame([(r'{"a":"\ud800","b":"\ud83d\ude00é"}', r'{"\udc00":1}')], "d string, p string")
+    assert df.select(merge_patch("d", "p")).first()[0] == r'{"a":"\ud800","b":"😀é","\udc00":1}'
+
+
+@pytest.mark.parametrize("text", ['{"a":[1,-2.5e3,true,null,"x\\n"],"a":{},"b":[[],{}]}', "[1,]", "{1:2}", '{"a" 1}', "01", "[1 2]", "nul", '"', ""])
+def test_the_parser_for_deep_texts_equals_the_standard_one(text):
+    def outcome(parse):
+        try:
+            return parse(text)
+        except ValueError:
+            return "none"
+
+    assert outcome(documents._parsed_deep) == outcome(documents._parsed)
