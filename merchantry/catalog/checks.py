@@ -19,11 +19,12 @@ from merchantry.catalog.jobs import (
 from merchantry.catalog.model_sql import R
 from merchantry.catalog.registry import EVENTS_AS_OF, query, sql_mean, sql_rate
 from merchantry.catalog.sources import SLOW, audit_config
-from merchantry.functions.scalar import MONEY, TOTAL
+from merchantry.functions.scalar import MONEY, TOTAL, year_month
 from merchantry.operators.joins import cascade_delete, never_used, set_null_on_delete
-from merchantry.plans import audit, monitoring, quality
+from merchantry.plans import audit, monitoring, quality, sketches
 from merchantry.schemas import DOMAINS
 from merchantry.sources.adapter import Model
+from merchantry.sources.shared import written
 from merchantry.sources.tables import TABLES, load_tables
 
 THEN = f"TIMESTAMP '{EVENTS_AS_OF}'"
@@ -423,6 +424,31 @@ def _(m: Model) -> DataFrame:
     )
 
 
+@query(
+    "n5_selectivity_sketched",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, (SELECT count(*) FROM {SQL_NAME[t]}) AS total_rows, "
+        "true AS distinct_in_bound"
+        for t, columns in _PROFILED.items()
+        for c in columns
+    ),
+)
+def _(m: Model) -> DataFrame:
+    """Distinct values per column from the stored sketches of every load, held against the exact counts."""
+    loads = {"orders": year_month("created_at"), "order_items": F.floor(F.col("order_id") / 100_000)}
+    found = []
+    for t, columns in _PROFILED.items():
+        df = getattr(m, t)
+        stored = written(sketches.distinct_sketches(df, [loads[t].alias("load")], columns), "distinct-sketches")
+        estimates = sketches.merged_selectivity(stored)
+        exact = monitoring.column_selectivity(t, df, columns, exact=True)
+        off = F.abs(F.col("distinct_values") - F.col("cardinality"))
+        inside = off <= 5 * sketches.DISTINCT_ERROR * F.col("cardinality")
+        joined = exact.join(estimates, "column_name")
+        found.append(joined.select("table_name", "column_name", "total_rows", inside.alias("distinct_in_bound")))
+    return quality.stacked(found)
+
+
 @query(
     "n6_never_used",
     """SELECT order_id, customer_id, total_amount FROM m_orders

@@ -19,14 +19,15 @@ from merchantry.catalog.registry import (
 from merchantry.functions import scalar
 from merchantry.functions.classify import class_rank, customer_segment
 from merchantry.functions.documents import merge_patch, row_image, string_list
-from merchantry.functions.scalar import MONEY, before, moment, money, total, within_last, zero_if_null
+from merchantry.functions.scalar import MONEY, before, moment, money, total, within_last, year_month, zero_if_null
 from merchantry.operators.aggregates import distinct_counts, exact_median, most_frequent, share_of_total
 from merchantry.operators.joins import hierarchy_paths, never_used, resolve_key
 from merchantry.operators.ordering import global_rank, latest_per_key, running_total, top_k
-from merchantry.plans import customers, products, sales
+from merchantry.plans import customers, products, sales, sketches
 from merchantry.plans.customers import not_cancelled
 from merchantry.plans.quality import row_counts, stacked
 from merchantry.sources.adapter import Model
+from merchantry.sources.shared import written
 
 THEN = f"TIMESTAMP '{EVENTS_AS_OF}'"
 
@@ -404,6 +405,25 @@ def _(m: Model) -> DataFrame:
     return exact_median(days, ["summary_date"], "total_amount", "median_order_value", buckets=256)
 
 
+@query(
+    "g11_median_sketched",
+    """SELECT strftime(created_at, '%Y-%m') AS sales_month, count(total_amount) AS order_count, true AS median_in_bound
+    FROM m_orders WHERE order_status <> 'cancelled' GROUP BY 1""",
+)
+def _(m: Model) -> DataFrame:
+    """Medians per month from the stored sketches of days, held against the rows."""
+    live = not_cancelled(m.orders).withColumn("sales_month", year_month("created_at"))
+    days = sketches.quantile_sketches(live, ["sales_month", F.to_date("created_at").alias("sales_day")], "total_amount")
+    stored = written(days, "quantile-sketches")
+    months = sketches.merged_quantiles(stored, ["sales_month"], {"median": 0.5})
+    held = sketches.rank_shares(live, ["sales_month"], "total_amount", months, "median")
+    margin = 2 * sketches.RANK_ERROR
+    inside = (F.col("below") <= 0.5 + margin) & (F.col("not_above") >= 0.5 - margin)
+    return months.join(held, "sales_month").select(
+        "sales_month", F.col("n").alias("order_count"), inside.alias("median_in_bound")
+    )
+
+
 @query(
     "g12_most_frequent",
     """SELECT customer_id, payment_method AS usual_method, n AS times FROM (
