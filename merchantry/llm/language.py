@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -16,13 +15,17 @@ from pyspark.sql import functions as F
 
 from merchantry.llm.learning import held_out, sampled
 from merchantry.llm.memory import lean
+from merchantry.operators.joins import small_side
+from merchantry.sources.shared import Scratch
 
 UNKNOWN = "und"
 LONGEST = 4
 SMOOTHING = 0.5
 EVIDENCE = 25
 MEMORY = 200_000
+CELLS = 4_000_000
 PART = 50_000
+SALTS = 32
 _WORD = re.compile(r"[^\W\d_]+")
 # all that the pattern above takes for a letter and Unicode counts among the numbers
 _SIGNS = re.compile(
@@ -42,18 +45,63 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+class Entries:
+    """The words, or the n-grams of one order: logs of the languages that have them, side by side.
+
+    A language that lacks an entry has its `floor`, the log of the smoothing alone. So a model
+    grows with the entries that its languages have, not with entries times languages.
+    """
+
+    def __init__(self, at: dict[str, int], ends: np.ndarray, columns: np.ndarray, logs: np.ndarray, floor: np.ndarray):
+        self.at, self.floor = at, floor
+        self._starts = np.concatenate([[0], ends]).astype(np.int64)
+        self._columns, self._above = columns, (logs - floor[columns]).astype(np.float32)
+
+    @classmethod
+    def of_logs(cls, table: dict[str, np.ndarray], width: int) -> Entries:
+        """Entries that every language has."""
+        n = len(table)
+        logs = np.array(list(table.values()), np.float32).reshape(-1)
+        columns = np.tile(np.arange(width), n)
+        return cls(dict(zip(table, range(n), strict=True)), width * np.arange(1, n + 1), columns, logs, np.zeros(width))
+
+    @classmethod
+    def of_counts(cls, grams: list[str], ends: array, columns: array, counts: array, width: int) -> Entries:
+        """Smoothed log frequencies of counts; those of entry i end at `ends[i]`."""
+        at, n = np.array(columns, np.int64), np.array(counts, np.float64)
+        totals = np.bincount(at, n, width) + SMOOTHING * max(len(grams), 1)
+        logs = np.log((n + SMOOTHING) / totals[at])
+        names = dict(zip(grams, range(len(grams)), strict=True))
+        return cls(names, np.array(ends, np.int64), at, logs, np.log(SMOOTHING / totals))
+
+    def means(self, places: list[int], counts: list[int]) -> np.ndarray:
+        """A row of mean logs for each group of `counts[i]` successive places."""
+        groups = np.array(counts)
+        starts = self._starts[places]
+        sizes = self._starts[np.array(places) + 1] - starts
+        group = np.repeat(np.repeat(np.arange(len(groups)), groups), sizes)
+        cells = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        width = len(self.floor)
+        sums = np.bincount(group * width + self._columns[cells], self._above[cells], len(groups) * width)
+        return self.floor + sums.reshape(len(groups), width) / groups[:, None]
+
+
 class LanguageModel:
     """Log frequencies per language of words (order 0) and of n-grams of 1 to LONGEST letters.
 
-    A table has the place of every entry in a matrix with a column per language. The evidence
-    of words that were seen lately is remembered in a matrix of its own, of bounded size.
+    The evidence of words that were seen lately is remembered in a matrix with a column per
+    language, of bounded size.
     """
 
-    def __init__(self, languages: list[str], prior: np.ndarray, tables: list[dict[str, np.ndarray]]) -> None:
+    def __init__(
+        self, languages: list[str], prior: np.ndarray, tables: list[dict[str, np.ndarray]] | list[Entries]
+    ) -> None:
         self.languages, self.prior = languages, prior
-        self._at = [dict(zip(table, range(len(table)), strict=True)) for table in tables]
         width = len(languages)
-        self._logs = [np.array(list(t.values()), np.float32).reshape(len(t), width) for t in tables]
+        self._orders = [t if isinstance(t, Entries) else Entries.of_logs(t, width) for t in tables]
+        self._at = [order.at for order in self._orders]
+        self._memory = max(1, min(MEMORY, CELLS // (width + 1)))
+        self._part = max(1, min(PART, self._memory // 4))
         self.forget()
 
     def __getstate__(self) -> dict:
@@ -93,9 +141,7 @@ class LanguageModel:
                 counts[order].append(len(found))
         for order, at in enumerate(places):
             if at:
-                n = np.array(counts[order])
-                sums = np.add.reduceat(self._logs[order][at], np.cumsum(n) - n, axis=0)
-                out[owners[order], :-1] = sums / n[:, None]
+                out[owners[order], :-1] = self._orders[order].means(at, counts[order])
                 out[owners[order], -1] = 1
         return out
 
@@ -103,7 +149,7 @@ class LanguageModel:
         at = list(map(self._known.get, words))
         if None in at:
             new = list(dict.fromkeys(w for w, p in zip(words, at, strict=True) if p is None))
-            if len(self._known) + len(new) > MEMORY:
+            if len(self._known) + len(new) > self._memory:
                 self.forget()
                 new = list(dict.fromkeys(words))
             start = len(self._known)
@@ -123,7 +169,7 @@ class LanguageModel:
         words = words_of(text) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        total = sum(self._total(words[start : start + PART]) for start in range(0, len(words), PART))
+        total = sum(self._total(words[start : start + self._part]) for start in range(0, len(words), self._part))
         scored = total[-1]
         if not scored:
             return self.languages[int(self.prior.argmax())], 0.0
@@ -149,48 +195,55 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def train(
-    docs: DataFrame, per_language: int = 1500, max_languages: int = 256, max_entries: int = 40_000
-) -> LanguageModel:
-    """Learn from text and non-null lang of documents that are not held out.
+def _most_frequent(totals: DataFrame, max_entries: int) -> DataFrame:
+    """The `max_entries` most frequent grams of every language and order; ties go to the first by name.
+
+    Shares of the grams are ranked first, so the last ranking sees a bounded number of rows.
+    """
+    order = [F.desc("n"), F.col("gram")]
+    salted = totals.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(SALTS)))
+    for keys in (["size", "lang", "salt"], ["size", "lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        salted = salted.withColumn("place", place).where(F.col("place") <= max_entries)
+    return salted.select("size", "gram").distinct()
+
+
+def train(docs: DataFrame, per_language: int = 1500, max_entries: int = 10_000) -> LanguageModel:
+    """Learn every language from text and non-null lang of documents that are not held out.
 
-    The sample is bounded: about `per_language` documents of each of the `max_languages` most
-    frequent languages, whole texts. Of words and of each n-gram order the `max_entries` most
-    frequent are kept, which bounds the model that is sent to the tasks.
+    The sample is bounded: about `per_language` documents of each language, whole texts. Of words
+    and of each n-gram order the `max_entries` most frequent of every language are kept, which
+    bounds the model that is sent to the tasks by the number of languages.
     """
     usable = docs.select(F.col("doc_id").cast("bigint"), "text", F.col("lang").cast("string")).where(
         ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    if not languages:
-        return LanguageModel([], np.zeros(0), [{} for _ in range(LONGEST + 1)])
-    wanted = reduce(or_, [(F.col("lang") == r["lang"]) & sampled("doc_id", r["count"], per_language) for r in sizes])
-    counts = usable.where(wanted).select("lang", "text").mapInPandas(
-        lean(_counted), "lang string, size int, gram string, n bigint"
-    )
-    by_gram = (
-        counts.groupBy("size", "gram", "lang")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("size", "gram")
-        .agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    )
-    frequent = Window.partitionBy("size").orderBy(F.desc("total"), "gram")  # the sample bounds its rows
-    kept = by_gram.withColumn("place", F.row_number().over(frequent)).where(F.col("place") <= max_entries)
-    index = {lang: i for i, lang in enumerate(languages)}
-    raw: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    for row in kept.select("size", "gram", "by_lang").toLocalIterator():
-        values = np.full(len(languages), SMOOTHING)
-        for lang, n in row["by_lang"].items():
-            values[index[lang]] += n
-        raw[row["size"]][row["gram"]] = values
-    tables = []
-    for table in raw:
-        total = sum(table.values()) if table else 1.0
-        tables.append({gram: np.log(values / total).astype(np.float32) for gram, values in table.items()})
-    by_name = {r["lang"]: r["count"] for r in sizes}
+    with Scratch(docs.sparkSession, "language") as scratch:
+        sizes = scratch.written(usable.groupBy("lang").agg(F.count("*").alias("available")), "sizes")
+        by_name = {r["lang"]: r["available"] for r in sizes.collect()}
+        languages = sorted(by_name)
+        if not languages:
+            return LanguageModel([], np.zeros(0), [{} for _ in range(LONGEST + 1)])
+        sample = usable.join(small_side(sizes), "lang").where(sampled("doc_id", F.col("available"), per_language))
+        counts = sample.select("lang", "text").mapInPandas(
+            lean(_counted), "lang string, size int, gram string, n bigint"
+        )
+        totals = scratch.written(counts.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")), "totals")
+        kept = totals.join(_most_frequent(totals, max_entries), ["size", "gram"], "left_semi")
+        by_gram = kept.groupBy("size", "gram").agg(F.collect_list(F.struct("lang", "n")).alias("found"))
+        index = {lang: i for i, lang in enumerate(languages)}
+        grams: list[list[str]] = [[] for _ in range(LONGEST + 1)]
+        ends, columns, numbers = ([array("q") for _ in grams] for _ in range(3))
+        for row in by_gram.toLocalIterator():
+            size = row["size"]
+            grams[size].append(row["gram"])
+            for lang, n in row["found"]:
+                columns[size].append(index[lang])
+                numbers[size].append(n)
+            ends[size].append(len(columns[size]))
+    orders = [Entries.of_counts(*parts, len(languages)) for parts in zip(grams, ends, columns, numbers, strict=True)]
     share = np.array([by_name[lang] for lang in languages], float)
-    return LanguageModel(languages, np.log(share / share.sum()), tables)
+    return LanguageModel(languages, np.log(share / share.sum()), orders)
 
 
 def predictor(spark: SparkSession, model: LanguageModel):

@@ -18,7 +18,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return fold == HELD_OUT
 
 
-def sampled(doc_id: str, available: int, bound: int) -> Column:
+def sampled(doc_id: str, available: int | Column, bound: int) -> Column:
     """Whether a row is among about `bound` of `available` rows, by a hash of its id; all if there are fewer."""
-    share = int(min(1.0, bound / max(available, 1)) * (1 << 30))
+    rows = F.greatest(F.lit(available), F.lit(1))
+    share = F.floor(F.least(F.lit(1.0), F.lit(float(bound)) / rows) * (1 << 30))
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 30)) < share

@@ -61,6 +61,33 @@ def test_words_come_first_and_backoff_gets_shorter():
     assert model.predict("12 !") == model.predict(None) == model.predict("") == ("und", 0.0)
 
 
+def test_any_number_of_languages_is_learned(spark):
+    """Of 300 languages with a word of their own, one far larger than the others, none is left out."""
+    name = lambda i: f"{chr(97 + i // 26)}{chr(97 + i % 26)}q"
+    rows = [(i, f"{name(i % 300)} shared " * 3, f"l{i % 300}") for i in range(6000)]
+    rows += [(10_000 + i, " ".join(f"{name(k)}{name(i)}" for k in range(40)), "big") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(docs, max_entries=50)
+    assert len(model.languages) == 301
+    assert all(model.predict(name(i))[0] == f"l{i}" for i in range(300))
+    words = model._at[0]
+    assert 300 < len(words) <= 300 + 1 + 50
+
+
+def test_entries_equal_the_smoothed_frequencies(spark):
+    docs = spark.createDataFrame(
+        [(1, "ab ab cd", "x"), (3, "cd", "y"), (4, "cd ef", "y")], "doc_id bigint, text string, lang string"
+    )
+    usable = [r for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    model = language.train(docs)
+    langs = sorted({r["lang"] for r in usable})
+    counts = {lang: [w for r in usable if r["lang"] == lang for w in r["text"].split()] for lang in langs}
+    vocabulary = {w for words in counts.values() for w in words}
+    for word in vocabulary:
+        logs = [np.log((counts[k].count(word) + 0.5) / (len(counts[k]) + 0.5 * len(vocabulary))) for k in langs]
+        assert np.allclose(model.evidence([word])[0, :-1], logs)
+
+
 def test_long_texts_do_not_outgrow_the_memory(monkeypatch):
     monkeypatch.setattr(language, "MEMORY", 40)
     monkeypatch.setattr(language, "PART", 30)
