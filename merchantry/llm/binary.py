@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -19,6 +22,8 @@ from merchantry.operators.joins import small_side
 MAGIC = b"EFID"
 SAMPLE = 256
 BLOCK_IDS = 1 << 20
+HEAD = "<BQQq"  # bytes of an id, documents, null ids among them, smallest id
+COLUMNS = "bucket int, block int, n_docs bigint, n_ids bigint, first_id bigint, last_id bigint, data binary"
 
 
 class EliasFano:
@@ -68,9 +73,8 @@ class EliasFano:
         ones = np.flatnonzero(np.unpackbits(self.high[first:end], bitorder="little")[start % 8 :])
         high = start + int(ones[skip]) - i
         begin = i * self.width
-        piece = np.unpackbits(self.low[begin // 8 : (begin + self.width + 7) // 8], bitorder="little")
-        piece = piece[begin % 8 : begin % 8 + self.width]
-        return (high << self.width) | sum(int(b) << k for k, b in enumerate(piece))
+        low = int.from_bytes(self.low[begin // 8 : (begin + self.width + 7) // 8].tobytes(), "little") >> begin % 8
+        return (high << self.width) | (low & ((1 << self.width) - 1))
 
     def values(self) -> np.ndarray:
         """All values."""
@@ -83,13 +87,13 @@ class EliasFano:
         return (high << np.uint64(self.width)) | low
 
 
-def encode_block(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """Documents in ascending id order, null ids first, as one block of a file."""
+def encode_block(doc_ids: list[int | None], ids: list[bytes], width: int = 2) -> bytes:
+    """Documents in ascending id order, null ids first, as one block of a file with ids of `width` bytes."""
     known = np.array([d for d in doc_ids if d is not None], np.int64)
     least = int(known[0]) if len(known) else 0
-    ends = np.cumsum([len(x) // 2 for x in ids])
+    ends = np.cumsum([len(x) // width for x in ids])
     offsets = (known.astype(np.uint64) - np.int64(least).astype(np.uint64)) if len(known) else np.empty(0, np.uint64)
-    head = MAGIC + struct.pack("<QQq", len(doc_ids), len(doc_ids) - len(known), least)
+    head = MAGIC + struct.pack(HEAD, width, len(doc_ids), len(doc_ids) - len(known), least)
     return head + EliasFano.of(offsets).to_bytes() + EliasFano.of(ends).to_bytes() + b"".join(ids)
 
 
@@ -99,18 +103,18 @@ class Block:
     def __init__(self, data: bytes) -> None:
         if data[:4] != MAGIC:
             raise ValueError("not a block of token ids")
-        self.count, self.nulls, self._least = struct.unpack_from("<QQq", data, 4)
-        self._docs, at = EliasFano.read(data, 4 + struct.calcsize("<QQq"))
+        width, self.count, self.nulls, self._least = struct.unpack_from(HEAD, data, 4)
+        self._docs, at = EliasFano.read(data, 4 + struct.calcsize(HEAD))
         self._ends, at = EliasFano.read(data, at)
-        self._ids = np.frombuffer(data, "<u2", -1, at)
+        self._ids = np.frombuffer(data, f"<u{width}", -1, at)
 
     def doc_ids(self) -> list[int | None]:
         known = (self._docs.values() + np.int64(self._least).astype(np.uint64)).astype(np.int64)
         return [None] * self.nulls + known.tolist()
 
-    def bounds(self) -> np.ndarray:
-        """Start of every document, and the end of the last."""
-        return np.concatenate([[0], self._ends.values().astype(np.int64)])
+    def end(self, i: int) -> int:
+        """Where document `i` ends among the ids of the block."""
+        return self._ends.select(i)
 
     def ids(self, start: int, end: int) -> np.ndarray:
         return self._ids[start:end]
@@ -119,20 +123,28 @@ class Block:
         """The ids of one document, found by two selects."""
         return self._ids[self._ends.select(i - 1) if i else 0 : self._ends.select(i)]
 
+    def places(self, doc_id: int) -> range:
+        """The documents with an id, by a binary search that selects a few of them."""
+        wanted, known = doc_id - self._least, range(self._docs.count)
+        first = bisect_left(known, wanted, key=self._docs.select)
+        return range(self.nulls + first, self.nulls + bisect_right(known, wanted, lo=first, key=self._docs.select))
 
-def _writer(tokenizer: str, spaced: bool, end_id: int, block_ids: int):
-    end = struct.pack("<H", end_id)
 
+def _writer(tokenizer: str, spaced: bool, end_id: int, block_ids: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = encoder(tokenizer, spaced)
-        encode = tokens.ids
+        encode, width = tokens.ids, tokens.width
+        end = np.array([end_id], f"<u{width}").tobytes()
         bucket, block, size = None, 0, 0
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
 
         def flushed() -> pd.DataFrame:
-            row = (bucket, block, len(doc_ids), size, encode_block(doc_ids, ids))
-            return pd.DataFrame([row], columns=["bucket", "block", "n_docs", "n_ids", "data"])
+            known = [d for d in doc_ids if d is not None]
+            ends = (known[0], known[-1]) if known else (None, None)
+            row = (bucket, block, len(doc_ids), size, *ends, encode_block(doc_ids, ids, width))
+            names = ["bucket", "block", "n_docs", "n_ids", "first_id", "last_id", "data"]
+            return pd.DataFrame([row], columns=names, dtype=object)
 
         for batch in batches:
             for at, null, doc_id, text in zip(
@@ -146,7 +158,7 @@ def _writer(tokenizer: str, spaced: bool, end_id: int, block_ids: int):
                 found = encode(text or "") + end
                 doc_ids.append(None if null else int(doc_id))
                 ids.append(found)
-                size += len(found) // 2
+                size += len(found) // width
         if doc_ids:
             yield flushed()
         tokens.forget()
@@ -162,7 +174,8 @@ def write_token_files(
     The folder holds Parquet files whose rows are blocks of the format above, so Spark's
     committer makes a retried task harmless and any file system serves. A block ends at the
     first document that reaches `block_ids`, which bounds what a task holds besides one
-    document; `bucket` and `block` order the blocks.
+    document; `bucket` and `block` order the blocks, and each carries its smallest and largest
+    id. An id takes two bytes, or four where the tokenizer has more than 65,536.
 
     Null texts are empty and become the end id alone. Null ids come first; rows with an equal
     id are ordered by text and all written. An empty table writes no blocks.
@@ -173,8 +186,7 @@ def write_token_files(
     dealt = placed.repartition(partitions, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "text")
     # a nullable id arrives in pandas as a float, which would round large ones
     sent = dealt.select("bucket", F.col("doc_id").cast("string").alias("doc_id"), "text")
-    schema = "bucket int, block int, n_docs bigint, n_ids bigint, data binary"
-    sent.mapInPandas(_writer(tokenizer, spaced, end_id, block_ids), schema).write.parquet(path)
+    sent.mapInPandas(_writer(tokenizer, spaced, end_id, block_ids), COLUMNS).write.parquet(path)
 
 
 def _reader(digest: bool):
@@ -182,7 +194,7 @@ def _reader(digest: bool):
         for batch in batches:
             for base, data in zip(batch["base"], batch["data"], strict=True):
                 block = Block(data)
-                bounds = block.bounds()
+                bounds = np.array([0, *map(block.end, range(block.count))], np.int64)  # an end starts the next
                 parts = [block.ids(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 out = pd.DataFrame({"doc_id": pd.array(block.doc_ids(), "Int64"), "start": bounds[:-1] + base})
                 out["n_tokens"] = np.diff(bounds)
@@ -201,8 +213,7 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     start counts the ids of all documents before it. It comes from the blocks' counts, of
     which the totals per bucket alone are summed in one task.
     """
-    schema = "bucket int, block int, n_docs bigint, n_ids bigint, data binary"
-    blocks = spark.read.schema(schema).parquet(path)
+    blocks = spark.read.schema(COLUMNS).parquet(path)
     sizes = blocks.select("bucket", "block", "n_ids")
     earlier = Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     inside = sizes.withColumn("inside", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
@@ -212,3 +223,23 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     rows = blocks.select("bucket", "block", "data").join(small_side(bases), ["bucket", "block"]).select("base", "data")
     last = "ids_crc32 bigint" if digest else "ids array<int>"
     return rows.mapInPandas(_reader(digest), f"doc_id bigint, start bigint, n_tokens bigint, {last}")
+
+
+def find_documents(spark: SparkSession, path: str, doc_ids: Sequence[int]) -> DataFrame:
+    """doc_id and ids of the documents with one of a few stated ids, rows with a repeated id included.
+
+    Only blocks whose range holds one of them are read, and inside a block two selects lead to
+    a document's ids. An id that no document has gives no row; null ids cannot be asked for.
+    """
+    wanted = sorted(set(doc_ids))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["data"]:
+                block = Block(data)
+                rows = [(d, block.document(i).astype(np.int32)) for d in wanted for i in block.places(d)]
+                yield pd.DataFrame(rows, columns=["doc_id", "ids"])
+
+    ranges = [(F.col("first_id") <= d) & (F.col("last_id") >= d) for d in wanted]
+    blocks = spark.read.schema(COLUMNS).parquet(path).where(reduce(or_, ranges, F.lit(False))).select("data")
+    return blocks.mapInPandas(lean(find), "doc_id bigint, ids array<int>")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -74,15 +73,15 @@ def pack_items(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarr
 
 def token_pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capacity: int, keep_ids: bool) -> DataFrame:
     """The pieces of every document, with the crc32 of their ids and, if asked for, the ids."""
-    end = struct.pack("<H", end_id)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = encoder(tokenizer, spaced)
-        encode = found.ids
+        encode, kind = found.ids, f"<u{found.width}"
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.frombuffer(encode(text or "") + end, "<u2").astype("<u4")
+                ids = np.frombuffer(encode(text or "") + end, kind).astype("<u4")
                 for piece, (start, length) in enumerate(cut_points(len(ids), capacity)):
                     own = ids[start : start + length].tobytes()
                     rows.append((doc_id, piece, start, length, zlib.crc32(own), own if keep_ids else None))

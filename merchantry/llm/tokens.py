@@ -21,7 +21,7 @@ _PIECES = {
 # into the next piece and keeps the last of several blanks apart
 _UNITS = {True: re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]"), False: re.compile(r"[^ \n]+")}
 # further white space joins the blanks around it: such texts go to the library whole
-_OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 MEMORY = 400_000
 LONG = 100
 
@@ -48,8 +48,9 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        if self._tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids do not fit 16 bits")
+        # bytes of an id, by the largest id of the file
+        self.width = 2 if max(self._tokenizer.get_vocab(True).values(), default=0) < 1 << 16 else 4
+        self._code = {2: "H", 4: "I"}[self.width]
         self._model = self._tokenizer.model
         self._letters = _byte_letters()
         self._spaced = spaced
@@ -57,10 +58,10 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         found = self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))
-        return array("H", [t.id for t in found]).tobytes()
+        return array(self._code, [t.id for t in found]).tobytes()
 
     def _whole(self, text: str) -> bytes:
-        return array("H", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self._code, self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _joined(self, pieces: list[str], encode: Callable[[str], bytes]) -> bytes:
         known = self._known
@@ -81,7 +82,7 @@ class Encoder:
         self._known.clear()
 
     def ids(self, text: str) -> bytes:
-        """The ids of a text as 16-bit integers, little-endian on the platforms Spark runs on."""
+        """The ids of a text as integers of `width` bytes, little-endian on the platforms Spark runs on."""
         if _PLAIN.fullmatch(text):
             pieces = _PIECES[self._spaced].findall(text if self._spaced else text.lower())
             return self._joined(pieces, self._piece)

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from merchantry.llm import binary, packing
 from merchantry.llm.tokens import Encoder
@@ -93,6 +93,36 @@ def test_token_files_of_nothing(spark, tmp_path):
     assert binary.read_token_files(spark, f"{tmp_path}/ids").count() == 0
 
 
+def test_documents_are_found_by_id(spark, tmp_path):
+    rows = [(None, "none"), *[(5, f"five {i}") for i in range(3)], *[(i, f"text {i} " * (i % 7)) for i in range(10, 300, 3)]]
+    df = spark.createDataFrame([*rows, (-(2**62), "least"), (2**62, "last")], "doc_id bigint, text string")
+    binary.write_token_files(df, f"{tmp_path}/ids", WORD, block_ids=50)
+    wanted = [5, 11, 13, 298, -(2**62), 2**62]
+    found = binary.find_documents(spark, f"{tmp_path}/ids", wanted).collect()
+    expected = [(d, [*ids_of(WORD, t), 1]) for d, t in map(tuple, df.collect()) if d in wanted]
+    assert sorted((r["doc_id"], list(r["ids"])) for r in found) == sorted(expected)
+    assert binary.find_documents(spark, f"{tmp_path}/ids", []).count() == 0
+
+
+def letters(n):
+    return "".join(chr(97 + n // 26**k % 26) for k in range(4))
+
+
+def test_ids_beyond_16_bits(spark, tmp_path):
+    made = Tokenizer(models.WordLevel({letters(i): i for i in range(70_000)}, unk_token=letters(0)))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    made.save(f"{tmp_path}/words.json")
+    numbers = [[69_999, 1, 65_536], [3], []]
+    df = spark.createDataFrame(
+        [(i, " ".join(map(letters, ns))) for i, ns in enumerate(numbers)], "doc_id bigint, text string"
+    )
+    binary.write_token_files(df, f"{tmp_path}/ids", f"{tmp_path}/words.json")
+    back = binary.read_token_files(spark, f"{tmp_path}/ids").orderBy("start").collect()
+    assert [list(r["ids"]) for r in back] == [[*ns, 1] for ns in numbers]
+    pieces = packing.pack(df, f"{tmp_path}/words.json", spaced=False, keep_ids=True).orderBy("doc_id").collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in pieces] == [[*ns, 2] for ns in numbers]
+
+
 @pytest.mark.parametrize("n, wanted", [(1, [(0, 1)]), (1024, [(0, 1024)]), (1025, [(0, 1), (1, 1024)]), (2048, [(0, 1024), (1024, 1024)])])
 def test_cut_points(n, wanted):
     assert packing.cut_points(n, 1024) == wanted
