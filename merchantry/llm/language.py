@@ -6,7 +6,7 @@ import re
 import sys
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,15 +28,14 @@ PART = 50_000
 SALTS = 32
 _WORD = re.compile(r"[^\W\d_]+")
 # all that the pattern above takes for a letter and Unicode counts among the numbers
-_SIGNS = re.compile(
-    "[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and _WORD.match(c) and not c.isalpha()) + "]"
-)
+_SIGNS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and _WORD.match(c) and not c.isalpha())
+_BLANKS = str.maketrans(dict.fromkeys(_SIGNS, " "))
 
 
 def words_of(text: str) -> list[str]:
     """The stretches of letters of a text; signs for numbers such as ½ or Ⅷ are no letters."""
     low = text.lower()
-    return _WORD.findall(low if low.isascii() else _SIGNS.sub(" ", low))
+    return _WORD.findall(low if low.isascii() or _SIGNS.isdisjoint(low) else low.translate(_BLANKS))
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -145,7 +144,8 @@ class LanguageModel:
                 out[owners[order], -1] = 1
         return out
 
-    def _total(self, words: list[str]) -> np.ndarray:
+    def _places(self, words: list[str]) -> list[int]:
+        """The rows of words in the remembered evidence; that of new words is computed together."""
         at = list(map(self._known.get, words))
         if None in at:
             new = list(dict.fromkeys(w for w, p in zip(words, at, strict=True) if p is None))
@@ -161,22 +161,60 @@ class LanguageModel:
             self._evidence[start:end] = self.evidence(new)
             self._known.update(zip(new, range(start, end), strict=True))
             at = list(map(self._known.__getitem__, words))
-        return self._evidence[at].sum(axis=0, dtype=np.float64)
+        return at
+
+    def _totals(self, docs: list[list[str]]) -> np.ndarray:
+        """A row per document: the sum of its words' evidence."""
+        out = np.zeros((len(docs), self._evidence.shape[1]))
+        at = self._places([w for words in docs for w in words])
+        sizes = np.array([len(words) for words in docs])
+        filled = np.flatnonzero(sizes)
+        if len(filled):
+            starts = np.cumsum(sizes) - sizes
+            out[filled] = np.add.reduceat(self._evidence[at], starts[filled], axis=0, dtype=np.float64)
+        return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score. The score is the posterior of at most EVIDENCE average words, times
-        the share of words with any evidence."""
-        words = words_of(text) if text else []
+    def _verdict(self, total: np.ndarray, words: int) -> tuple[str, float]:
+        scored = total[-1]
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        total = sum(self._total(words[start : start + self._part]) for start in range(0, len(words), self._part))
-        scored = total[-1]
         if not scored:
             return self.languages[int(self.prior.argmax())], 0.0
         logs = total[:-1] * (min(scored, EVIDENCE) / scored) + self.prior
         chances = np.exp(logs - logs.max())
         best = int(chances.argmax())
-        return self.languages[best], float(chances[best] / chances.sum() * scored / len(words))
+        return self.languages[best], float(chances[best] / chances.sum() * scored / words)
+
+    def predictions(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
+        """Language and score of every text, of which groups with a bounded number of words are
+        looked up together; a text with more words is taken in parts.
+
+        The score is the posterior of at most EVIDENCE average words, times the share of words with
+        any evidence.
+        """
+        group: list[list[str]] = []
+        size = 0
+
+        def flushed() -> Iterator[tuple[str, float]]:
+            for total, words in zip(self._totals(group), group, strict=True):
+                yield self._verdict(total, len(words))
+
+        for text in texts:
+            words = words_of(text) if text else []
+            if size + len(words) > self._part:
+                yield from flushed()
+                group, size = [], 0
+            if len(words) > self._part:
+                parts = (words[i : i + self._part] for i in range(0, len(words), self._part))
+                yield self._verdict(sum(self._totals([part])[0] for part in parts), len(words))
+            else:
+                group.append(words)
+                size += len(words)
+        yield from flushed()
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """Language and score of one text."""
+        return next(self.predictions([text]))
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,7 +291,7 @@ def predictor(spark: SparkSession, model: LanguageModel):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for texts in batches:
-            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame(list(own.predictions(texts)), columns=["lang_pred", "score"])
         own.forget()
 
     return F.pandas_udf(lean(predict), "lang_pred string, score double")
