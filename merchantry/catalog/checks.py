@@ -20,6 +20,7 @@ from merchantry.catalog.model_sql import R
 from merchantry.catalog.registry import EVENTS_AS_OF, query, sql_mean, sql_rate
 from merchantry.catalog.sources import SLOW, audit_config
 from merchantry.functions.scalar import MONEY, TOTAL, year_month
+from merchantry.operators.heavy import heavy_hitters
 from merchantry.operators.joins import cascade_delete, never_used, set_null_on_delete
 from merchantry.plans import audit, monitoring, quality, sketches
 from merchantry.schemas import DOMAINS
@@ -375,6 +376,16 @@ def _(m: Model) -> DataFrame:
     return monitoring.pattern_digest(m.log, 49.0)
 
 
+@query(
+    "n2_heavy_users",
+    """SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS n FROM m_log GROUP BY 1
+    ORDER BY n DESC, user_id NULLS FIRST LIMIT 25""",
+)
+def _(m: Model) -> DataFrame:
+    """The users with most entries, from summaries of the tasks and a second pass over their candidates."""
+    return heavy_hitters(m.log, "user_id", 25)
+
+
 QUALITY_SQL = f"""SELECT total_queries, slow_queries, errors,
       {sql_mean("d", "total_queries")} AS average_execution_time,
       {sql_rate("errors", "total_queries")} AS error_rate,

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.catalog.model_sql import NOW, R, segment_sql
 from merchantry.catalog.registry import AS_OF, CTES, query, sql_mean, sql_mean_money, sql_rate
+from merchantry.operators.joins import same_keys
 from merchantry.plans import customers, sales
 from merchantry.schemas import AUDIT_CONFIG
 from merchantry.sources.adapter import Model
 from merchantry.sources.shared import discard, shared_dir
 from merchantry.sources.sinks import load, merge_upsert
 from merchantry.sources.snapshot import advanced, changes_since, export_snapshot, store_position, stored_position
-from merchantry.sources.tables import load_tables
+from merchantry.sources.tables import load_tables, stream_table
 from merchantry.streaming import jobs
+from merchantry.streaming.late import WindowedState, activity_state, keep_exact, quality_state, running_quality
 
 RECENT_DAYS = 2200
 SLOW = 100
@@ -57,6 +61,21 @@ def _(m: Model) -> DataFrame:
     return load_tables(m.spark, m.directory, ["supplier"])["supplier"]
 
 
+_TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+
+@query(
+    "s1_load_every_table",
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in _TABLES),
+)
+def _(m: Model) -> DataFrame:
+    loaded = load_tables(m.spark, m.directory, _TABLES)
+    counts = [df.agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table_name"), "row_count") for t, df in loaded.items()]
+    return reduce(DataFrame.unionAll, counts)
+
+
 @query("s2_replace_load", "SELECT * FROM j_daily")
 def _(m: Model) -> DataFrame:
     out = shared_dir(m.spark, "replace")
@@ -194,6 +213,48 @@ def _(m: Model) -> DataFrame:
     return m.spark.read.parquet(out).drop("summary_year")
 
 
+ARRIVALS = 4
+# the newest time of all earlier arrivals decides whether a row is late
+LATE_SQL = """(SELECT *, coalesce({at} < newest - INTERVAL 7 DAY, false) AS is_late
+    FROM (SELECT *, {id} % 4 AS arrival FROM {table}) r
+    LEFT JOIN (SELECT s AS arrival, (SELECT max({at}) FROM {table} WHERE {id} % 4 < s) AS newest FROM range(4) t(s)) a
+      USING (arrival))"""
+
+
+def _arrived(m: Model, rows: DataFrame, number: str, state: WindowedState) -> None:
+    """Let the rows of a table arrive in four parts, dealt by their number, as four runs of a stream."""
+    folder, checkpoint = shared_dir(m.spark, "arrivals"), shared_dir(m.spark, "arrivals-state")
+    for part in range(ARRIVALS):
+        rows.where(F.pmod(F.col(number), F.lit(ARRIVALS)) == part).write.mode("append").parquet(folder)
+        _finished(keep_exact(stream_table(m.spark, folder, rows.schema), state, checkpoint))
+
+
+@query(
+    "t1_late_activity",
+    f"""SELECT date_trunc('hour', changed_at) AS window_start, operation, count(*) AS changes,
+      count(*) FILTER (is_late) AS late_rows
+    FROM {LATE_SQL.format(at="changed_at", id="id", table="m_audit")} GROUP BY 1, 2""",
+)
+def _(m: Model) -> DataFrame:
+    """Three of four arrivals lie mostly behind the watermark; every window is whole all the same."""
+    rows = m.audit_log.select("id", "changed_at", "operation")
+    state = activity_state(shared_dir(m.spark, "late-activity"), "changed_at", "operation")
+    _arrived(m, rows, "id", state)
+    late = state.late_rows(m.spark, "id bigint, changed_at timestamp_ntz, operation string")
+    hours = late.groupBy(F.date_trunc("hour", "changed_at").cast("timestamp_ntz").alias("_hour"), F.col("operation").alias("_kind"))
+    counts = hours.agg(F.count("*").alias("late_rows"))
+    joined = state.windows(m.spark).join(counts, same_keys(["window_start", "operation"], ["_hour", "_kind"]), "left")
+    return joined.select("window_start", "operation", "changes", F.coalesce("late_rows", F.lit(0)).alias("late_rows"))
+
+
+@query("t2_late_quality", "SELECT * EXCLUDE (d) FROM v_quality")
+def _(m: Model) -> DataFrame:
+    rows = m.log.select("event_id", "logged_at", "duration", "is_error")
+    state = quality_state(shared_dir(m.spark, "late-quality"), "logged_at", SLOW)
+    _arrived(m, rows, "event_id", state)
+    return running_quality(state, m.spark)
+
+
 @query(
     "t4_incremental_extract",
     "SELECT event_id, logged_at, user_id, pattern, duration, is_error FROM m_log",

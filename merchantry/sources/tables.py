@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # The shared test tables. Declared, so that reading them starts no schema job.
 TABLES = {
@@ -82,7 +83,7 @@ def load_jdbc_table(spark: SparkSession, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(**options)).load()
 
 
-def stream_table(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
+def stream_table(spark: SparkSession, path: str, schema: str | StructType, files_per_trigger: int | None = None) -> DataFrame:
     """New files of a Parquet table as a stream.
 
     A plain stream path has to be a folder. Given as a pattern that matches only itself, the
