@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.llm.memory import lean
-from merchantry.sources.shared import written
+from merchantry.sources.shared import Scratch, written
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS = 5
@@ -30,6 +30,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _BLANK = re.compile(r"\s")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_NUMBER = re.compile(r"[+(]*[0-9][0-9().-]*")
+_NEXT = re.compile(r"\x20\(?[0-9][0-9().-]*(?![^\s,;:!?])")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -79,32 +81,58 @@ def _context(text: str, start: int) -> str:
     return " ".join(text[max(0, start - CONTEXT_CHARS) : start].lower().split()[-2:])
 
 
+def _number_row(text: str, start: int, end: int, limit: int) -> tuple[int, int]:
+    """(end, digits) of the row of digit groups that begins with the token at start:end.
+
+    Tokens of digits and their marks that single blanks join are one row; a comma, semicolon or
+    full stop behind a token ends it. A token of another kind is a row without digits.
+    """
+    if not _NUMBER.fullmatch(text, start, end):
+        return end, 0
+    while text[end - 1] != "." and (more := _NEXT.match(text, end)) and more.end() <= limit:
+        end = more.end()
+    return end, len(_NOT_DIGIT.sub("", text[start:end]))
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
     """(start, end, has @) of further tokens that look like identifiers: an @, or six digits or more,
-    outside of every span."""
+    in one token or in groups of digits with single blanks between them, outside of every span.
+
+    Groups are one number if they have 6 to 19 digits together. Longer rows of numbers are no
+    identifier, so their tokens stand alone.
+    """
     found, at, nearest = [], 0, 0
-    ends = 0
+    ends = alone = 0
     while mark := _MARK.search(text, at):
         start = max(text.rfind(" ", at, mark.start()), text.rfind("\n", at, mark.start()), text.rfind("\t", at, mark.start())) + 1
         start = max(start, at)
         blank = _BLANK.search(text, mark.start())
         end = blank.start() if blank else len(text)
-        at = end
-        token = text[start:end]
-        if "@" not in token and sum(c in "0123456789" for c in token) < 6:
-            continue
         while nearest < len(spans) and spans[nearest][0] < end:
             ends = max(ends, spans[nearest][2])
             nearest += 1
-        if start < ends:
+        if start >= max(ends, alone):
+            row, digits = _number_row(text, start, end, spans[nearest][0] if nearest < len(spans) else len(text))
+            if 6 <= digits <= 19:
+                end = row
+            else:
+                alone = row
+        at = end
+        token = text[start:end]
+        if start < ends or "@" not in token and sum(c in "0123456789" for c in token) < 6:
             continue
-        left = len(token) - len(token.lstrip("\"'([{<,;:="))
+        left = len(token) - len(token.lstrip("\"'([{<,;:=")) if not _opens_number(token) else 0
         right = len(token.rstrip("\"')]}>,;:.!?"))
         if right - left >= 5:
             found.append((start + left, start + right, "@" in token))
     return found
 
 
+def _opens_number(token: str) -> bool:
+    """Whether the token starts with a bracket that a digit group closes, as in (555) 123-4567."""
+    return token.startswith("(") and 0 < token.find(")") < len(token) - 1
+
+
 def _found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield _found_in(texts)
@@ -170,47 +198,55 @@ def learn_contexts(docs: DataFrame) -> DataFrame:
     The seeds are the matches of the fixed patterns. A context is scored for a kind by the
     share of its distinct instances that are of the kind, weighed by their own scores, times
     the share of its appearances in all texts that an identifier follows. An instance that is
-    no seed is scored by its contexts: one less the product of their doubts. Both are
-    computed in turn for ROUNDS rounds over the whole graph. Contexts with fewer than
-    MIN_SEEDS distinct seeds of the kind never count, so single sightings prove nothing.
+    no seed is scored by its contexts: one less the product of their doubts.
+
+    Each of ROUNDS rounds first admits the contexts that at least MIN_SEEDS distinct trusted
+    instances of a kind follow, then scores all admitted contexts and their instances. Trusted
+    are the seeds and, from the second round on, instances with a score of CONFIDENT or more,
+    so a context that no seed follows is found by identifiers that other contexts led to. Fewer
+    sightings prove nothing. How often a context stands in the texts is counted in the round
+    that admits it.
     """
+    with Scratch(docs.sparkSession, "contexts") as scratch:
+        return written(_learned(docs, scratch), "learned")
+
+
+def _learned(docs: DataFrame, scratch: Scratch) -> DataFrame:
     seen = _with_found(docs).select(F.explode("found.seen").alias("s")).select("s.context", "s.value", "s.kind")
-    edges = written(seen.where("context != ''").groupBy("context", "value", "kind").agg(F.count("*").alias("n")), "seen")
-    seeds = edges.where(F.col("kind") < 4)
-    enough = seeds.groupBy("context", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    enough = written(enough, "contexts")
-    empty = enough.select("context", "kind", F.lit(0.0).alias("score")).where("false")
-    if enough.isEmpty():
-        return empty
-    contexts = enough.select("context").distinct()
+    edges = seen.where("context != ''").groupBy("context", "value", "kind").agg(F.count("*").alias("n"))
+    edges = scratch.written(edges, "seen")
     shown = edges.groupBy("context").agg(F.sum("n").alias("shown"), F.countDistinct("value").alias("values"))
-    follows = F.least(F.lit(1.0), F.col("shown") / F.col("total"))
-    known = enough.join(shown, "context").join(_occurrences_of(docs, contexts), "context")
-    known = written(known.select("context", "kind", "values", follows.alias("follows")), "contexts")
     # an unknown token with an @ may be an address, one without may be any of the other kinds
     possible = F.when(F.col("kind") < 4, F.array("kind")).when(
         F.col("kind") == 5, F.array(F.lit(0))
     ).otherwise(F.array(F.lit(1), F.lit(2), F.lit(3)))
-    graph = edges.join(contexts, "context").select(
-        "context", "value", F.explode(possible).alias("kind"), (F.col("kind") < 4).alias("seed")
-    )
-    graph = written(graph, "graph")
-    instances = graph.groupBy("value", "kind").agg(F.max(F.col("seed").cast("double")).alias("weight"))
+    graph = edges.select("context", "value", F.explode(possible).alias("kind"), (F.col("kind") < 4).alias("seed"))
+    graph = scratch.written(graph.groupBy("context", "value", "kind").agg(F.max("seed").alias("seed")), "graph")
+    instances = graph.where("seed").select("value", "kind", F.lit(1.0).alias("weight")).distinct()
+    measured = scores = None
     for _ in range(ROUNDS):
-        weighed = graph.select("context", "value", "kind").distinct().join(instances, ["value", "kind"])
-        sums = weighed.groupBy("context", "kind").agg(F.sum("weight").alias("weight"))
-        scores = sums.join(known, ["context", "kind"]).select(
-            "context", "kind", (F.least(F.lit(1.0), F.col("weight") / F.col("values")) * F.col("follows")).alias("score")
-        )
-        scores = written(scores, "scores")
-        doubts = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))
+        trusted = instances.where(F.col("weight") >= CONFIDENT).select("value", "kind")
+        admitted = graph.join(trusted, ["value", "kind"]).groupBy("context", "kind").agg(F.count("*").alias("trusted"))
+        admitted = scratch.written(admitted.where(F.col("trusted") >= MIN_SEEDS).select("context", "kind"), "admitted")
+        names = admitted.select("context").distinct()
+        names = scratch.written(names.join(measured, "context", "left_anti") if measured else names, "names")
+        if not names.isEmpty():
+            follows = F.least(F.lit(1.0), F.col("shown") / F.col("total")).alias("follows")
+            counted = shown.join(names, "context").join(_occurrences_of(docs, names), "context")
+            counted = counted.select("context", "values", follows)
+            measured = scratch.written(measured.union(counted) if measured else counted, "measured")
+        elif measured is None:
+            return admitted.select("context", "kind", F.lit(0.0).alias("score"))
+        known = admitted.join(measured, "context")
+        sums = graph.join(instances, ["value", "kind"]).groupBy("context", "kind").agg(F.sum("weight").alias("weight"))
+        right = F.least(F.lit(1.0), F.col("weight") / F.col("values"))
+        scores = known.join(sums, ["context", "kind"]).select("context", "kind", (right * F.col("follows")).alias("score"))
+        scores = scratch.written(scores, "scores")
+        doubts = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("score", F.lit(0.0))))))
         judged = graph.join(scores, ["context", "kind"], "left").groupBy("value", "kind").agg(
-            F.max("seed").alias("seed"), (1 - doubts).alias("score")
-        )
-        instances = judged.select(
-            "value", "kind", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("weight")
+            F.when(F.max("seed"), 1.0).otherwise(1 - doubts).alias("weight")
         )
-        instances = written(instances, "instances")
+        instances = scratch.written(judged.where("weight > 0"), "instances")
     return scores.where(F.col("score") >= CONFIDENT)
 
 
@@ -225,7 +261,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     from the scan. The others are written with a number, joined with the contexts by their
     tokens, and put together again. A null or empty text has no spans.
     """
-    contexts = written(learn_contexts(docs), "learned")
+    contexts = learn_contexts(docs)
     unknown = F.filter("found.seen", lambda s: s["kind"] >= 4)
     rows = _with_found(docs).withColumn("unknown", unknown)
     plain = rows.where(F.size("unknown") == 0).select("row", "found.base", _ordered(F.col("found.base")).alias("spans"))

@@ -74,6 +74,83 @@ def test_learned_contexts_add_spans_and_keep_the_fixed_ones(spark):
     assert got[0]["n_phone"] == 1 and got[20]["n_phone"] == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("call 555 123 4567 now", ["555 123 4567"]),
+        ("call (555) 123-4567.", ["(555) 123-4567"]),
+        ("card 4111 1111 1111 1112, thanks", ["4111 1111 1111 1112"]),
+        ("in 12 345 678, 90 of them", ["12 345 678"]),
+        ("ended 2020. 2021 was", []),
+        ("12 34 and 56", []),
+        ("rows 1111 2222 3333 4444 5555 6666", []),
+        ("rows 111111 222222 333333 444444", ["111111", "222222", "333333", "444444"]),
+        ("555 123 +1 555 010 1234", ["555 123"]),
+        ("id AB123456 555", ["AB123456"]),
+        ("(ref 123456)", ["123456"]),
+        ("x 123\n456 789\n", ["456 789"]),
+        ("joe@host 12 34", ["joe@host"]),
+    ],
+)
+def test_candidates_join_groups_of_digits(text, wanted):
+    assert [text[s:e] for s, e, _ in pii.candidates(text, pii.base_spans(text))] == wanted
+
+
+def learned_by_hand(rows):
+    """The contexts of `learn_contexts` from plain dictionaries."""
+    seen, words_before = [], []
+    for _, text in rows:
+        own = pii.base_spans(text)
+        found = [(s, e, [k], True) for s, k, e in own]
+        found += [(s, e, [0] if at else [1, 2, 3], False) for s, e, at in pii.candidates(text, own)]
+        seen += [(" ".join(text[:s].lower().split()[-2:]), text[s:e].lower(), k, seed) for s, e, k, seed in found]
+        words = text.lower().split()
+        words_before += [" ".join(words[max(0, j - 1) : j + 1]) for j in range(len(words))]
+    seen = [x for x in seen if x[0]]
+    weight = {(v, kind): 1.0 for _, v, kinds, seed in seen if seed for kind in kinds}
+    edges = {(c, v, kind) for c, v, kinds, _ in seen for kind in kinds}
+    seeds = set(weight)
+    for _ in range(pii.ROUNDS):
+        scores = {}
+        for c, kind in {(c, kind) for c, _, kind in edges}:
+            own = [v for c2, v, k2 in edges if (c2, k2) == (c, kind)]
+            if sum(weight.get((v, kind), 0) >= pii.CONFIDENT for v in own) < pii.MIN_SEEDS:
+                continue
+            values = len({v for c2, v, _, _ in seen if c2 == c})
+            follows = min(1, sum(c2 == c for c2, *_ in seen) / words_before.count(c))
+            scores[c, kind] = min(1, sum(weight.get((v, kind), 0) for v in own) / values) * follows
+        doubt = {}
+        for c, v, kind in edges:
+            doubt[v, kind] = doubt.get((v, kind), 1.0) * max(1e-9, 1 - scores.get((c, kind), 0))
+        weight = {key: 1.0 if key in seeds else 1 - d for key, d in doubt.items()}
+    return {key: score for key, score in scores.items() if score >= pii.CONFIDENT}
+
+
+def bootstrapped():
+    """Numbers that no fixed pattern matches: ten after a context with seeds, the same after one
+    without any, and others after that one alone; and numbers that are no personal data."""
+    seeds = [(i, f"you can reach me at +1 555 {i:03d} 4567 today") for i in range(40)]
+    first = [(100 + i, f"you can reach me at 555 {200 + i} 4567 today") for i in range(8)]
+    second = [(200 + i, f"the desk line: 555 {200 + i} 4567 rings") for i in range(8)]
+    third = [(300 + i, f"the desk line: 555 {310 + i} 9876 rings") for i in range(2)]
+    other = [(400 + i, f"the sum was 555 {i:03d} 4567 in all") for i in range(200, 230)]
+    return [*seeds, *first, *second, *third, *other]
+
+
+def test_contexts_found_by_learned_instances_equal_a_plain_count(spark):
+    rows = bootstrapped()
+    got = {(r["context"], r["kind"]): r["score"] for r in pii.learn_contexts(documents(spark, rows)).collect()}
+    wanted = learned_by_hand(rows)
+    assert got == pytest.approx(wanted)
+    assert {("me at", 3), ("desk line:", 3)} <= set(got)
+    found = {r["doc_id"]: r["spans"] for r in pii.report(documents(spark, rows)).collect()}
+    added = {i for i, spans in found.items() if spans and i >= 100}
+    assert added == {i for i, _ in rows if 100 <= i < 400}  # all of them, and nothing else
+    text = dict(rows)[300]
+    at = text.index("555")
+    assert found[300] == f"phone:{at}:{at + 12}"
+
+
 def test_a_context_that_also_stands_elsewhere_proves_nothing(spark):
     rows = seeded() + [(i, "they call me names") for i in range(100, 140)]
     got = {r["doc_id"]: r["spans"] for r in pii.report(documents(spark, rows)).collect()}
