@@ -22,10 +22,10 @@ from merchantry.catalog.sources import SLOW, audit_config
 from merchantry.functions.scalar import MONEY, TOTAL, year_month
 from merchantry.operators.heavy import heavy_hitters
 from merchantry.operators.joins import cascade_delete, never_used, set_null_on_delete
-from merchantry.plans import audit, monitoring, quality, sketches
+from merchantry.plans import audit, monitoring, quality, retention, sketches
 from merchantry.schemas import DOMAINS
 from merchantry.sources.adapter import Model
-from merchantry.sources.shared import written
+from merchantry.sources.shared import shared_dir, written
 from merchantry.sources.tables import TABLES, load_tables
 
 THEN = f"TIMESTAMP '{EVENTS_AS_OF}'"
@@ -309,6 +309,20 @@ def _(m: Model) -> DataFrame:
     return kept.select("id", "table_name", "operation", "changed_at")
 
 
+@query(
+    "a4_stored_retention",
+    f"""SELECT a.id, a.table_name, a.operation, a.changed_at FROM m_audit a
+      LEFT JOIN v_config c ON a.table_name = c.table_name
+    WHERE a.changed_at >= {THEN} - to_days(coalesce(c.retention_days, 2555))""",
+)
+def _(m: Model) -> DataFrame:
+    """The log as stored by table and month, after its expired rows were removed."""
+    path, log = shared_dir(m.spark, "audit-log"), m.audit_log
+    retention.save_log(log, path)
+    retention.expire(m.spark, path, log.schema, audit_config(m), EVENTS_AS_OF, R)
+    return retention.stored_log(m.spark, path, log.schema).select("id", "table_name", "operation", "changed_at")
+
+
 GROWTH_SQL = f"""SELECT count(*) AS total_audit_records,
       count(*) FILTER (changed_at >= {THEN} - INTERVAL 1 HOUR) AS last_hour_records,
       count(*) FILTER (changed_at >= {THEN} - INTERVAL 1 DAY) AS last_day_records,

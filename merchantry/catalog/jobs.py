@@ -9,10 +9,10 @@ from merchantry.catalog.model_sql import NOW, R, segment_sql
 from merchantry.catalog.registry import AS_OF, CTES, query, sql_mean, sql_percent
 from merchantry.catalog.sources import RECENT_DAYS
 from merchantry.functions.classify import customer_segment, lifetime_value_tier
-from merchantry.functions.scalar import TOTAL, age_years
-from merchantry.plans import audit, cohorts, customers, maintained, products, refresh, sales
+from merchantry.functions.scalar import TOTAL, age_years, month_index
+from merchantry.plans import activity, audit, cohorts, customers, differences, maintained, products, refresh, sales
 from merchantry.sources.adapter import Model
-from merchantry.sources.shared import shared_dir
+from merchantry.sources.shared import shared_dir, written
 from merchantry.sources.sinks import load
 
 
@@ -360,3 +360,40 @@ def captured(m: Model) -> DataFrame:
 @query("x4_change_operations", f"SELECT operation, count(*) AS changes FROM ({CHANGES_SQL}) GROUP BY operation")
 def _(m: Model) -> DataFrame:
     return captured(m).groupBy("operation").agg(F.count("*").alias("changes"))
+
+
+@query("x4_stored_changes", f"SELECT operation, count(*) AS changes FROM ({CHANGES_SQL}) GROUP BY operation")
+def _(m: Model) -> DataFrame:
+    """The same changes from two stored snapshots, whose parts with equal digests are not read."""
+    active = m.customers.where(F.col("customer_status") == "active").select("customer_id")
+    old = totals_before(m, EARLIER_SNAPSHOT).withColumn("frequent", F.lit(None).cast("string"))
+    new = totals_before(m, AS_OF).join(active, "customer_id", "left_semi")
+    new = new.withColumn("frequent", F.when(F.col("orders") > 10, "yes"))
+    paths = [shared_dir(m.spark, f"totals-{side}") for side in ("old", "new")]
+    for df, path in zip((old, new), paths, strict=True):
+        differences.save_in_parts(df, "customer_id", path, 64)
+    changes = differences.stored_changes(m.spark, *paths, "customer_id", "customer_activity", AS_OF, exclude=["last_order"])
+    return changes.groupBy("operation").agg(F.count("*").alias("changes"))
+
+
+_LAGS = (1, 3, 12)
+
+
+@query(
+    "k15_active_customers",
+    f"""WITH bought AS (SELECT DISTINCT customer_id, year(created_at) * 12 + month(created_at) - 1 AS month_index
+        FROM m_orders WHERE order_status <> 'cancelled' AND customer_id IS NOT NULL),
+      born AS (SELECT customer_id, min(month_index) AS first_month FROM bought GROUP BY 1)
+    SELECT b.month_index, count(*) AS active, count(*) FILTER (b.month_index = f.first_month) AS newly_active,
+      {", ".join(f"count(r{n}.customer_id) AS retained_{n}" for n in _LAGS)}
+    FROM bought b JOIN born f ON b.customer_id = f.customer_id
+      {" ".join(f"LEFT JOIN bought r{n} ON r{n}.customer_id = b.customer_id AND r{n}.month_index = b.month_index - {n}" for n in _LAGS)}
+    GROUP BY 1""",
+)
+def _(m: Model) -> DataFrame:
+    """Monthly buyers, new and retained ones, all from the stored bitmaps of days."""
+    live = customers.not_cancelled(m.orders)
+    days = activity.id_bitmaps(live, [F.to_date("created_at").alias("day")], "customer_id")
+    stored = written(days, "id-bitmaps")
+    months = written(activity.united(stored, [month_index("day").alias("month_index")]), "id-bitmaps")
+    return activity.activity_by_period(months, "month_index", _LAGS)

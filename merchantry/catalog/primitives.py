@@ -21,7 +21,7 @@ from merchantry.functions.classify import class_rank, customer_segment
 from merchantry.functions.documents import merge_patch, row_image, string_list
 from merchantry.functions.scalar import MONEY, before, moment, money, total, within_last, year_month, zero_if_null
 from merchantry.operators.aggregates import distinct_counts, exact_median, most_frequent, share_of_total
-from merchantry.operators.joins import hierarchy_paths, never_used, resolve_key
+from merchantry.operators.joins import hierarchy_paths, hierarchy_paths_lazy, never_used, resolve_key
 from merchantry.operators.ordering import global_rank, latest_per_key, running_total, top_k
 from merchantry.plans import customers, products, sales, sketches
 from merchantry.plans.customers import not_cancelled
@@ -247,6 +247,11 @@ def _(m: Model) -> DataFrame:
     return hierarchy_paths(m.categories, "category_id", "parent_category_id", "category_name")
 
 
+@query("j7_recursive_paths", "SELECT category_id, category_hierarchy AS path, depth FROM j_paths")
+def _(m: Model) -> DataFrame:
+    return hierarchy_paths_lazy(m.categories, "category_id", "parent_category_id", "category_name")
+
+
 @query(
     "j8_key_lookup",
     """SELECT lower(p_type || '/' || p_brand) AS slug, p_partkey AS product_id,

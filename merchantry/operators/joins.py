@@ -100,3 +100,32 @@ def hierarchy_paths(
     else:
         raise ValueError(f"{parent} forms a cycle")
     return paths.select(F.col("_id").alias(key), F.col("_path").alias("path"), F.col("_depth").alias("depth"))
+
+
+def hierarchy_paths_lazy(
+    df: DataFrame, key: str, parent: str, label: str, separator: str = " > ", max_depth: int = 100
+) -> DataFrame:
+    """The rows of `hierarchy_paths` as one recursive plan: nothing runs before the frame is used.
+
+    Keys are unique. For hierarchies of bounded size and depth, like categories: each level reads the rows once
+    more, Spark stops a recursion at `spark.sql.cteRecursionRowLimit` rows (a million), and one
+    deeper than `max_depth` raises. A row that no root leads to is part of a cycle or below one,
+    which raises as well when the frame is used.
+    """
+    known = df.select(F.col(key).alias("_known"))
+    nodes = df.join(known, F.col(parent) == F.col("_known"), "left").select(
+        F.col(key).alias("id"), F.col("_known").alias("up"), F.col(label).alias("label")
+    )
+    found = df.sparkSession.sql(
+        f"""WITH RECURSIVE paths(id, path, depth) MAX RECURSION LEVEL {max_depth + 1} AS (
+          SELECT id, label, 1L FROM {{nodes}} WHERE up IS NULL
+          UNION ALL
+          SELECT n.id, concat(p.path, :separator, n.label), p.depth + 1 FROM {{nodes}} n JOIN paths p ON n.up = p.id)
+        SELECT id AS _id, path AS _path, depth AS _depth FROM paths""",
+        args={"separator": separator},
+        nodes=nodes,
+    )
+    cycle = F.raise_error(F.lit(f"{parent} forms a cycle")).cast("bigint")
+    every = df.select(F.col(key).alias("_key")).join(found, F.col("_key").eqNullSafe(F.col("_id")), "left")
+    depth = F.when(F.col("_depth").isNull(), cycle).otherwise(F.col("_depth"))
+    return every.select(F.col("_key").alias(key), F.col("_path").alias("path"), depth.alias("depth"))
