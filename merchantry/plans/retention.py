@@ -50,9 +50,10 @@ def expire(
     Months before the one that a table's retention reaches into are dropped by name, without
     reading a value. Of the month it ends in only the kept rows are written again, and nothing
     if all stay; no other file is touched. The list of partitions, tables times months, is what
-    the driver sees. Returns how many partitions were dropped and rewritten. A rewrite that fails
-    half way is repeated by the next call; rows out of retention are all that a call removes, but
-    no other job may write to the log meanwhile.
+    the driver sees. Returns how many partitions were dropped and rewritten. Lost tasks and
+    executors are repeated before any file is replaced. A driver lost while the commit swaps the
+    files of a rewritten month can lose that month's kept rows, so keep a copy until the call
+    returns; and no other job may write to the log meanwhile.
     """
     log = stored_log(spark, path, schema)
     limits = config.select(F.col("table_name").alias("_table"), F.col("retention_days").alias("_days"))
