@@ -97,6 +97,37 @@ def usage_by_user(log: DataFrame, idle_pattern: str) -> DataFrame:
     ).orderBy(F.desc("connection_count"), "user_id")
 
 
+def _counted_as(column: str, kind: str) -> tuple[str, str]:
+    """The expression by which values of a column are told apart, and its type. Whole numbers are
+    widened; types that do not group, or that compare otherwise than they read, go by their text."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return f"cast(`{column}` as bigint)", "bigint"
+    if kind in ("string", "boolean", "date", "timestamp_ntz") or kind.startswith("decimal("):
+        return f"`{column}`", kind
+    return f"cast(`{column}` as string)", "string"
+
+
+def _distinct_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Distinct non-null values per column, exactly, with one read of the frame per type.
+
+    Columns of one type become (position, value) rows, so that most keys are of fixed width and no
+    value is turned into text to be counted.
+    """
+    by_kind: dict[str, dict[str, str]] = {}
+    for name, (_, dtype) in zip(names, df.selectExpr(*[f"`{c}`" for c in names]).dtypes, strict=True):
+        expression, kind = _counted_as(name, dtype)
+        by_kind.setdefault(kind, {})[name] = expression
+    counts = []
+    for columns in by_kind.values():
+        pairs = ", ".join(f"{i}, {expression}" for i, expression in enumerate(columns.values()))
+        long = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (_at, value)")
+        values = long.groupBy("_at", "value").agg(F.lit(1).alias("_one"))
+        counted = values.groupBy("_at").agg(F.count("value").alias("cardinality"))
+        name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("_at"))
+        counts.append(counted.select(name.alias("column_name"), "cardinality"))
+    return stacked(counts)
+
+
 def column_selectivity(
     table: str, df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False
 ) -> DataFrame:
@@ -108,10 +139,7 @@ def column_selectivity(
     """
     names = list(columns or df.columns)
     if exact:
-        pairs = ", ".join(f"'{c}', cast(`{c}` as string)" for c in names)
-        long = df.selectExpr(f"stack({len(names)}, {pairs}) AS (column_name, value)")
-        values = long.groupBy("column_name", "value").agg(F.lit(1).alias("_one"))
-        counts = values.groupBy("column_name").agg(F.count("value").alias("cardinality"))
+        counts = _distinct_values(df, names)
     else:
         sketched = df.agg(*[F.approx_count_distinct(c).alias(c) for c in names])
         pairs = ", ".join(f"'{c}', `{c}`" for c in names)

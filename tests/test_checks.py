@@ -136,6 +136,23 @@ def test_selectivity_sketch_is_close(spark):
     assert abs(close["id"].cardinality - 5000) < 500 and close["seven"].cardinality == 7
 
 
+def test_exact_selectivity_counts_values_by_their_type(spark):
+    df = spark.sql(
+        """SELECT cast(id % 5 AS int) AS few, id AS many, cast(id % 9 AS decimal(18,2)) / 2 AS money,
+          if(id % 3 = 0, null, id % 2 = 0) AS flag, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(id % 6) AS at,
+          concat('x', id % 4) AS name, cast(id % 2 AS double) AS real, array(id % 8) AS list, null AS nothing,
+          id % 7 AS `a.b` FROM range(1000)"""
+    )
+    found = monitoring.column_selectivity("t", df, exact=True)
+    counts = {r.column_name: r.cardinality for r in found.collect()}
+    expected = {"few": 5, "many": 1000, "money": 9, "flag": 2, "at": 6, "name": 4, "real": 2, "list": 8, "nothing": 0, "a.b": 7}
+    assert counts == expected
+    assert monitoring.column_selectivity("t", df.limit(0), exact=True).count() == 0
+    typed = monitoring.column_selectivity("t", df.select("many", "money", "flag", "at"), exact=True)
+    plan = typed._jdf.queryExecution().optimizedPlan().toString()
+    assert "as string" not in plan  # a number turned into text costs more than to count it
+
+
 def test_table_sizes_match_the_files(spark, tmp_path):
     for name, n in (("big", 50_000), ("small", 10)):
         spark.range(n).repartition(2).write.parquet(str(tmp_path / name))
