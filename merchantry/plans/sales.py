@@ -20,6 +20,7 @@ from merchantry.functions.scalar import (
 from merchantry.operators.aggregates import exact_median
 from merchantry.plans.customers import not_cancelled, order_product_units
 from merchantry.rules import Rules
+from merchantry.sources.shared import PARTITIONS, partitions_for, small_tasks, written
 from merchantry.sources.sinks import merge_upsert
 
 DAY = "summary_date"
@@ -208,7 +209,32 @@ def daily_sales_report(
     as_of: Moment,
     holidays: DataFrame | None = None,
 ) -> DataFrame:
-    """The full daily row. Each feature is one row per day by then, so the joins are small."""
+    """The full daily row. Each feature is one row per day by then, so the joins are small.
+
+    Sorts and hash tables of a task grow with the rows of its partition. Where the session's
+    partitions are too few for the rows, the report is computed with more of them and written
+    to the shared folder: it is then a table as of this call.
+    """
+    report = _daily_report(orders, customers, items, products, categories, addresses, shipments, as_of, holidays)
+    spark = orders.sparkSession
+    partitions = partitions_for(spark, max(df.count() for df in (orders, items, shipments)))
+    if partitions <= int(spark.conf.get(PARTITIONS)):
+        return report
+    with small_tasks(spark, partitions):
+        return written(report, "daily-report")
+
+
+def _daily_report(
+    orders: DataFrame,
+    customers: DataFrame,
+    items: DataFrame,
+    products: DataFrame,
+    categories: DataFrame,
+    addresses: DataFrame,
+    shipments: DataFrame,
+    as_of: Moment,
+    holidays: DataFrame | None,
+) -> DataFrame:
     parts = [
         daily_median(orders),
         daily_product_mix(orders, items, products, categories),

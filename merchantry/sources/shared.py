@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+PARTITIONS = "spark.sql.shuffle.partitions"
+ROWS_PER_TASK = 500_000
 
 
 @lru_cache(maxsize=1)
@@ -38,6 +42,33 @@ def written(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(spark: SparkSession, rows: int) -> int:
+    """Shuffle partitions of at most ROWS_PER_TASK of so many rows; the session's number if that is enough."""
+    return max(int(spark.conf.get(PARTITIONS)), -(-rows // ROWS_PER_TASK))
+
+
+@contextmanager
+def small_tasks(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """What runs in the block shuffles into so many partitions, and adaptive execution joins none of
+    any size; scans are split likewise. The session's own settings come back at the end."""
+    wanted = {
+        PARTITIONS: str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+        "spark.sql.files.maxPartitionBytes": "16m",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 class Scratch:
     """Intermediate tables below one folder of the shared storage, removed together at the end.
 

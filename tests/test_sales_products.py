@@ -6,6 +6,7 @@ import pytest
 from merchantry import schemas
 from merchantry.plans import products, sales
 from merchantry.rules import Rules
+from merchantry.sources import shared
 from tests.test_customers import order
 
 NOW = "2024-01-31 00:00:00"
@@ -76,6 +77,33 @@ def test_top_places_break_ties_by_name(spark, orders, rows):
     ]
 
 
+def test_report_takes_more_partitions_for_more_rows(spark, orders, rows, monkeypatch):
+    sold = items(spark, (1, 1, 2, "3.00"), (1, 2, 1, "1.00"), (2, 2, 1, "9.00"), (4, 9, 5, "1.00"), (5, 1, 7, "1"), (None, None, 1, "1"))
+    goods = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "product_id bigint, category_id string")
+    names = spark.createDataFrame([("x", "Xs"), ("y", "Ys")], "category_id string, category_name string")
+    places = spark.createDataFrame([(1, "Rome", "B"), (2, "Oslo", "A")], "address_id bigint, city string, state string")
+    sent = spark.createDataFrame([(1, datetime(2024, 1, 9)), (4, None)], "order_id bigint, shipped_at timestamp_ntz")
+    people = shoppers(spark, (1, "2024-01-04 00:00:00"), (2, "2024-01-03 23:59:59"))
+    settings = (shared.PARTITIONS, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    before, ran_with = [spark.conf.get(k, None) for k in settings], []
+
+    def noted(df, purpose):
+        ran_with.append([spark.conf.get(k) for k in settings])
+        return shared.written(df, purpose)
+
+    def report():
+        return sales.daily_sales_report(orders, people, sold, goods, names, places, sent, NOW)
+
+    lazily = rows(report())
+    monkeypatch.setattr(sales, "written", noted)
+    monkeypatch.setattr(shared, "ROWS_PER_TASK", 1)
+    assert rows(report()) == lazily and len(lazily) == 2
+    assert ran_with == [["6", "8m", "16m"]]  # six orders and six lines, where the session has four partitions
+    assert [spark.conf.get(k, None) for k in settings] == before
+    monkeypatch.setattr(shared, "ROWS_PER_TASK", 2)
+    assert rows(report()) == lazily and len(ran_with) == 1
+
+
 def test_backfill_recomputes_seven_full_days_only(spark, rows):
     placed = spark.createDataFrame(
         [order(i, 1, "10", f"2024-01-{day:02d} 08:00:00") for i, day in enumerate(range(20, 32))], schemas.ORDERS
