@@ -138,6 +138,15 @@ def _found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield _found_in(texts)
 
 
+def _found_masked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """What `_found` gives, and the masked texts of rows whose spans are known without contexts."""
+    for texts in batches:
+        found = _found_in(texts)
+        rows = zip(texts, found["base"], found["seen"], strict=True)
+        new = [_masked(t, own) if len(own) == len(seen) else None for t, own, seen in rows]
+        yield found.assign(masked=pd.Series(new, dtype=object))
+
+
 def _found_in(texts: pd.Series) -> pd.DataFrame:
     spans, seen = [], []
     for text in texts.fillna(""):
@@ -160,8 +169,11 @@ _SPAN = "kind: int, start: int, end: int"
 _FOUND = f"base array<struct<{_SPAN}>>, seen array<struct<{_SPAN}, context: string, value: bigint>>"
 
 
-def _with_found(docs: DataFrame) -> DataFrame:
-    found = F.pandas_udf(lean(_found), _FOUND)
+def _with_found(docs: DataFrame, masked: bool = False) -> DataFrame:
+    task, kind = (_found_masked, f"{_FOUND}, masked string") if masked else (_found, _FOUND)
+    # Spark moves filters on what a deterministic function returns below it and calls the function
+    # for them once more, in a worker of its own
+    found = F.pandas_udf(lean(task), kind).asNondeterministic()
     return docs.select(F.struct(*docs.columns).alias("row"), found("text").alias("found"))
 
 
@@ -261,10 +273,18 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     from the scan. The others are written with a number, joined with the contexts by their
     tokens, and put together again. A null or empty text has no spans.
     """
+    plain, joined = _plain_and_joined(docs, _with_found(docs))
+    base = _ordered(F.col("found.base"))
+    return plain.select("row", base.alias("base"), base.alias("spans")).union(joined)
+
+
+def _plain_and_joined(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of `rows`, which `_with_found` gives for `docs`: those without unknown tokens as they are, and
+    `row`, `base` and `spans` of the others."""
     contexts = learn_contexts(docs)
     unknown = F.filter("found.seen", lambda s: s["kind"] >= 4)
-    rows = _with_found(docs).withColumn("unknown", unknown)
-    plain = rows.where(F.size("unknown") == 0).select("row", "found.base", _ordered(F.col("found.base")).alias("spans"))
+    rows = rows.withColumn("unknown", unknown)
+    plain = rows.where(F.size("unknown") == 0).select("row", "found")
     hard = rows.where(F.size("unknown") > 0).select("row", "found.base", "unknown")
     hard = written(hard.withColumn("number", F.monotonically_increasing_id()), "tokens")
     tokens = hard.select("number", F.explode("unknown").alias("t")).select("number", "t.*")
@@ -277,9 +297,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     )
     joined = hard.join(added, F.col("number") == F.col("_number"), "left")
     every = F.concat("base", F.coalesce("added", F.array().cast(f"array<struct<{_SPAN}>>")))
-    return plain.select("row", _ordered(F.col("base")).alias("base"), "spans").union(
-        joined.select("row", _ordered(F.col("base")).alias("base"), _ordered(every).alias("spans"))
-    )
+    return plain, joined.select("row", _ordered(F.col("base")).alias("base"), _ordered(every).alias("spans"))
 
 
 def _ordered(spans: Column) -> Column:
@@ -323,6 +341,11 @@ def mask_text(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _masked(text: str | None, spans: list[dict]) -> str | None:
+    """The text with its spans replaced, or None if it has none."""
+    return mask_text(text, [(s["start"], s["kind"], s["end"]) for s in spans]) if len(spans) else None
+
+
 def masked(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with personal data replaced in `text`; n_chars, if there, is that of the new text.
 
@@ -330,24 +353,21 @@ def masked(docs: DataFrame) -> DataFrame:
     """
 
     def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series(
-            [mask_text(t, [(s["start"], s["kind"], s["end"]) for s in own]) for t, own in zip(texts, spans, strict=True)],
-            dtype=object,
-        )
+        return pd.Series([_masked(t, own) for t, own in zip(texts, spans, strict=True)], dtype=object)
 
-    found = find_personal_data(docs)
-    clean = found.where(F.size("spans") == 0).select("row.*")
-    text = F.pandas_udf(mask, "string")(F.col("row.text"), F.col("spans"))
-    changed = found.where(F.size("spans") > 0).select("row", text.alias("masked"))
+    # no task calls more than one Python function, each of which takes a worker
+    plain, joined = _plain_and_joined(docs, _with_found(docs, masked=True))
+    own = F.pandas_udf(mask, "string")(F.col("row.text"), F.col("spans"))
+    found = plain.select("row", "found.masked").union(joined.select("row", own.alias("masked")))
     columns = []
     for name, kind in docs.dtypes:
         value = F.col("row").getField(name)
         if name == "text":
-            value = F.col("masked")
+            value = F.coalesce("masked", value)
         elif name == "n_chars":
-            value = F.length("masked").cast(kind)
+            value = F.when(F.col("masked").isNull(), value).otherwise(F.length("masked").cast(kind))
         columns.append(value.alias(name))
-    return clean.union(changed.select(*columns))
+    return found.select(*columns)
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:

@@ -178,5 +178,13 @@ def test_masked_changes_only_what_holds_data(spark):
     assert out.count() == len(rows)
 
 
+def test_no_task_calls_two_python_functions(spark):
+    rows = [(i, f"mail to user{i}@example.org or call 555 0100 {i:04d} now") for i in range(20)]
+    df = documents(spark, [*rows, (20, "nothing here"), (21, None)])
+    for out, branches in ((pii.masked(df), 2), (pii.find_personal_data(df), 1)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == branches  # one in each branch of the union that has any
+
+
 def test_mask_text_joins_overlaps():
     assert pii.mask_text("ab 1234 cd", [(3, 2, 7), (4, 3, 9)]) == "ab [CARD]d"
